@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, the one knob for how finely work is dealt."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers, once per Spark context (as ``--py-files`` does)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ballast_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="spark-")) / "ballast.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    sc._ballast_shipped = True

@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         links = cut(small.where("a <> b").distinct())
         now = links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(2**31)))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
     else:
