@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ballast.llm import decontaminate
+from ballast.llm import decontaminate, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_simhash": simhash.op2_simhash,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
