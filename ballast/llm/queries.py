@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from ballast.llm import decontaminate, simhash
+from ballast.llm import chat, decontaminate, shards, simhash, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_simhash": simhash.op2_simhash,
+    "op3_sharding": shards.op3_sharding,
+    "op4_chat": chat.op4_chat,
+    "op6_warc": warc.op6_warc,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
+    "op4_chat": chat.SQL,
+    "op6_warc": warc.SQL,
 }
