@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from ballast.llm import chat, decontaminate, shards, simhash, warc
+from ballast.llm import chat, classifier, decontaminate, packing, rules, shards, simhash, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_simhash": simhash.op2_simhash,
     "op3_sharding": shards.op3_sharding,
     "op4_chat": chat.op4_chat,
+    "op5_packing": packing.op5_packing,
     "op6_warc": warc.op6_warc,
+    "op8_rules": rules.op8_rules,
+    "op9_classifier": classifier.op9_classifier,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
     "op4_chat": chat.SQL,
     "op6_warc": warc.SQL,
+    "op8_rules": rules.SQL,
 }
