@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ballast.llm import chat, classifier, decontaminate, packing, rules, shards, simhash, warc
+from ballast.llm import chat, classifier, decontaminate, packing, rules, shards, simhash, substring, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op8_rules": rules.op8_rules,
     "op9_classifier": classifier.op9_classifier,
+    "op10_substring": substring.op10_substring,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
     "op4_chat": chat.SQL,
     "op6_warc": warc.SQL,
     "op8_rules": rules.SQL,
+    "op10_substring": substring.SQL,
 }
