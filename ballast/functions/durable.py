@@ -6,6 +6,7 @@ Lineage is only cut by reliable checkpoints or written tables in the folder that
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -59,3 +60,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(to))
     sc._ballast_shipped = True
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver drop what nothing refers to any more, so that cleared shuffle files make room."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
