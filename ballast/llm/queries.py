@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ballast.llm import chat, classifier, decontaminate, packing, rules, shards, simhash, substring, warc
+from ballast.llm import chat, classifier, decontaminate, ngram, packing, rules, shards, simhash, substring, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat": chat.op4_chat,
     "op5_packing": packing.op5_packing,
     "op6_warc": warc.op6_warc,
+    "op7_kneser_ney": ngram.op7_kneser_ney,
     "op8_rules": rules.op8_rules,
     "op9_classifier": classifier.op9_classifier,
     "op10_substring": substring.op10_substring,
