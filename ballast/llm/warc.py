@@ -6,8 +6,7 @@ have the digest it is filed under and the length and SHA-1 that its header names
 
 Of records with equal payloads of at least ``least_revisit`` bytes, the one with the largest id is the
 response and the others are revisits that refer to it; a revisit's record has no block. Smaller ones are all
-responses. A null payload is empty; repeated ids are records of their own but, with equal payloads, only one row per id is filed
-as the payload's owner. A null id cannot be referred to, and is a revisit wherever a named equal exists. Control
+responses. A null payload is empty; repeated ids are records of their own. A null id cannot be referred to, and is a revisit wherever a named equal exists. Control
 characters in URLs are percent-encoded, so no header can be broken up.
 """
 
@@ -46,29 +45,26 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
     body = F.encode(F.coalesce(payload, F.lit("")), "UTF-8")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
     light = rows.select("page_id", "url", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"), F.unhex(F.sha2("payload", 256)).alias("digest"))
-    owners = light.groupBy("digest").agg(F.max("page_id").alias("owner"))
-    owned = light.join(owners, "digest")
+    seen = F.struct("n_bytes", "sha1")
+    owners = light.groupBy("digest").agg(F.max("page_id").alias("owner"), (F.min(seen) == F.max(seen)).alias("alike"))
+    owned = light.join(owners, "digest").where(F.when(F.col("alike"), True).otherwise(F.raise_error(F.lit("unequal payloads share a digest")).cast("boolean")))
     kind = F.when((F.col("n_bytes") >= least_revisit) & ~F.coalesce(F.col("page_id") == F.col("owner"), F.col("owner").isNull()), "revisit").otherwise("response")
     owned.select("page_id", "digest", _header(kind).alias("header")).write.parquet(f"{path}/headers")
-    # owners have ids of their own, so this join is even where one payload is very common
-    chosen = owners.select("digest", F.coalesce("owner", F.lit(None)).alias("page_id"))
-    digested = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    one = digested.join(chosen.where("page_id is not null").withColumnRenamed("digest", "named"), "page_id").where("digest = named")
-    nameless = digested.where("page_id is null").join(chosen.where("page_id is null").select(F.col("digest").alias("named")), F.col("digest") == F.col("named"), "left_semi")
-    one.select("digest", "payload").dropDuplicates(["digest"]).unionByName(nameless.select("digest", "payload").dropDuplicates(["digest"])).write.parquet(f"{path}/payloads")
+    rows.select(F.unhex(F.sha2("payload", 256)).alias("digest"), "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``(header, payload, record)`` of each record, rebuilt and verified; ``record`` is its exact WARC form.
+    """``(header, payload, payload_bytes, payload_sha1, record)`` of each record, rebuilt and verified.
 
-    For a revisit ``payload`` is the payload that it refers to, and ``record`` has no block.
+    ``record`` is its exact WARC form. For a revisit ``payload`` is the payload that it refers to, and ``record`` has no block. Stored
+    payloads are hashed once each, before the join, so who asks for no bytes moves none.
     """
-    headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    whole = headers.join(payloads, "digest", "left")
-    sound = (F.unhex(F.sha2("payload", 256)) == F.col("digest")) & (field("WARC-Payload-Digest: sha1") == F.sha1("payload")) & (field("X-Payload-Length").cast("long") == F.octet_length("payload"))
+    stored = spark.read.parquet(f"{path}/payloads").select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_sha1"), (F.unhex(F.sha2("payload", 256)) == F.col("digest")).alias("sound"))
+    whole = spark.read.parquet(f"{path}/headers").join(stored, "digest", "left")
+    sound = F.col("sound") & (field("WARC-Payload-Digest: sha1") == F.col("payload_sha1")) & (field("X-Payload-Length").cast("long") == F.col("payload_bytes"))
     checked = whole.where(F.when(F.coalesce(sound, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit("damaged payload of "), F.substring_index("header", _EOL, 3))).cast("boolean")))
     block = F.when(field("Content-Length").cast("long") > 0, F.col("payload")).otherwise(F.lit(b""))
-    return checked.select("header", "payload", F.concat(F.encode("header", "UTF-8"), block, F.encode(F.lit(_EOL + _EOL), "UTF-8")).alias("record"))
+    return checked.select("header", "payload", "payload_bytes", "payload_sha1", F.concat(F.encode("header", "UTF-8"), block, F.encode(F.lit(_EOL + _EOL), "UTF-8")).alias("record"))
 
 
 def field(name: str) -> Column:
@@ -83,8 +79,8 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     page = lambda name: F.regexp_replace(field(name), "^urn:page:", "").cast("long")
     return read_archive(spark, path).select(
         page("WARC-Record-ID").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        field("WARC-Payload-Digest: sha1").alias("payload_digest"),
+        "payload_bytes",
+        F.col("payload_sha1").alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         page("WARC-Refers-To").alias("refers_to"),
     )
