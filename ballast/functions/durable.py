@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -63,6 +64,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have the driver drop what nothing refers to any more, so that cleared shuffle files make room."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have the driver drop what nothing refers to any more, so that its shuffle files make room.
+
+    Spark only deletes a shuffle after its driver's handle was collected; a driver with a large heap may not collect for long. It takes two rounds,
+    as the first one only finds the handles, and a small job before, as the scheduler holds on to the last one.
+    """
+    spark.range(1).count()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
