@@ -105,7 +105,7 @@ def sql_dot(a: str, b: str) -> str:
 def sql_rows(logits: str = "logits", t: str = "1.0", source: str = "pred", name: str = "rm") -> str:
     return f"""{name}_p AS (SELECT *, {sql_softmax(logits, t)} AS p FROM {source}),
 {name}_q AS (SELECT *, list_position(p, list_max(p)) - 1 AS guess, list_max(p) AS confidence, list_position(target, list_max(target)) - 1 AS best FROM {name}_p),
-{name} AS (SELECT *, CASE WHEN guess = best THEN 1.0 ELSE 0.0 END AS accuracy, target[guess + 1] AS soft_accuracy,
+{name} AS (SELECT *, CASE WHEN guess = best THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy, target[guess + 1] AS soft_accuracy,
   -list_sum(list_transform(list_zip(target, p), lambda z: z[1] * ln(greatest(z[2], 1e-12)))) AS nll,
   list_sum(list_transform(list_zip(target, p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS brier_sum,
   list_sum(list_transform(list_zip(target, p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(p) AS brier_per_candidate,

@@ -20,7 +20,7 @@ def rounded(df, *keep):
 
 ROWS = f"{PRED}, {sql_rows()}"
 OTHER = f"{PRED}, {sql_rows()}, {sql_rows('other_logits', '1.0', 'pred', 'ot')}"
-_MEANS = "round(avg(accuracy), 6) AS accuracy, round(avg(soft_accuracy), 6) AS soft_accuracy, round(avg(nll), 6) AS nll, round(avg(brier_sum), 6) AS brier_sum, round(avg(brier_per_candidate), 6) AS brier_per_candidate, 1.0 AS schema_pass, round(avg(score_mae), 6) AS score_mae, round(avg(rps), 6) AS rps, count(*) AS n"
+_MEANS = "round(avg(accuracy), 6) AS accuracy, round(avg(soft_accuracy), 6) AS soft_accuracy, round(avg(nll), 6) AS nll, round(avg(brier_sum), 6) AS brier_sum, round(avg(brier_per_candidate), 6) AS brier_per_candidate, 1.0::DOUBLE AS schema_pass, round(avg(score_mae), 6) AS score_mae, round(avg(rps), 6) AS rps, count(*) AS n"
 _BIN = "CAST(list_sum(list_transform(range(0, 16), lambda i: CASE WHEN i / 15.0::DOUBLE < confidence THEN 1 ELSE 0 END)) - 1 AS INT)"
 
 
@@ -111,7 +111,7 @@ def _(spark, d):
     return rows.join(F.broadcast(fitted), "type").groupBy("type").agg(F.count("*").alias("n"), (F.bool_or(edge) | (F.abs(slope) < 1e-6)).alias("settled"))
 
 
-@query("temperature_lookup", f"WITH {PRED} SELECT id, CASE WHEN k = 10 THEN 1.5 WHEN type = 'noul' THEN 0.5 ELSE 1.0 END AS temperature FROM pred")
+@query("temperature_lookup", f"WITH {PRED} SELECT id, CASE WHEN k = 10 THEN 1.5::DOUBLE WHEN type = 'noul' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS temperature FROM pred")
 def _(spark, d):
     fine = spark.createDataFrame([("choice", 10, 1.5)], "type string, candidates int, temperature double")
     rough = spark.createDataFrame([("choice", 9.0), ("noul", 0.5)], "type string, temperature double")
@@ -267,7 +267,7 @@ def _(spark, d):
     return rounded(compare.tier_accuracy(_outcomes(spark, d)))
 
 
-@query("published_reference_join", f"WITH {ROWS}, m AS (SELECT dataset, round(avg(accuracy), 6) AS accuracy FROM rm GROUP BY dataset) SELECT dataset, accuracy, v AS published FROM m JOIN (VALUES ('d0', 0.5), ('d3', 0.7), ('d9', 0.1)) p(dataset, v) USING (dataset)")
+@query("published_reference_join", f"WITH {ROWS}, m AS (SELECT dataset, round(avg(accuracy), 6) AS accuracy FROM rm GROUP BY dataset) SELECT dataset, accuracy, CAST(v AS DOUBLE) AS published FROM m JOIN (VALUES ('d0', 0.5), ('d3', 0.7), ('d9', 0.1)) p(dataset, v) USING (dataset)")
 def _(spark, d):
     published = spark.createDataFrame([("d0", 0.5), ("d3", 0.7), ("d9", 0.1)], "dataset string, published double")
     ours = row_metrics(predictions(spark, d)).groupBy("dataset").agg(F.avg("accuracy").alias("accuracy"))
@@ -316,13 +316,18 @@ def _(spark, d):
     return rounded(compare.option_flip_rate(compare.option_order_join(*_orders(spark, d))))
 
 
-@query("rotation_spread", f"WITH {PRED}, r AS (SELECT id, s, list_position(list_slice(logits || logits, s + 1, s + k), list_max(logits)) - 1 AS pos, gold, k FROM pred, range(0, 4) t(s)), a AS (SELECT s, avg(CAST((pos + s) % k = gold AS INT)) AS a FROM r GROUP BY s) SELECT round(min(a), 6) AS lowest, round(max(a), 6) AS highest, round(max(a) - min(a), 6) AS spread FROM a")
+_TURNED = "list_slice(logits || logits, s % k + 1, s % k + k)"
+
+
+@query("rotation_spread", f"WITH {PRED}, r AS (SELECT s, k, gold, list_transform(list_zip({_TURNED}, range(0, k)), lambda z: z[1] + CASE WHEN z[2] = 0 THEN 1.0 ELSE 0.0 END) AS z FROM pred, range(0, 4) t(s)), a AS (SELECT s, avg(CAST((list_position(z, list_max(z)) - 1 + s) % k = gold AS INT)) AS a FROM r GROUP BY s) SELECT round(min(a), 6) AS lowest, round(max(a), 6) AS highest, round(max(a) - min(a), 6) AS spread FROM a")
 def _(spark, d):
+    """A system that favours whatever stands first, asked with four rotations of its candidates."""
     p = predictions(spark, d)
     parts = []
     for s in range(4):
-        turned = A.argmax(prompts.rotate(F.col("logits"), s)) == A.argmax(prompts.rotate(F.col("target"), s))
-        parts.append(p.select(F.lit(s).alias("shift"), turned.cast("double").alias("accuracy")))
+        favoured = F.transform(prompts.rotate(F.col("logits"), s), lambda x, i: x + F.when(i == 0, 1.0).otherwise(0.0))
+        right = A.argmax(favoured) == A.argmax(prompts.rotate(F.col("target"), s))
+        parts.append(p.select(F.lit(s).alias("shift"), right.cast("double").alias("accuracy")))
     return rounded(compare.rotation_spread(parts[0].union(parts[1]).union(parts[2]).union(parts[3])))
 
 

@@ -84,7 +84,8 @@ def write_exclusions(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Writes a tagged table once, by whether a row has a reason; returns ``(kept, excluded)`` as reread."""
     df.withColumn("excluded", F.col("reason").isNotNull()).write.partitionBy("excluded").parquet(path)
     written = df.sparkSession.read.parquet(path)
-    return written.where("not excluded").drop("excluded", "reason"), written.where("excluded").drop("excluded")
+    out = F.col("excluded").cast("boolean")  # partition values are read as strings
+    return written.where(~out).drop("excluded", "reason"), written.where(out).drop("excluded")
 
 
 def write_manifest(df: DataFrame, path: str, seed: int) -> None:
