@@ -29,7 +29,7 @@ def block_of(doc_id: str, text: str, n: int) -> Column:
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob; byte planes apart, as the high bytes of sorted numbers compress well."""
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize, ord(a.dtype.kind)))], "<i8").tobytes()
-    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(head + body)
 
 

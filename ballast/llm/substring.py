@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballast.functions.durable import cut, width
+from ballast.functions.durable import cut, release, width
 from ballast.llm import blocks
 from ballast.llm.text import as_bytes, mix, spans_of, words
 
@@ -168,15 +168,23 @@ def _least(a: np.ndarray, b: np.ndarray, d: np.ndarray, many: np.ndarray | None
 
 
 def _least_documents(n: int):
+    """To each block, its windows that start in a smaller document than any of its own; then those that only documents of its own share.
+
+    The first need no more than a hash, as all of them go; the others come with their least document.
+    """
+
     def run(asked: list[tuple[int, list[np.ndarray]]]) -> Iterator[tuple[int, int, bytes]]:
         shard = int(_shard(asked[0][1][0][:1], n)[0])
         a, b, d, many = _least(*(np.concatenate([x[1][k] for x in asked]) for k in range(4)))
         a, b, d = a[many > 0], b[many > 0], d[many > 0]
-        for block, (x, y, _, _) in asked:
+        for block, (x, y, own, several) in asked:
             at = _within(a, x)
-            at = at[(at >= 0) & (b[at] == y)]
-            if len(at):
-                yield shard, block, blocks.pack(a[at], b[at], d[at])
+            hit = np.flatnonzero(at >= 0)
+            hit = hit[b[at[hit]] == y[hit]]
+            least = d[at[hit]]
+            elsewhere, here = hit[least < own[hit]], hit[(least == own[hit]) & (several[hit] > 0)]
+            if len(elsewhere) or len(here):
+                yield shard, block, blocks.pack(x[elsewhere], x[here], own[here])
 
     return run
 
@@ -187,9 +195,10 @@ def _judge(doc_id: str, text: str, finish: Callable, schema: pa.Schema):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers, batches = blocks.answers_first(it)
         if answers:
-            a, b, least = (np.concatenate([x[k] for x in answers]) for k in range(3))
+            gone, a, least = (np.concatenate([x[k] for x in answers]) for k in range(3))
+            a, least = np.concatenate((a, gone)), np.concatenate((least, np.full(len(gone), np.iinfo(np.int64).min)))
             order = np.argsort(a)
-            a, b, least = a[order], b[order], least[order]
+            a, least = a[order], least[order]
         coder, rolling = blocks.Coder(), Rolling()
         for batch in batches:
             judged = []
@@ -198,14 +207,12 @@ def _judge(doc_id: str, text: str, finish: Callable, schema: pa.Schema):
                 if answers and d is not None and len(ws) >= WINDOW:
                     codes = coder.codes(ws)
                     at = _within(a, rolling.windows(codes, WINDOW))
-                    if (at >= 0).any():
-                        two = (rolling.windows(codes, WINDOW, 1) >> np.uint64(32)).astype(np.uint32)
-                        starts = np.flatnonzero((at >= 0) & (b[at] == two) & (least[at] < d))
-                        if len(starts):
-                            edge = np.zeros(len(ws) + 1, np.int64)
-                            edge[starts] += 1
-                            edge[starts + WINDOW] -= 1
-                            removed = np.cumsum(edge)[: len(ws)] > 0
+                    starts = np.flatnonzero((at >= 0) & (least[at] < d))
+                    if len(starts):
+                        edge = np.zeros(len(ws) + 1, np.int64)
+                        edge[starts] += 1
+                        edge[starts + WINDOW] -= 1
+                        removed = np.cumsum(edge)[: len(ws)] > 0
                 judged.append((t, ws, removed))
             yield finish(batch, judged)
 
@@ -219,6 +226,8 @@ def _through(docs: DataFrame, doc_id: str, text: str, finish: Callable, schema)
     shared = blocks.answer(blocks.ask(light.withColumn("__block", block), _ask_anchors(n, doc_id, text)), n, _shared_anchors(n))
     windows = blocks.ask(blocks.dealt(light, n, block, shared), _ask_windows(n, doc_id, text))
     least = cut(blocks.answer(windows, n, _least_documents(n)))
+    del shared, windows
+    release(docs.sparkSession)
     return blocks.dealt(docs, n, block, least).mapInArrow(_judge(doc_id, text, finish, schema), schema)
 
 
