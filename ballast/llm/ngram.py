@@ -249,6 +249,7 @@ def score_all(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text
     pairs = cut(sort(blocks.dealt(own, n, block_of).mapInArrow(asks, _ROWS)).mapInArrow(_count_pairs(n), _ROWS))
     release(spark)
     words = cut(sort(pairs.where(F.col("kind").isin(CONTEXTS, ENDINGS, WORDS))).mapInArrow(_count_words(), _ROWS))
+    release(spark)
     levels = np.sum([np.zeros(7, np.int64), *(blocks.unpack(r["blob"])[0] for r in pairs.where(F.col("kind") == FACTS).select("blob").collect())], axis=0)
     told = [blocks.unpack(r["blob"]) for r in words.where(F.col("kind") == FACTS).select("blob").collect()]
     tokens, endings = (np.sum([np.zeros(7, np.int64), *(x[k] for x in told)], axis=0) for k in range(2))
