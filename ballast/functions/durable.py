@@ -14,6 +14,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +64,15 @@ def ship(spark: SparkSession) -> None:
     sc._ballast_shipped = True
 
 
+def apart(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` dealt evenly by its key, so that a later join on the key deals it anew.
+
+    A side that was just aggregated by the key would be joined where it is, in one stage; with both sides read from plain shuffles,
+    adaptive execution can split the partitions of a hot key.
+    """
+    return df.repartition(F.xxhash64(*key))
+
+
 def release(spark: SparkSession) -> None:
     """Have the driver drop what nothing refers to any more, so that its shuffle files make room.
 

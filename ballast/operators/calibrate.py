@@ -12,32 +12,39 @@ from pyspark.sql import functions as F
 from ballast.functions import arrays as A
 from ballast.functions.durable import cut
 
-LEAST_ROWS, LOW, HIGH, ROUNDS = 10, 0.1, 10.0, 40
+LEAST_ROWS, LOW, HIGH, ROUNDS = 10, 0.1, 10.0, 60
 
 
 def fit_temperatures(df: DataFrame, *by: str, least_rows: int = LEAST_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """``(by..., n, temperature)``: the temperature in [0.1, 10] of least cross-entropy of each group; 1.0 for small groups.
 
-    The loss is convex in the inverse temperature, so each round halves a bracket of it by the sign of the summed
-    gradient: one aggregation over the table for all groups at once, joined with a row per group. What comes to the driver is
-    that row.
+    The loss is convex in the inverse temperature, so each round takes a Newton step inside a bracket, and halves the bracket where the step
+    leaves it: one aggregation over the table for all groups at once, joined with a row per group. What comes to the driver are
+    these rows; a handful of rounds settle it.
     """
     keys = list(by)
     light = cut(df.select(*keys, "logits", "target"))
-    state = {tuple(r[k] for k in keys): [r["n"], 1 / HIGH, 1 / LOW] for r in light.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
     spark, types = df.sparkSession, ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    active = {k for k, s in state.items() if s[0] >= least_rows}
-    for _ in range(rounds if active else 0):
-        mids = spark.createDataFrame([(*k, (state[k][1] + state[k][2]) / 2) for k in sorted(active, key=str)], f"{types}, beta double")
-        joined = light.join(F.broadcast(mids), keys)
-        p = A.softmax(F.transform(F.col("logits"), lambda z: z * F.col("beta")))
-        slope = joined.withColumn("p", p).groupBy(*keys).agg(F.sum(A.dot(F.col("p"), F.col("logits")) - A.dot(F.col("target"), F.col("logits"))).alias("g"))
-        for r in slope.collect():
+    state = {tuple(r[k] for k in keys): {"n": r["n"], "low": 1 / HIGH, "high": 1 / LOW, "at": 1.0, "seen": set(), "done": r["n"] < least_rows} for r in light.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
+    for _ in range(rounds):
+        active = [(k, s) for k, s in sorted(state.items(), key=str) if not s["done"]]
+        if not active:
+            break
+        betas = spark.createDataFrame([(*k, s["at"]) for k, s in active], f"{types}, beta double")
+        scored = light.join(F.broadcast(betas), keys).withColumn("p", A.softmax(F.transform(F.col("logits"), lambda z: z * F.col("beta"))))
+        mean, square = A.dot(F.col("p"), F.col("logits")), A.dot(F.col("p"), F.transform("logits", lambda z: z * z))
+        steps = scored.groupBy(*keys).agg(F.avg(mean - A.dot(F.col("target"), F.col("logits"))).alias("slope"), F.avg(square - mean * mean).alias("bend"))
+        for r in steps.collect():
             s = state[tuple(r[k] for k in keys)]
-            mid = (s[1] + s[2]) / 2
-            s[1 if r["g"] < 0 else 2] = mid
-    rows = [(*k, s[0], 2 / (s[1] + s[2]) if k in active else 1.0) for k, s in state.items()]
-    return spark.createDataFrame(rows, f"{types}, n long, temperature double")
+            side = "low" if r["slope"] < 0 else "high"
+            s[side], s["seen"] = s["at"], s["seen"] | {side}
+            new = s["at"] - r["slope"] / r["bend"] if r["bend"] > 0 else s["at"]
+            out = "low" if new < s["low"] else "high" if new > s["high"] else ""
+            if out:  # an end of the range is tried itself before the bracket is halved
+                new = (s["low"] + s["high"]) / 2 if out in s["seen"] else s[out]
+            s["done"] = abs(new - s["at"]) < 1e-10 or s["high"] - s["low"] < 1e-10
+            s["at"] = new
+    return spark.createDataFrame([(*k, s["n"], 1 / s["at"]) for k, s in state.items()], f"{types}, n long, temperature double")
 
 
 def temperature_lookup(df: DataFrame, by_bucket: DataFrame, by_type: DataFrame, floor: float = 1e-3) -> DataFrame:

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.durable import cut
+from ballast.functions.durable import apart, cut
 
 
 def _star(links: DataFrame, keep) -> DataFrame:
     """Links each ``b`` beside ``a`` that ``keep`` allows to the least key near ``a``."""
     least = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return links.join(least, "a").where(keep).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return links.join(apart(least, "a"), "a").where(keep).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
         large = _star(both, F.col("b") > F.col("a")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(least, "a")
+        joined = down.join(apart(least, "a"), "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         links = cut(small.where("a <> b").distinct())
         now = links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(2**31)))).first()

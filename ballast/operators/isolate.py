@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ballast.functions import keys as K
+from ballast.functions.durable import apart, cut
 from ballast.operators.components import connected_components
 
 
@@ -26,7 +26,7 @@ def component_roots(df: DataFrame) -> DataFrame:
 
 def component_sizes(df: DataFrame) -> DataFrame:
     """Rows and groups of each component, to see giant ones."""
-    return df.join(component_roots(df), "group").groupBy("root").agg(F.count("*").alias("rows"), F.count_distinct("group").alias("groups"))
+    return df.join(apart(component_roots(df), "group"), "group").groupBy("root").agg(F.count("*").alias("rows"), F.count_distinct("group").alias("groups"))
 
 
 def resolve_split_priority(df: DataFrame, root: str = "root") -> DataFrame:
@@ -35,18 +35,23 @@ def resolve_split_priority(df: DataFrame, root: str = "root") -> DataFrame:
     An aggregation and a join rather than a window: a hub component must not land in one task.
     """
     top = df.groupBy(root).agg(F.max(K.split_rank(F.col("split"))).alias("__top"))
-    return df.join(top, root).withColumn("conflict", K.split_rank(F.col("split")) < F.col("__top")).drop("__top")
+    return df.join(apart(top, root), root).withColumn("conflict", K.split_rank(F.col("split")) < F.col("__top")).drop("__top")
 
 
-def dedupe_inputs(df: DataFrame, *key: str, order: str = "input_pos") -> DataFrame:
-    """``df`` with ``duplicate``: whether an earlier row has the same key. The target takes no part."""
-    digest = K.digest(K.canonical_json(*key))
-    return df.withColumn("__key", digest).withColumn("duplicate", F.row_number().over(W.partitionBy("__key").orderBy(order)) > 1).drop("__key")
+def dedupe_inputs(df: DataFrame, *key: str, order: str = "input_pos", row_id: str = "id") -> DataFrame:
+    """``df`` with ``duplicate``: whether an earlier row has the same key. The target takes no part; rows of one position count by id.
+
+    The first row of each key is a partial aggregate, so an input that a third of all rows repeat does not meet in one task; the join back splits
+    where it is skewed.
+    """
+    keyed = df.withColumn("__key", K.digest(K.canonical_json(*key))).withColumn("__at", F.struct(order, row_id))
+    first = keyed.groupBy("__key").agg(F.min("__at").alias("__first"))
+    return keyed.join(apart(first, "__key"), "__key").withColumn("duplicate", F.col("__at") > F.col("__first")).drop("__key", "__at", "__first")
 
 
 def tagged(df: DataFrame) -> DataFrame:
     """``df`` under component roots, with the first ``reason`` to exclude it or null."""
-    rooted = df.join(component_roots(df), "group")
+    rooted = df.join(apart(component_roots(df), "group"), "group")
     judged = resolve_split_priority(rooted)
     # duplicates are only sought among rows that the split rule keeps
     deduped = dedupe_inputs(judged.where(~F.col("conflict")), "dataset", "root", "state", "question").withColumn("reason", F.when(F.col("duplicate"), "duplicate_input"))
@@ -56,8 +61,6 @@ def tagged(df: DataFrame) -> DataFrame:
 
 def isolate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(kept rows, audit of the others by dataset, split and reason)``."""
-    from ballast.functions.durable import cut
-
     whole = cut(tagged(df))
     audit = whole.where("reason is not null").groupBy("dataset", "split", "reason").agg(F.count("*").alias("n"))
     return whole.where("reason is null").drop("reason"), audit

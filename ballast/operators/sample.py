@@ -20,7 +20,7 @@ def capped_queries(df: DataFrame, train_cap: int = 450, other_cap: int = 60) ->
     key = K.digest(F.concat_ws(":", "locale", "query"))
     ordered = W.partitionBy("locale", "split").orderBy("__key", "query")
     most = F.when(F.col("split") == "train", train_cap).otherwise(other_cap)
-    return df.select("locale", "query", "split").distinct().withColumn("__key", key).withColumn("__at", F.row_number().over(ordered)).where(F.col("__at") <= most).drop("__key", "__at")
+    return df.select("locale", "query", "split").distinct().withColumn("__key", key).withColumn("__at", F.row_number().over(ordered)).where((F.col("__at") <= max(train_cap, other_cap)) & (F.col("__at") <= most)).drop("__key", "__at")
 
 
 def query_split(df: DataFrame, is_test: Column, prefix: str = "esci:") -> DataFrame:
@@ -32,8 +32,21 @@ def query_split(df: DataFrame, is_test: Column, prefix: str = "esci:") -> DataFr
 
 def length_batches(df: DataFrame, size: int, length: Column, by: str = "dataset", row_id: str = "id") -> DataFrame:
     """``df`` with the ``batch`` of rows near in length, within each group."""
-    ordered = W.partitionBy(by).orderBy("__length", row_id)
-    return df.withColumn("__length", length).withColumn("batch", F.floor((F.row_number().over(ordered) - 1) / size)).drop("__length")
+    ranked = group_ranks(df.withColumn("__length", length), by, "__length", row_id)
+    return ranked.withColumn("batch", F.floor(F.col("rank") / size)).drop("__length", "rank")
+
+
+def group_ranks(df: DataFrame, by: str, first: str, then: str) -> DataFrame:
+    """``df`` with its 0-based ``rank`` in its group by ``(first, then)``, without a task that sorts a whole group.
+
+    Rows are only ranked among those of the same group and ``first``; running counts, one row each, place these runs.
+    """
+    runs = df.groupBy(by, first).agg(F.count("*").alias("__n"))
+    before = W.partitionBy(by).orderBy(first).rowsBetween(W.unboundedPreceding, -1)
+    starts = runs.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    own = df.withColumn("__own", F.row_number().over(W.partitionBy(by, first).orderBy(then)) - 1)
+    same = own[by].eqNullSafe(starts[by]) & own[first].eqNullSafe(starts[first])
+    return own.join(starts, same).select(*(own[c] for c in df.columns), (F.col("__own") + F.col("__start")).alias("rank"))
 
 
 def first_n(df: DataFrame, n: int, by: str, order: str) -> DataFrame:
@@ -44,10 +57,10 @@ def first_n(df: DataFrame, n: int, by: str, order: str) -> DataFrame:
 def training_plan(pool: DataFrame, first: int, last: int, batch: int, seed: int, by: str = "dataset", row_id: str = "id") -> DataFrame:
     """``(step, slot, dataset, id)`` for the steps in ``[first, last)``: a dataset for each step, uniformly, then its rows, with replacement.
 
-    A step's content depends on seed and number only, so a plan can be resumed anywhere. Ranks within datasets come from a window per dataset; draws meet
+    A step's content depends on seed and number only, so a plan can be resumed anywhere. Ranks within datasets go by hash bucket and id; draws meet
     rows in an equi-join on (dataset, rank).
     """
-    ranked = pool.select(by, row_id).withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(row_id)) - 1)
+    ranked = group_ranks(pool.select(by, row_id, K.hash_bucket(F.col(row_id).cast("string"), 4096).alias("__bucket")), by, "__bucket", row_id).drop("__bucket")
     sizes = ranked.groupBy(by).agg(F.count("*").alias("size"))
     named = sizes.withColumn("ordinal", F.row_number().over(W.orderBy(by)) - 1)  # a row per dataset
     n = sizes.select(F.count("*").alias("datasets"))

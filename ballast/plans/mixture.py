@@ -319,7 +319,7 @@ def _(spark, d):
     return sample.first_n(table(spark, d, "conversations"), 3, "conv_id", "turn").select("conv_id", "turn")
 
 
-@query("training_plan", """WITH ranked AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM documents),
+@query("training_plan", """WITH ranked AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4096, doc_id) - 1 AS rank FROM documents),
 sizes AS (SELECT source, count(*) AS size, row_number() OVER (ORDER BY source) - 1 AS ordinal FROM documents GROUP BY source),
 steps AS (SELECT s AS step, CAST('0x' || substr(sha256('42:dataset:' || s), 1, 12) AS BIGINT) % (SELECT count(*) FROM sizes) AS ordinal FROM range(100, 400) r(s)),
 drawn AS (SELECT step, source, slot, CAST('0x' || substr(sha256('42:row:' || step || ':' || slot), 1, 12) AS BIGINT) % size AS rank FROM steps JOIN sizes USING (ordinal), range(0, 32) t(slot))
