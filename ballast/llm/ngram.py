@@ -3,7 +3,7 @@
 Tokens are words and one end mark per text; a begin mark is the first token's context. Counting is a question of document blocks to
 hash shards (see ``blocks``): a block sends each distinct bigram of its texts once, with its count in training texts; bigram shards
 add these up and pass partial sums of each word as context and as continuation on to word shards. So nothing is pruned, no
-frequent word makes a task large (a context's bigrams are spread over a twelfth of the shards), and only counts of counts, a few numbers,
+frequent word makes a task large (a context's bigrams are spread over a twenty-fourth of the shards), and only counts of counts, a few numbers,
 reach the driver.
 
 For scoring, each block gets back the slice of the model that its own texts need, in hash order. A worker writes its slice to an
@@ -40,7 +40,7 @@ def _batches(made: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordB
 
 
 def _pair_shard(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    spread = np.uint64(max(1, n // 12))
+    spread = np.uint64(max(1, n // 24))
     return ((u >> np.uint64(33)) + (v >> np.uint64(33)) % spread) % np.uint64(n)
 
 
@@ -48,11 +48,6 @@ def _word_shard(w: np.ndarray, n: int) -> np.ndarray:
     return (w >> np.uint64(33)) % np.uint64(n)
 
 
-def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of two."""
-    return mix(u, 3) + mix(v, 11) * np.uint64(0xD6E8FEB86659FD93)
-
-
 class Block:
     """The tokens of a block's texts as codes, with its distinct words and bigrams in the order of their shards."""
 
@@ -64,28 +59,33 @@ class Block:
         self.texts.append(np.concatenate((self.begin, self.coder.codes(lower_words(text)), self.end)))
         self.held.append(held_out)
 
-    def index(self) -> None:
+    def index(self, counts: bool = True) -> None:
+        """Finds what is distinct; ``counts``: also how often it occurs in training."""
         flat = np.concatenate(self.texts)
+        self.sizes = np.array([len(x) - 1 for x in self.texts])  # tokens, without begin marks
+        self.texts = None
         self.words, rank = np.unique(flat, return_inverse=True)
-        self.sizes = np.array([len(x) for x in self.texts])
         first = np.zeros(len(flat), bool)
-        first[np.concatenate(([0], np.cumsum(self.sizes)[:-1]))] = True
-        trains = np.repeat(~np.array(self.held, bool), self.sizes)
+        first[np.concatenate(([0], np.cumsum(self.sizes + 1)[:-1]))] = True
         at = np.flatnonzero(~first)  # tokens; the one before is the context
-        u, v, trained = rank[at - 1], rank[at], trains[at]
         size = np.int64(len(self.words))
-        key = (_pair_shard(flat[at - 1], flat[at], self.n).astype(np.int64) * size + u) * size + v
         if self.n * float(size) ** 2 > 2**62:
             raise ValueError("a block has too many distinct words; raise spark.sql.shuffle.partitions")
-        self.keys, where = np.unique(key, return_inverse=True)
-        self.pair_counts = np.bincount(where[trained], minlength=len(self.keys)).astype(np.uint32)
-        self.u, self.v = self.words[self.keys // size % size], self.words[self.keys % size]
-        self.word_counts = np.bincount(v[trained], minlength=len(self.words)).astype(np.uint32)
-        self.pair_shards = self.keys // size // size
-        self.word_order = np.argsort(_word_shard(self.words, self.n), kind="stable")
+        self.tokens = rank[at]
+        self.token_pairs = (_pair_shard(flat[at - 1], flat[at], self.n).astype(np.int64) * size + rank[at - 1]) * size + self.tokens
+        del flat
+        if counts:
+            trained = np.repeat(~np.array(self.held, bool), self.sizes)
+            self.pairs, where = np.unique(self.token_pairs, return_inverse=True)
+            self.pair_counts = np.bincount(where[trained], minlength=len(self.pairs)).astype(np.uint32)
+            self.word_counts = np.bincount(self.tokens[trained], minlength=len(self.words)).astype(np.uint32)
+        else:
+            self.pairs = np.unique(self.token_pairs)
+        self.u, self.v = self.pairs // size % size, self.pairs % size
 
     def asks(self, block: int) -> Iterator[tuple[int, int, int, bytes]]:
-        for k, (u, v, c) in blocks.by_shard(self.pair_shards, self.n, self.u, self.v, self.pair_counts):
+        size = np.int64(len(self.words))
+        for k, (u, v, c) in blocks.by_shard(self.pairs // size // size, self.n, self.words[self.u], self.words[self.v], self.pair_counts):
             starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
             yield PAIRS, k, block, blocks.pack(u[starts], np.diff(np.concatenate((starts, [len(u)]))).astype(np.uint32), v, c)
         for k, (w, c) in blocks.by_shard(_word_shard(self.words, self.n), self.n, self.words, self.word_counts):
@@ -199,12 +199,12 @@ def _mapped(array: np.ndarray) -> np.ndarray:
 
 
 class Slice:
-    """The part of the model that a block needs."""
+    """The part of the model that a block needs: bigrams in hash order beside their log probabilities, and its words."""
 
     def __init__(self, block: Block, answers: list[tuple[int, list[np.ndarray]]], facts: dict):
         counts = np.concatenate([x[0] for kind, x in answers if kind == PAIRS]).astype(np.int64)
         words = np.empty((6, len(block.words)), np.int64)
-        words[:, block.word_order] = np.concatenate([np.stack(x) for kind, x in answers if kind == WORDS], axis=1)
+        words[:, np.argsort(_word_shard(block.words, block.n), kind="stable")] = np.concatenate([np.stack(x) for kind, x in answers if kind == WORDS], axis=1)
         token, ending, context, once, twice, more = words
         n, v = facts["tokens"], facts["types"]
         d, e = facts["pair_discounts"], facts["ending_discounts"]
@@ -212,20 +212,15 @@ class Slice:
         if facts["endings"]:
             spare = e[0] * facts["ending_levels"][0] + e[1] * facts["ending_levels"][1] + e[2] * facts["ending_levels"][4]
             lower = (_discounted(ending, e) + spare / (v + 1)) / facts["endings"]
-        size = len(block.words)
-        u, w = block.keys // size % size, block.keys % size
-        gamma, base = (d[0] * once + d[1] * twice + d[2] * more)[u], context[u]
-        p = np.where(base > 0, (_discounted(counts, d) + gamma * lower[w]) / np.maximum(base, 1), lower[w])
-        order = np.argsort(hashes := pair_hash(block.u, block.v))
-        self.pairs, self.log_p = _mapped(hashes[order]), _mapped(np.log10(p)[order])
-        self.words, self.known = _mapped(block.words), _mapped((token > 0).astype(np.int64))
-        self.log_base = _mapped(np.log10((token + 0.5) / (n + 0.5 * (v + 1))))
-
-    def score(self, codes: np.ndarray) -> tuple[int, int, float, float]:
-        """Tokens, known tokens, base score and score of one text, begin mark included."""
-        at = np.searchsorted(self.words, codes[1:])
-        found = np.searchsorted(self.pairs, pair_hash(codes[:-1], codes[1:]))
-        return len(at), int(self.known[at].sum()), float(self.log_base[at].sum()), float(self.log_p[found].sum())
+        gamma, base = (d[0] * once + d[1] * twice + d[2] * more)[block.u], context[block.u]
+        p = np.where(base > 0, (_discounted(counts, d) + gamma * lower[block.v]) / np.maximum(base, 1), lower[block.v])
+        self.pairs, self.log_p = _mapped(block.pairs), _mapped(np.log10(p))
+        self.known, self.log_base = _mapped((token > 0).astype(np.int64)), _mapped(np.log10((token + 0.5) / (n + 0.5 * (v + 1))))
+
+    def score(self, pairs: np.ndarray, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Known tokens, base score and score of texts that begin at ``starts``."""
+        found = self.log_p[np.searchsorted(self.pairs, pairs)]
+        return tuple(np.add.reduceat(x, starts) for x in (self.known[tokens], self.log_base[tokens], found))
 
 
 def score_all(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,15 +266,15 @@ def score_all(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text
                 ids.append(d)
         if not ids:
             return
-        block.index()
-        part = Slice(block, answered, facts)
-        block.keys = block.u = block.v = block.pair_shards = answered = None
-        for at in range(0, len(ids), 4096):
-            made = list(zip(*map(part.score, block.texts[at : at + 4096])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.as_py() for x in ids[at : at + 4096]], ids[0].type), pa.array(block.held[at : at + 4096], pa.bool_()), pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array([facts["tokens"]] * len(made[0]), pa.int64()), pa.array(made[2], pa.float64()), pa.array(made[3], pa.float64())],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+        block.index(counts=False)
+        part, edges = Slice(block, answered, facts), np.concatenate(([0], np.cumsum(block.sizes)))
+        block.pairs = block.u = block.v = answered = None
+        for at in range(0, len(ids), 1024):
+            to = min(at + 1024, len(ids))
+            span = slice(edges[at], edges[to])
+            known, base, score = part.score(block.token_pairs[span], block.tokens[span], edges[at:to] - edges[at])
+            columns = [pa.array([x.as_py() for x in ids[at:to]], ids[0].type), pa.array(block.held[at:to], pa.bool_()), pa.array(block.sizes[at:to]), pa.array(known), pa.array(np.full(to - at, facts["tokens"], np.int64)), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return both.repartitionById(n, F.col("__block")).sortWithinPartitions(F.asc_nulls_last("kind"), "shard").mapInArrow(scores, schema)
 
