@@ -54,6 +54,10 @@ class Text:
     def n_dup_lines(self) -> int:
         return len(self.lines) - len(set(self.lines))
 
+    @cached_property
+    def n_stutter(self) -> int:
+        return sum(a == b for a, b in zip(self.words, self.words[1:]))
+
     @cached_property
     def n_upper(self) -> int:
         return len(self.text) - len(self.text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -97,6 +101,7 @@ RULES = [
     Rule("repeated lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
     Rule("symbols", lambda t: 10 * t.n_symbols > len(t.words)),
     Rule("word length", lambda t: not 2 * len(t.words) <= t.word_chars <= 20 * len(t.words)),
+    Rule("stutter", lambda t: 10 * t.n_stutter > 3 * len(t.words)),
     Rule("shouting", lambda t: t.n_upper > t.n_lower),
 ]
 
@@ -180,11 +185,11 @@ m AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(n_lines - n_distinct, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-    coalesce(n_lines, 0) AS n_lines,
+    coalesce(n_lines, 0) AS n_lines, len(list_filter(list_zip(ws, list_slice(ws, 2, len(ws))), lambda z: z[1] = z[2])) AS n_stutter,
     length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS n_lower
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 2 * n_dup_lines > n_lines OR 10 * n_symbols > n_words
-    OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR n_upper > n_lower) AS kept
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_stutter > 3 * n_words OR n_upper > n_lower) AS kept
 FROM m
 """
