@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.durable import cut, width
+from ballast.functions.durable import apart, cut, width
 from ballast.llm.text import as_bytes, batches, lower_words, mix
 from ballast.operators.components import connected_components
 
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = roots.join(distinct, "fingerprint").groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(named, "root").select("fingerprint", "component")
     each = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component_id"))
-    return signed.join(each, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return signed.join(apart(each, "fingerprint"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:
