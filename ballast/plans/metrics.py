@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ballast.functions import arrays as A
-from ballast.functions import keys as K
 from ballast.functions.durable import cut
 from ballast.operators import calibrate, compare, metrics, prompts, rowmetrics
 from ballast.operators.rowmetrics import row_metrics

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ballast.functions import keys as K
 from ballast.functions.durable import scratch
 from ballast.plans.fixtures import EX, examples, table
 from ballast.plans.registry import query
