@@ -17,14 +17,13 @@ by one, so ties and repeated rows keep their number. Other columns are carried a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.text import alnum_words, as_bytes, batches, lower_alnum, spans_of
+from ballast.llm.text import alnum_words, as_bytes, lower_alnum, spans_of
 
 MAX_BLOCK_BYTES = 2_000_000
 

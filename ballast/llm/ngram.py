@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.durable import cut, release, width
 from ballast.llm import blocks
-from ballast.llm.text import as_bytes, lower_words, mix
+from ballast.llm.text import as_bytes, lower_words
 
 BEGIN, END = b"\n<s>", b"\n</s>"  # no words, as they hold white space
 PAIRS, CONTEXTS, ENDINGS, WORDS, FACTS = range(5)  # kinds of rows between the steps

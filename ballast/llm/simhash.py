@@ -102,8 +102,8 @@ class Forest:
             up[n] = n = up[up[n]]
         return n
 
-    def search(self, x: int, own: int | None) -> list[int]:
-        """Nodes near ``x``, one at least of each component that has any; with ``own``, joins them to it."""
+    def search(self, x: int) -> list[int]:
+        """Nodes near ``x``, one at least of each component that has any."""
         near, stack, joined = [], [0] if self.value else [], set()
         while stack:
             n = stack.pop()
@@ -119,7 +119,7 @@ class Forest:
 
     def add(self, x: int) -> list[int]:
         """Puts ``x`` into the tree; returns the nodes it is linked to."""
-        near, new = self.search(x, None), len(self.value)
+        near, new = self.search(x), len(self.value)
         self.parent.append(new)
         for n in near:
             self.parent[self.find(n)] = new
@@ -184,7 +184,7 @@ def _linker(radius: int):
                 if forest is None:
                     forest = Forest(radius)
                     forest.add(int.from_bytes(first))
-                near = forest.search(int.from_bytes(fp), None) if ask else forest.add(int.from_bytes(fp))
+                near = forest.search(int.from_bytes(fp)) if ask else forest.add(int.from_bytes(fp))
                 if not ask:
                     prints.append(fp)
                 for n in near:

@@ -21,7 +21,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballast.functions.durable import cut, release, width
@@ -189,7 +188,7 @@ def _least_documents(n: int):
     return run
 
 
-def _judge(doc_id: str, text: str, finish: Callable, schema: pa.Schema):
+def _judge(doc_id: str, text: str, finish: Callable):
     """``finish(batch, [(text, words, removed flags or None)])`` for the documents of a block."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +227,7 @@ def _through(docs: DataFrame, doc_id: str, text: str, finish: Callable, schema)
     least = cut(blocks.answer(windows, n, _least_documents(n)))
     del shared, windows
     release(docs.sparkSession)
-    return blocks.dealt(docs, n, block, least).mapInArrow(_judge(doc_id, text, finish, schema), schema)
+    return blocks.dealt(docs, n, block, least).mapInArrow(_judge(doc_id, text, finish), schema)
 
 
 def judge_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
