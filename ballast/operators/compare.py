@@ -71,6 +71,15 @@ def option_flip_rate(joined: DataFrame) -> DataFrame:
     return joined.groupBy("suite").agg(F.count("*").alias("n"), F.count_if(F.col("answer") != F.col("base_answer")).alias("flips")).withColumn("flip_rate", F.col("flips") / F.col("n"))
 
 
+def run_comparison(before: DataFrame, after: DataFrame, before_prints: DataFrame, after_prints: DataFrame, metrics: list[str], key: str = "dataset") -> DataFrame:
+    """Metrics of two runs side by side with their changes; runs over different partitions (``split, digest``) are refused."""
+    differing = before_prints.select("split", "digest").exceptAll(after_prints.select("split", "digest"))
+    if differing.take(1):
+        raise ValueError("the partitions of the two runs differ")
+    joined = before.select(key, *(F.col(m).alias(f"{m}_before") for m in metrics)).join(after.select(key, *(F.col(m).alias(f"{m}_after") for m in metrics)), key)
+    return joined.select("*", *((F.col(f"{m}_after") - F.col(f"{m}_before")).alias(f"{m}_change") for m in metrics))
+
+
 def published_join(metrics: DataFrame, published: DataFrame, key: str) -> DataFrame:
     """Our metrics beside published ones, which are few."""
     return metrics.join(F.broadcast(published), key)

@@ -215,6 +215,11 @@ def attach_products(rows: DataFrame, products: DataFrame) -> DataFrame:
     return rows.join(named, ["locale", "product_id"])
 
 
+def attach_image_ids(questions: DataFrame, lookup: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(questions with the image_id of their question_id, questions that the lookup lacks)``; the second must be empty."""
+    return questions.join(lookup.select("question_id", "image_id"), "question_id"), questions.join(lookup, "question_id", "left_anti")
+
+
 def missing_products(rows: DataFrame, products: DataFrame) -> DataFrame:
     """Keys that no product has; must be none."""
     return rows.select("locale", "product_id").distinct().join(products, ["locale", "product_id"], "left_anti")

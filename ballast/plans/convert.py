@@ -86,6 +86,25 @@ def _(spark, d):
     return convert.image_choice_source(rows).select("page_id", "state", "target")
 
 
+_LOOK = "WHERE o_orderkey % 9 {} 0"
+
+
+def _looked_up(spark, d):
+    questions = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("question_id"), "l_linenumber")
+    lookup = table(spark, d, "orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("question_id"), F.col("o_custkey").alias("image_id"))
+    return convert.attach_image_ids(questions, lookup)
+
+
+@query("attach_image_ids", f"SELECT l_orderkey AS question_id, l_linenumber, o_custkey AS image_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey {_LOOK.format('<>')}")
+def _(spark, d):
+    return _looked_up(spark, d)[0]
+
+
+@query("missing_image_ids", f"SELECT l_orderkey AS question_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders {_LOOK.format('<>')})")
+def _(spark, d):
+    return _looked_up(spark, d)[1]
+
+
 @query("program_questions", """WITH s AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'count' WHEN 1 THEN 'exist' WHEN 2 THEN 'query_size' ELSE 'scene' END AS step, l_orderkey % 2 AS a FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE step WHEN 'count' THEN 'score' WHEN 'exist' THEN 'noul' ELSE 'choice' END AS type, CASE step WHEN 'count' THEN 'count' WHEN 'exist' THEN 'exist' ELSE 'attribute' END AS family, CAST(CASE step WHEN 'count' THEN 11 ELSE 2 END AS INT) AS k, CAST(a AS INT) AS gold FROM s WHERE step <> 'scene'""")
 def _(spark, d):

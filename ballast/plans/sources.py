@@ -33,10 +33,8 @@ def _(spark, d):
 def _(spark, d):
     path = scratch(spark, "document")
     items = table(spark, d, "conversations").groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("conv_id", "turn", "text")).alias("items"))
-    items.drop("part").write.json(path)
-    kind = "items array<struct<conv_id:bigint,turn:bigint,text:string>>"
-    one = spark.read.schema(kind).json(path)  # written as lines; each line is one document
-    return one.select(F.explode("items").alias("item")).select("item.*")
+    items.drop("part").write.option("maxRecordsPerFile", 1).json(path)  # a document per file
+    return tables.read_json_document(spark, path, "items array<struct<conv_id:bigint,turn:bigint,text:string>>", "items")
 
 
 @query("read_labelled_lines", "SELECT source AS label, replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM documents")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from ballast.plans import convert, metrics, mixture, registry, report, sources  # noqa: F401
+from ballast.plans import convert, metrics, mixture, registry, report, sources, workflows  # noqa: F401
 from tests.oracle import check
 
 SF = "/root/testdata/sf0.001"
