@@ -19,9 +19,9 @@ def alias_edges(df: DataFrame) -> DataFrame:
 
 def component_roots(df: DataFrame) -> DataFrame:
     """``(group, root)`` of every group; the root is the least key of the component."""
-    edges = alias_edges(df).unionByName(df.select("group", F.col("group").alias("alias")).distinct())
+    edges = cut(alias_edges(df).unionByName(df.select("group", F.col("group").alias("alias")).distinct()))
     roots = connected_components(edges, "group", "alias").select(F.col("node").alias("group"), "root")
-    return roots.join(df.select("group").distinct(), "group", "left_semi")
+    return roots.join(edges.where(F.col("group") == F.col("alias")).select("group").distinct(), "group", "left_semi")
 
 
 def component_sizes(df: DataFrame) -> DataFrame:
@@ -49,18 +49,34 @@ def dedupe_inputs(df: DataFrame, *key: str, order: str = "input_pos", row_id: st
     return keyed.join(apart(first, "__key"), "__key").withColumn("duplicate", F.col("__at") > F.col("__first")).drop("__key", "__at", "__first")
 
 
-def tagged(df: DataFrame) -> DataFrame:
-    """``df`` under component roots, with the first ``reason`` to exclude it or null."""
-    rooted = df.join(apart(component_roots(df), "group"), "group")
+def isolation_reasons(df: DataFrame) -> DataFrame:
+    """``(id, input_pos, dataset, split, root, reason)``: each row's component, and the first reason to exclude it or null.
+
+    All of it works on keys; states are hashed once and not shuffled.
+    """
+    keys = [c for c in ("image_bytes_key", "image_pixel_key") if c in df.columns]
+    light = cut(df.select("id", "input_pos", "dataset", "group", "aliases", "split", *keys, K.digest(K.canonical_json("state", "question")).alias("input")))
+    rooted = light.join(apart(component_roots(light), "group"), "group")
     judged = resolve_split_priority(rooted)
     # duplicates are only sought among rows that the split rule keeps
-    deduped = dedupe_inputs(judged.where(~F.col("conflict")), "dataset", "root", "state", "question").withColumn("reason", F.when(F.col("duplicate"), "duplicate_input"))
+    deduped = dedupe_inputs(judged.where(~F.col("conflict")), "dataset", "root", "input").withColumn("reason", F.when(F.col("duplicate"), "duplicate_input"))
     out = judged.where("conflict").withColumn("reason", F.lit("cross_split_group"))
-    return deduped.drop("duplicate").unionByName(out).drop("conflict").withColumn("group", F.col("root")).drop("root")
+    names = ["id", "input_pos", "dataset", "split", "root", "reason"]
+    return deduped.select(*names).unionByName(out.select(*names))
+
+
+def _under_roots(df: DataFrame, reasons: DataFrame) -> DataFrame:
+    joined = df.join(reasons.select("id", "input_pos", "root", "reason"), ["id", "input_pos"])
+    return joined.withColumn("group", F.col("root")).drop("root")
+
+
+def tagged(df: DataFrame) -> DataFrame:
+    """``df`` under component roots, with the first ``reason`` to exclude it or null."""
+    return _under_roots(df, isolation_reasons(df))
 
 
 def isolate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(kept rows, audit of the others by dataset, split and reason)``."""
-    whole = cut(tagged(df))
-    audit = whole.where("reason is not null").groupBy("dataset", "split", "reason").agg(F.count("*").alias("n"))
-    return whole.where("reason is null").drop("reason"), audit
+    reasons = cut(isolation_reasons(df))
+    audit = reasons.where("reason is not null").groupBy("dataset", "split", "reason").agg(F.count("*").alias("n"))
+    return _under_roots(df, reasons.where("reason is null")).drop("reason"), audit
