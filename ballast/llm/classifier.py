@@ -120,13 +120,15 @@ def fit_scorer(rows: list[np.ndarray], target: np.ndarray, bits: int, least_text
     weights, bias = np.zeros(1 << bits, np.float32), -1.0
     if not rows:
         return weights, bias
-    at, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-    n, bad, share = np.bincount(col, minlength=1 << bits), np.bincount(col, target[at], 1 << bits), float(np.clip(target.mean(), 1e-3, 0.999))
+    share, n, bad = float(np.clip(target.mean(), 1e-3, 0.999)), np.zeros(1 << bits), np.zeros(1 << bits)
+    for r, p in zip(rows, target.tolist()):
+        n[r] += 1  # a text's features are distinct
+        bad[r] += p
     used = np.flatnonzero((n >= least_texts) & (np.abs(bad - n * share) >= least_z * np.sqrt(n * share * (1 - share))))
     name = np.full(1 << bits, -1, np.int32)
     name[used] = np.arange(len(used), dtype=np.int32)
-    known = name[col] >= 0
-    at, col = at[known], name[col[known]]
+    rows = [named[named >= 0] for named in (name[r] for r in rows)]
+    at, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
     w, grown, grown_bias, bias = np.zeros(len(used)), np.full(len(used), 1e-8), 1e-8, math.log(share / (1 - share))
     for _ in range(rounds):
         error = 1 / (1 + np.exp(-np.clip(bias + np.bincount(at, w[col], len(rows)), -30, 30))) - target
@@ -165,18 +167,21 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_
                 fs.append(features(form, ws, bits).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(vs, pa.list_(pa.int32())), pa.array(fs, pa.binary())], names=["votes", "features"])
 
-    got = sample.mapInArrow(run, "votes array<int>, features binary").limit(2 * sample_rows).collect()
-    good = np.ones(len(got))
+    got = sample.mapInArrow(run, "votes array<int>, features binary").limit(2 * sample_rows).toArrow()
+    got = got.take(pa.array(sorted(range(len(got)), key=lambda k: got["features"][k].as_py()), pa.int64()))  # sums in one order, whatever tasks end first
+    said, made = got["votes"].to_pylist(), got["features"]
+    good = np.ones(len(said))
     for part in FAULTS.values():
-        own_votes = [tuple(r["votes"][part]) for r in got]
+        own_votes = [tuple(v[part]) for v in said]
         posterior = fit_labellers(Counter(own_votes))
         good *= 1 - np.array([posterior[v] for v in own_votes])
-    heard = [k for k, r in enumerate(got) if labels is None or good[k] < 0.5 or any(v != NOTHING for v in r["votes"][FAULTS["abuse"]])]
-    return fit_scorer([np.frombuffer(got[k]["features"], np.int32) for k in heard], 1 - good[heard], bits)
+    heard = [k for k, v in enumerate(said) if labels is None or good[k] < 0.5 or any(x != NOTHING for x in v[FAULTS["abuse"]])]
+    return fit_scorer([np.frombuffer(made[k].as_buffer(), np.int32) for k in heard], 1 - good[heard], bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text: str = "text", column: str = "badness") -> DataFrame:
-    """``docs`` with the log-odds of being bad in a new column."""
+    """``docs`` with the log-odds of being bad in a new column, which replaces any of its name."""
+    docs = docs.drop(column)
     weights, bias = model
     known, bits, at = docs.sparkSession.sparkContext.broadcast(weights), int(len(weights)).bit_length() - 1, docs.columns.index(text)
 
