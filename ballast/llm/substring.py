@@ -188,8 +188,8 @@ def _least_documents(n: int):
     return run
 
 
-def _judge(doc_id: str, text: str, finish: Callable):
-    """``finish(batch, [(text, words, removed flags or None)])`` for the documents of a block."""
+def _judge(doc_id: str, text: str, each: Callable, assemble: Callable):
+    """``assemble(batch, [each(text, words, removed flags or None)])`` for the documents of a block; words live no longer than their text's turn."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers, batches = blocks.answers_first(it)
@@ -200,7 +200,9 @@ def _judge(doc_id: str, text: str, finish: Callable):
             a, least = a[order], least[order]
         coder, rolling = blocks.Coder(), Rolling()
         for batch in batches:
-            judged = []
+            if not len(batch):
+                continue
+            made = []
             for d, t in zip(_ids(batch, doc_id), _texts(batch, text)):
                 ws, removed = words(t), None
                 if answers and d is not None and len(ws) >= WINDOW:
@@ -212,13 +214,13 @@ def _judge(doc_id: str, text: str, finish: Callable):
                         edge[starts] += 1
                         edge[starts + WINDOW] -= 1
                         removed = np.cumsum(edge)[: len(ws)] > 0
-                judged.append((t, ws, removed))
-            yield finish(batch, judged)
+                made.append(each(t, ws, removed))
+            yield assemble(batch, made)
 
     return run
 
 
-def _through(docs: DataFrame, doc_id: str, text: str, finish: Callable, schema) -> DataFrame:
+def _through(docs: DataFrame, doc_id: str, text: str, each: Callable, assemble: Callable, schema) -> DataFrame:
     n = width(docs.sparkSession)
     block = blocks.block_of(doc_id, text, n)
     light = docs.select(doc_id, text)
@@ -227,23 +229,22 @@ def _through(docs: DataFrame, doc_id: str, text: str, finish: Callable, schema)
     least = cut(blocks.answer(windows, n, _least_documents(n)))
     del shared, windows
     release(docs.sparkSession)
-    return blocks.dealt(docs, n, block, least).mapInArrow(_judge(doc_id, text, finish), schema)
+    return blocks.dealt(docs, n, block, least).mapInArrow(_judge(doc_id, text, each, assemble), schema)
 
 
 def judge_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)`` for each row; the digest is of the kept words, space-joined."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def finish(batch: pa.RecordBatch, judged: list) -> pa.RecordBatch:
-        n, gone, digests = [], [], []
-        for _, ws, removed in judged:
-            kept = ws if removed is None else [w for w, x in zip(ws, removed.tolist()) if not x]
-            n.append(len(ws))
-            gone.append(len(ws) - len(kept))
-            digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+    def each(_: bytes | None, ws: list[bytes], removed: np.ndarray | None) -> tuple[int, int, str]:
+        kept = ws if removed is None else [w for w, x in zip(ws, removed.tolist()) if not x]
+        return len(ws), len(ws) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+
+    def assemble(batch: pa.RecordBatch, made: list) -> pa.RecordBatch:
+        n, gone, digests = zip(*made)
         return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(doc_id)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _through(docs, doc_id, text, finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _through(docs, doc_id, text, each, assemble, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,23 +254,23 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """
     names = docs.columns
 
-    def finish(batch: pa.RecordBatch, judged: list) -> pa.RecordBatch:
-        keep, texts = [], []
-        for t, ws, removed in judged:
-            keep.append(removed is None or not removed.all())
-            if removed is not None:
-                starts, ends = spans_of(t)
-                cuts = np.flatnonzero(np.diff(np.concatenate(([False], removed, [False])).astype(np.int8)))
-                out, at = [], 0
-                for x, y in cuts.reshape(-1, 2).tolist():
-                    out.append(t[at : starts[x]])
-                    at = ends[y - 1]
-                t = b"".join([*out, t[at:]])
-            texts.append(t)
+    def each(t: bytes | None, _: list[bytes], removed: np.ndarray | None) -> tuple[bytes | None, bool]:
+        if removed is None:
+            return t, True
+        starts, ends = spans_of(t)
+        cuts = np.flatnonzero(np.diff(np.concatenate(([False], removed, [False])).astype(np.int8)))
+        out, at = [], 0
+        for x, y in cuts.reshape(-1, 2).tolist():
+            out.append(t[at : starts[x]])
+            at = ends[y - 1]
+        return b"".join([*out, t[at:]]), not removed.all()
+
+    def assemble(batch: pa.RecordBatch, made: list) -> pa.RecordBatch:
+        texts, keep = zip(*made)
         columns = [pa.array(texts, pa.binary()).cast(batch.column(batch.schema.get_field_index(c)).type) if c == text else batch.column(batch.schema.get_field_index(c)) for c in names]
         return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return _through(docs, doc_id, text, finish, T.StructType(docs.schema.fields))
+    return _through(docs, doc_id, text, each, assemble, T.StructType(docs.schema.fields))
 
 
 def op10_substring(spark, sf_dir: str) -> DataFrame:
