@@ -144,18 +144,17 @@ def fit_scorer(rows: list[np.ndarray], target: np.ndarray, bits: int, least_text
 def fit(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
     """The scorer for ``docs``, from the weak labels of a sample of them.
 
-    labels: ``(doc_id, quality, toxic)`` of some documents, one more labeller of each fault, that says nothing on the others. With it, texts on whose
-    abuse no labeller says anything are left out of the sample's training rows: silence is no sign of a clean text
-    in a language that the lists do not cover.
+    labels: ``(doc_id, quality, toxic)`` of some documents, one more labeller of each fault. With it, the sample is of documents that it names
+    (their ids are broadcast, at most twice ``sample_rows``), and texts on whose abuse no labeller says anything are no training rows:
+    silence is no sign of a clean text in a language that the lists do not cover.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    share = int(min(1.0, sample_rows / max(1, own.count())) * 2**31)
-    sample = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31)) < share)
+    chosen = lambda rows, *key: rows.where(F.pmod(F.xxhash64(*key), F.lit(2**31)) < int(min(1.0, sample_rows / max(1, rows.count())) * 2**31)).limit(2 * sample_rows)
     if labels is None:
-        sample = sample.select("text", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
+        sample = chosen(own, "doc_id", "text").select("text", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
     else:
         said = labels.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-        sample = sample.join(said, "doc_id", "left").select("text", "quality", "toxic")
+        sample = own.join(F.broadcast(chosen(said, "doc_id")), "doc_id").select("text", "quality", "toxic")
     sample = sample.groupBy("text").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
