@@ -31,9 +31,10 @@ def query_split(df: DataFrame, is_test: Column, prefix: str = "esci:") -> DataFr
 
 
 def length_batches(df: DataFrame, size: int, length: Column, by: str = "dataset", row_id: str = "id") -> DataFrame:
-    """``df`` with the ``batch`` of rows near in length, within each group."""
-    ranked = group_ranks(df.withColumn("__length", length), by, "__length", row_id)
-    return ranked.withColumn("batch", F.floor(F.col("rank") / size)).drop("__length", "rank")
+    """``df`` with the ``batch`` of rows near in length, within each group; rows of one length go by hash bucket and id."""
+    run = F.struct(length.alias("length"), K.hash_bucket(F.col(row_id).cast("string"), 64).alias("bucket"))
+    ranked = group_ranks(df.withColumn("__run", run), by, "__run", row_id)
+    return ranked.withColumn("batch", F.floor(F.col("rank") / size)).drop("__run", "rank")
 
 
 def group_ranks(df: DataFrame, by: str, first: str, then: str) -> DataFrame:

@@ -309,7 +309,7 @@ def _(spark, d):
     return convert.missing_products(judged, products.where("product_id % 7 <> 0"))
 
 
-@query("length_batches", "SELECT doc_id, source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id) - 1) / 16.0) AS BIGINT) AS batch FROM documents")
+@query("length_batches", "SELECT doc_id, source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY length(text), CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 64, doc_id) - 1) / 16.0) AS BIGINT) AS batch FROM documents")
 def _(spark, d):
     return sample.length_batches(docs(spark, d), 16, F.length("text"), by="source", row_id="doc_id").select("doc_id", "source", "batch")
 
