@@ -81,7 +81,8 @@ FAULTS = {"junk": slice(0, 7), "abuse": slice(7, 12)}
 def features(form: Form, ws: list[bytes], bits: int) -> np.ndarray:
     """Distinct hashed features of a text, in order: words, how words begin, and form."""
     mask, crc, distinct = (1 << bits) - 1, zlib.crc32, set(ws)
-    shape = [b"\x00%s %d" % (name, min(9, int(10 * x))) for name, x in ((b"symbols", form.symbols), (b"upper", form.upper), (b"shouts", form.shouts), (b"bare", form.bare), (b"again", form.again))]
+    measures = ((b"symbols", form.symbols), (b"upper", form.upper), (b"shouts", form.shouts), (b"bare", form.bare), (b"again", form.again))
+    shape = [b"\x00%s %d" % (name, k) for name, x in measures for k in range(1, min(9, int(10 * x)) + 1)]  # each level reached
     begins = {w[:4] for w in distinct} | {w[:5] for w in distinct}
     return np.unique(np.fromiter((x & mask for x in (*map(crc, distinct), *(crc(w, 1) for w in begins), *map(crc, shape))), np.int32))
 
