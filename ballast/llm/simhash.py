@@ -35,15 +35,26 @@ from ballast.operators.components import connected_components
 MAX_TREE = 20_000
 
 
-def fingerprint(ws: list[bytes], shingle: int, bits: int) -> bytes:
-    """The SimHash of the words' shingles, big-endian."""
+def shingles(ws: list[bytes], shingle: int) -> np.ndarray:
+    """The hash of each shingle of the words, repeated ones as often as they are there."""
     if not ws:
-        return bytes(bits // 8)
+        return np.zeros(0, np.uint64)
     text, k = b" ".join(ws), min(shingle, len(ws))
     ends = np.cumsum([len(w) + 1 for w in ws])
     starts = np.concatenate(([0], ends[: len(ws) - k])).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(text[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())), np.uint64, len(starts))
+    return np.fromiter((digest(text[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())), np.uint64, len(starts))
+
+
+def fingerprint(ws: list[bytes], shingle: int, bits: int) -> bytes:
+    """The SimHash of the words' shingles, big-endian."""
+    return print_of(shingles(ws, shingle), bits)
+
+
+def print_of(h: np.ndarray, bits: int) -> bytes:
+    """The SimHash of hashed shingles, big-endian; zero if there are none."""
+    if not len(h):
+        return bytes(bits // 8)
     out = []
     for salt in range(bits // 64):
         own, ones = h if salt == 0 else mix(h, salt), np.zeros(64, np.int64)
@@ -137,8 +148,12 @@ class Forest:
 
 def near_links(distinct: DataFrame, bands: list[list[int]], radius: int, max_tree: int = MAX_TREE) -> DataFrame:
     """Links ``(a, b)`` between fingerprints within the radius that share a band; distinct: ``(fingerprint)``."""
-    spark = distinct.sparkSession
-    dealt = distinct.select("fingerprint").mapInArrow(_dealer(bands), "band int, key long, fingerprint binary")
+    return links_within(distinct.select("fingerprint").mapInArrow(_dealer(bands), "band int, key long, fingerprint binary"), radius, max_tree)
+
+
+def links_within(dealt: DataFrame, radius: int, max_tree: int = MAX_TREE) -> DataFrame:
+    """Links ``(a, b)`` between fingerprints within the radius that share a band and key; dealt: ``(band, key, fingerprint)``."""
+    spark = dealt.sparkSession
     hot = dealt.groupBy("band", "key").count().where(F.col("count") > max_tree).select("band", "key", F.ceil(F.col("count") / max_tree).cast("int").alias("shards"))
     split = dealt.join(hot, ["band", "key"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     own = F.pmod(F.xxhash64("fingerprint"), F.col("shards")).cast("int")

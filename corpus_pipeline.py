@@ -9,13 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ballast.functions.durable import scratch, ship
-from ballast.llm import classifier, decontaminate, packing, simhash, substring
+from ballast.llm import classifier, decontaminate, jaccard, packing, substring
 
-#: Near duplicates: five-word shingles and a SimHash of 256 bits. At a Jaccard similarity of 0.8 two prints differ in 38.6 bits on average
-#: (a share of arccos(2 * 0.8 / 1.8) / pi), with a standard deviation of 5.7. The radius links 95 % of such pairs, and nearly all above 0.85.
-SHINGLE, BITS, RADIUS = 5, 256, 48
-#: 56 bands of 18 bits bring 95 % of pairs at 0.8 together, and over 99 % of those at 0.85.
-BANDS = simhash.sampled_bands(BITS, 18, 56)
+#: Near duplicates: a Jaccard similarity of 0.8 or more between sets of five-word shingles.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest doc_id."""
     ship(spark)
-    return simhash.drop_near_duplicates(docs, shingle=SHINGLE, bits=BITS, radius=RADIUS, bands=BANDS)
+    return jaccard.drop_near_copies(docs, shingle=SHINGLE, threshold=SIMILARITY)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
