@@ -8,7 +8,8 @@ that is shorter than a window.
 The automaton is built on the driver and broadcast, so its size is bounded: the items are dealt
 into blocks of at most ``max_block_bytes`` of text (measured by Spark beforehand), each with an
 automaton of its own, and the documents are streamed past each block. With one block nothing is
-shuffled at all; with more, only the matches of hit documents are.
+shuffled at all; with more, the matches of hit texts are, and are joined back by the text's SHA-256, so that
+all blocks see the whole text.
 
 Nulls and empties: a null text has no words and is never hit; an item without words is never found;
 a null item_id takes no part in ``items`` but its words still count as hit. Rows are handled one
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballast.functions.durable import apart
 from ballast.llm.text import alnum_words, as_bytes, lower_alnum, spans_of
 
 MAX_BLOCK_BYTES = 2_000_000
@@ -153,6 +155,28 @@ def _blocks(items: DataFrame, item_id: str, text: str, max_block_bytes: int) ->
         yield [(r.item, r.text) for r in part.collect()]
 
 
+def _automata(spark, items: DataFrame, item_id: str, item_text: str, window: int, max_block_bytes: int) -> list:
+    """A broadcast automaton for each block of items."""
+    return [spark.sparkContext.broadcast(SuffixAutomaton([(i, alnum_words(t.encode())) for i, t in block], window)) for block in _blocks(items, item_id, item_text, max_block_bytes)]
+
+
+SPANS = "array<struct<a:long,b:long>>"
+
+
+def _hits(texts: DataFrame, automata: list) -> DataFrame:
+    """``(key, spans, items)`` of each distinct text that any block hits, all blocks matched to the whole text; texts: ``(key, text)``.
+
+    What a text matches depends on nothing but the text, so rows need no name of their own.
+    """
+    parts = [texts.mapInArrow(_matcher(known, only_hits=True), f"key string, n_words long, spans {SPANS}, items array<string>").withColumn("block", F.lit(k)) for k, known in enumerate(automata)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    once = out.groupBy("key", "block").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+    merged = F.udf(lambda xs: merge([(x.a, x.b) for x in xs]), SPANS)
+    return once.groupBy("key").agg(merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
 def match_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """``(row of docs' doc_id, n_words, spans, items)`` for each document.
 
@@ -178,7 +202,9 @@ def match_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", te
     )
 
 
-def _matcher(known):
+def _matcher(known, only_hits: bool = False):
+    """Matches of ``(name, text)``; the name stays."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = known.value
         span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -190,7 +216,8 @@ def _matcher(known):
                 n.append(len(ws))
                 spans.append([{"a": a, "b": b} for a, b in hit])
                 items.append(sorted(str(x) for x in found if x is not None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=[batch.schema.names[0], "n_words", "spans", "items"])
+            yield made.filter(pa.array([bool(x) for x in spans], pa.bool_())) if only_hits else made
 
     return run
 
@@ -200,24 +227,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
 
     A document of whose words more than ``max_coverage`` are hit goes as a whole. Of the others
     each hit span is cut out of the text, from its first word to its last. Texts without a hit, null and
-    empty ones among them, stay as they are.
+    empty ones among them, stay as they are. However many blocks the items make, all are matched to the text as it was.
     """
     at = docs.columns.index(text)
-    out = docs
-    for block in _blocks(items, item_id, item_text, max_block_bytes):
-        known = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton([(i, alnum_words(t.encode())) for i, t in block], window))
-        out = out.mapInArrow(_cleaner(known, at, max_coverage), docs.schema)
-    return out
+    automata = _automata(docs.sparkSession, items, item_id, item_text, window, max_block_bytes)
+    if len(automata) == 1:
+        return docs.mapInArrow(_cleaner(at, max_coverage, automata[0]), docs.schema)
+    keyed = docs.withColumn("__key", F.sha2(text, 256))
+    hits = _hits(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), automata).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    return keyed.join(apart(hits, "__key"), "__key", "left").select(*docs.columns, "__spans").mapInArrow(_cleaner(at, max_coverage), docs.schema)
+
 
+def _cleaner(at: int, max_coverage: float, known=None):
+    """Cuts what an automaton finds, or else the spans of the last column, which goes."""
 
-def _cleaner(known, at: int, max_coverage: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = known.value
+        automaton = known.value if known else None
         for batch in it:
             texts, keep, changed = as_bytes(batch.column(at)), [], False
+            given = None if known else batch.column(batch.num_columns - 1).to_pylist()
+            if not known:
+                batch = batch.select(list(range(batch.num_columns - 1)))
             for k, t in enumerate(texts):
+                if given is not None and not given[k]:
+                    keep.append(True)
+                    continue
                 ws = alnum_words(t)
-                hit, _ = automaton.match(ws)
+                hit = automaton.match(ws)[0] if known else [(x["a"], x["b"]) for x in given[k]]
                 keep.append(sum(b - a for a, b in hit) <= max_coverage * len(ws))
                 if hit:
                     texts[k], changed = cut_spans(t, hit), True

@@ -58,3 +58,20 @@ def test_no_items_and_no_documents(spark):
     assert D.match_items(d, i.where("false")).where("size(spans) > 0").count() == 0
     assert D.match_items(d.where("false"), i).count() == 0
     assert D.decontaminate(d, i.where("false")).count() == d.count()
+
+
+def test_cuts_do_not_depend_on_the_number_of_blocks(spark):
+    w = [f"v{k}" for k in range(60)]
+    items = [(k, " ".join(ws)) for k, ws in enumerate([w[0:12], w[8:20], w[30:42], w[44:56], ["a1", "a2", "a3", "a4", "a5", "b1", "b2", "b3", "b4", "b5"]])]
+    far = [f"f{k}" for k in range(40)]
+    texts = [
+        " ".join(far[:20] + w[0:20] + far[20:]),  # overlapping passages of two items
+        " ".join(far[:8] + w[30:42] + w[44:56] + far[8:16]),  # covered by both together only
+        " ".join(far[:20] + ["a1", "a2", "a3", "a4", "a5"] + w[30:42] + ["b1", "b2", "b3", "b4", "b5"] + far[20:]),  # neighbours by a cut only
+        None, "", "nothing here",
+    ]
+    d, i = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    want = {0: " ".join(far[:20]) + "  " + " ".join(far[20:]), 2: " ".join([*far[:20], "a1 a2 a3 a4 a5"]) + "  " + " ".join(["b1 b2 b3 b4 b5", *far[20:]]), 3: None, 4: "", 5: "nothing here"}
+    for most in (10**6, 50):
+        out = D.decontaminate(d, i, max_block_bytes=most)
+        assert out.columns == d.columns and {r.doc_id: r.text for r in out.collect()} == want
