@@ -9,7 +9,7 @@ The automaton is built on the driver and broadcast, so its size is bounded: the
 into blocks of at most ``max_block_bytes`` of text (measured by Spark beforehand), each with an
 automaton of its own, and the documents are streamed past each block. With one block nothing is
 shuffled at all; with more, the matches of hit texts are, and are joined back by the text's SHA-256, so that
-all blocks see the whole text.
+all blocks see the whole text. Copies of an item text are one text with several ids.
 
 Nulls and empties: a null text has no words and is never hit; an item without words is never found;
 a null item_id takes no part in ``items`` but its words still count as hit. Rows are handled one
@@ -141,18 +141,21 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, max_block_bytes: int) -> Iterator[list[tuple]]:
-    """The items by blocks; no block is collected whose size was not measured."""
-    named = items.select(F.col(item_id).alias("item"), F.col(text).alias("text")).where("text is not null")
-    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """Distinct item texts with their ids, by blocks; no block is collected whose size was not measured."""
+    ids = F.collect_set("item")  # without nulls
+    named = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null").groupBy("text").agg(ids.alias("ids"))
+    size = F.octet_length("text") + F.octet_length(F.array_join("ids", ","))
+    total = named.agg(F.sum(size)).first()[0] or 0
     n = -(-total // max_block_bytes) or 1
     while n > 1:  # until the deal by hash leaves no block over the bound, or each text has its own
-        dealt = named.groupBy(F.pmod(F.xxhash64("text"), F.lit(n)).alias("k")).agg(F.sum(F.octet_length("text")).alias("b"), F.max(F.octet_length("text")).alias("m"))
+        dealt = named.groupBy(F.pmod(F.xxhash64("text"), F.lit(n)).alias("k")).agg(F.sum(size).alias("b"), F.max(size).alias("m"))
         if not dealt.where(f"b > {max_block_bytes} and b > m").take(1):
             break
         n *= 2
     for k in range(n):
         part = named if n == 1 else named.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield [(r.item, r.text) for r in part.collect()]
+        if (got := part.collect()) or n == 1:
+            yield [(i, r.text) for r in got for i in r.ids or [None]]
 
 
 def _automata(spark, items: DataFrame, item_id: str, item_text: str, window: int, max_block_bytes: int) -> list:
@@ -183,23 +186,21 @@ def match_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", te
     ``spans`` are hit words as ``[from, to)`` pairs, merged and in order; ``items`` the ids of the items found,
     as strings, sorted.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
-    parts = []
-    for block in _blocks(items, item_id, item_text, max_block_bytes):
-        known = spark.sparkContext.broadcast(SuffixAutomaton([(i, alnum_words(t.encode())) for i, t in block], window))
-        parts.append(own.mapInArrow(_matcher(known), schema))
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    merged = F.udf(lambda xs: merge([(x.a, x.b) for ys in xs for x in ys]), "array<struct<a:long,b:long>>")
-    return out.groupBy("doc_id", "n_words").agg(
-        merged(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    kind = own.schema["doc_id"].dataType.simpleString()
+    automata = _automata(docs.sparkSession, items, item_id, item_text, window, max_block_bytes)
+    if len(automata) == 1:
+        return own.mapInArrow(_matcher(automata[0]), f"doc_id {kind}, n_words long, spans {SPANS}, items array<string>")
+    keyed = own.withColumn("key", F.sha2("text", 256))
+    hits = _hits(keyed.select("key", "text"), automata)
+    counted = keyed.select("doc_id", "text", "key").mapInArrow(_counter, f"doc_id {kind}, n_words long, key string")
+    return counted.join(apart(hits, "key"), "key", "left").select("doc_id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _counter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        n = pa.array([len(alnum_words(t)) for t in as_bytes(batch.column(1))], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), n, batch.column(2)], names=["doc_id", "n_words", "key"])
 
 
 def _matcher(known, only_hits: bool = False):

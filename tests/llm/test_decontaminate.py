@@ -60,6 +60,28 @@ def test_no_items_and_no_documents(spark):
     assert D.decontaminate(d, i.where("false")).count() == d.count()
 
 
+def test_rows_keep_their_number_whatever_the_number_of_blocks(spark):
+    docs, items, d, i = tables(spark)
+    odd = [(None, " ".join(docs[8][1].split()[k : k + 20]), "en", "s", 1) for k in (0, 10, 30)] + [docs[8], docs[8]]
+    d = d.unionByName(spark.createDataFrame(odd, SCHEMA))
+    rows = lambda most: by_id((r.doc_id, r.n_words, tuple((s.a, s.b) for s in r.spans), tuple(r["items"])) for r in D.match_items(d, i, max_block_bytes=most).collect())
+    assert len(rows(120)) == d.count() and rows(120) == rows(10**6)
+
+
+def test_copies_of_an_item_over_a_block_end(spark):
+    draw = random.Random(6)
+    item, other = prose(draw, 30), prose(draw, 30)
+    i = spark.createDataFrame([(k, item) for k in range(20)] + [(99, other)], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"x {item} y", "en", "s", 1)], SCHEMA)
+    blocks = []
+    for block in D._blocks(i, "item_id", "text", 60):
+        blocks.append(block)
+        assert len(blocks) <= 64
+    assert sorted(len(b) for b in blocks) == [1, 20]
+    (row,) = D.match_items(d, i, max_block_bytes=60).collect()
+    assert sorted(row["items"]) == sorted(map(str, range(20)))
+
+
 def test_cuts_do_not_depend_on_the_number_of_blocks(spark):
     w = [f"v{k}" for k in range(60)]
     items = [(k, " ".join(ws)) for k, ws in enumerate([w[0:12], w[8:20], w[30:42], w[44:56], ["a1", "a2", "a3", "a4", "a5", "b1", "b2", "b3", "b4", "b5"]])]
