@@ -3,19 +3,21 @@
 Overlapping heuristic labellers vote bad, good or nothing on each text, for two faults: junk and abuse. For each
 fault, expectation-maximisation over the vote patterns estimates how often each labeller is right, without taking any for
 true (annotators are one more labeller, heard where they said something); the posterior of a text being bad on either count then labels it for a hashed linear scorer (logistic regression on
-hashed words and hashed form features), which scores every text and also learns words that no labeller lists.
+hashed words, hashed form features and the votes themselves), which scores every text and also learns words that no labeller lists.
 
-Fitting takes a bounded sample of ``sample_rows`` rows, chosen by hash; every row is scored. The scorer is an array of
-``2 ** bits`` weights, a fixed size for any input.
+Fitting takes a bounded sample of documents that annotators named, filled up with others, chosen by hash; every row is scored. The sample stays in Spark: the driver
+gets how often each vote pattern occurs, the features that tell bad texts from good ones (``MOST_FEATURES`` at most, each with two counts), and of the sample's texts the distinct
+sets of these features. Sums are of integers, so a fit does not depend on the order in which tasks end. The scorer is an array of ``2 ** bits`` weights, a fixed size for any input.
 
-Nulls and empties: a null text is an empty one, which has no fault that a labeller could see. Repeated rows get equal scores. No rows give no rows.
+Nulls and empties: a null text is an empty one, which has no fault that a labeller could see. Repeated rows get equal scores; in the sample, rows of one text are one. Very long texts are
+read whole; a text counts each of its features once. Of several annotations of a document the worst counts. Features that tie at the bound are taken by number. No rows give no rows; no
+labels, or none of a document that is there, leave the labellers alone. Other columns are carried along; :func:`score` replaces a column of the name that it adds.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ballast.functions.durable import cut
 from ballast.llm.rules import Text
 from ballast.llm.text import alnum_words, as_bytes
 
 SAMPLE_ROWS = 20_000
 BITS = 20
 #: A feature has a weight if that many texts of the sample have it, and if its share of bad texts
-#: is that many standard errors away from the sample's.
-LEAST_TEXTS, LEAST_Z = 4, 5.0
+#: is that many standard errors away from the sample's, and that many times as large or as small.
+LEAST_TEXTS, LEAST_Z, LEAST_LIFT = 4, 5.0, 1.5
+MOST_FEATURES = 4096
+#: Texts without an annotation count fully up to so many annotated ones, and the less the more there are.
+FEW = 200
 BAD, GOOD, NOTHING = 1, 0, 2
 
 MILD = frozenset(b"stupid dumb clown loser fool lame pathetic worthless useless trash garbage ridiculous".split())
+ENGLISH = frozenset(b"the of and to a in is that for with".split())
 HARSH = frozenset(b"idiot moron imbecile scum vermin disgusting filthy creep bastard retard jerk freak".split())
 
 
@@ -57,7 +64,8 @@ _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 def votes(form: Form, ws: list[bytes], quality: int | None, toxic: int | None) -> tuple[int, ...]:
     """Votes on junk, then on abuse. In each, the first vote is an annotator's, where there is one."""
-    mild, harsh = sum(w in MILD for w in ws), sum(w in HARSH for w in ws)
+    distinct = set(ws)
+    knows = GOOD if 10 * sum(w in ENGLISH for w in ws) > len(ws) else NOTHING  # the lists are English: elsewhere, finding nothing says nothing
     split = lambda x, good, bad: BAD if x > bad else GOOD if x <= good else NOTHING
     return (
         NOTHING if quality is None else GOOD if quality else BAD,
@@ -68,37 +76,37 @@ def votes(form: Form, ws: list[bytes], quality: int | None, toxic: int | None) -
         split(form.again, 0.05, 0.3),
         split(form.symbols + form.shouts + form.again, 0.1, 0.4),
         NOTHING if toxic is None else BAD if toxic else GOOD,
-        BAD if mild else NOTHING,
-        BAD if harsh else NOTHING,
-        BAD if mild + harsh > 1 else NOTHING,
-        BAD if mild + harsh > 0.002 * form.n else NOTHING,
+        knows if distinct.isdisjoint(MILD) else BAD,
+        knows if distinct.isdisjoint(HARSH) else BAD,
     )
 
 
-FAULTS = {"junk": slice(0, 7), "abuse": slice(7, 12)}
+FAULTS = {"junk": slice(0, 7), "abuse": slice(7, 10)}
 
 
 def features(form: Form, ws: list[bytes], bits: int) -> np.ndarray:
-    """Distinct hashed features of a text, in order: words, how words begin, and form."""
+    """Distinct hashed features of a text, in order: words, how words begin, form, and the labellers' votes without annotators'."""
+    said = [b"\x00vote %d %d" % (k, v) for k, v in enumerate(votes(form, ws, None, None)) if v == BAD]
     mask, crc, distinct = (1 << bits) - 1, zlib.crc32, set(ws)
     measures = ((b"symbols", form.symbols), (b"upper", form.upper), (b"shouts", form.shouts), (b"bare", form.bare), (b"again", form.again))
     shape = [b"\x00%s %d" % (name, k) for name, x in measures for k in range(1, min(9, int(10 * x)) + 1)]  # each level reached
     begins = {w[:4] for w in distinct} | {w[:5] for w in distinct}
-    return np.unique(np.fromiter((x & mask for x in (*map(crc, distinct), *(crc(w, 1) for w in begins), *map(crc, shape))), np.int32))
+    return np.unique(np.fromiter((x & mask for x in (*map(crc, distinct), *(crc(w, 1) for w in begins), *map(crc, shape), *map(crc, said))), np.int32))
 
 
 def fit_labellers(patterns: dict[tuple[int, ...], int], prior: float = 0.1, rounds: int = 100) -> dict[tuple[int, ...], float]:
     """The posterior of bad for each vote pattern.
 
     The model: a text is bad with some probability, and given that, each labeller votes on its own, by its own
-    rates of bad and of good; silence is no evidence. Starts from the share of bad votes.
+    rates of bad and of good; silence is no evidence, and where all are silent the prior stays. Starts from the share of bad votes.
     """
-    keys = list(patterns)
+    out = dict.fromkeys(patterns, prior)
+    keys = [k for k in patterns if any(v != NOTHING for v in k)]
     if not keys:
-        return {}
+        return out
     x, n = np.array(keys), np.array([patterns[k] for k in keys], float)
     bad, good = (x == BAD).sum(axis=1), (x == GOOD).sum(axis=1)
-    p = np.where(bad + good > 0, (bad + prior) / (bad + good + 1), prior)
+    p = (bad + prior) / (bad + good + 1)
     for _ in range(rounds):
         share = np.clip((n * p).sum() / n.sum(), 1e-3, 0.5)
         score = np.full(len(keys), math.log(share / (1 - share)))
@@ -110,29 +118,23 @@ def fit_labellers(patterns: dict[tuple[int, ...], int], prior: float = 0.1, roun
         done, p = float(np.abs(new - p).max()) < 1e-6, new
         if done:
             break
-    return dict(zip(keys, p.tolist()))
+    return out | dict(zip(keys, p.tolist()))
 
 
-def fit_scorer(rows: list[np.ndarray], target: np.ndarray, bits: int, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z, rounds: int = 300, ridge: float = 0.02) -> tuple[np.ndarray, float]:
+def fit_scorer(rows: list[tuple[np.ndarray, float, float]], used: np.ndarray, bits: int, rounds: int = 300, ridge: float = 0.02) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on binary features, by full-batch adaptive gradient steps.
 
-    Only features that tell bad texts from good ones beyond chance get a weight, so long texts do not drift.
+    rows: sets of features as indices into ``used``, each with how many texts have it and the sum of their targets. Other features than those used get no weight, so long texts do not drift.
     """
     weights, bias = np.zeros(1 << bits, np.float32), -1.0
     if not rows:
         return weights, bias
-    share, n, bad = float(np.clip(target.mean(), 1e-3, 0.999)), np.zeros(1 << bits), np.zeros(1 << bits)
-    for r, p in zip(rows, target.tolist()):
-        n[r] += 1  # a text's features are distinct
-        bad[r] += p
-    used = np.flatnonzero((n >= least_texts) & (np.abs(bad - n * share) >= least_z * np.sqrt(n * share * (1 - share))))
-    name = np.full(1 << bits, -1, np.int32)
-    name[used] = np.arange(len(used), dtype=np.int32)
-    rows = [named[named >= 0] for named in (name[r] for r in rows)]
-    at, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+    n, bad = (np.array([r[k] for r in rows]) for k in (1, 2))
+    share = float(np.clip(bad.sum() / n.sum(), 1e-3, 0.999))
+    at, col = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows])
     w, grown, grown_bias, bias = np.zeros(len(used)), np.full(len(used), 1e-8), 1e-8, math.log(share / (1 - share))
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-np.clip(bias + np.bincount(at, w[col], len(rows)), -30, 30))) - target
+        error = n / (1 + np.exp(-np.clip(bias + np.bincount(at, w[col], len(rows)), -30, 30))) - bad
         slope = np.bincount(col, error[at], len(used)) + ridge * w
         grown += slope**2
         w -= 0.5 * slope / np.sqrt(grown)
@@ -142,41 +144,82 @@ def fit_scorer(rows: list[np.ndarray], target: np.ndarray, bits: int, least_text
     return weights, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """The scorer for ``docs``, from the weak labels of a sample of them.
-
-    labels: ``(doc_id, quality, toxic)`` of some documents, one more labeller of each fault. With it, the sample is of documents that it names
-    (their ids are broadcast, at most twice ``sample_rows``), and texts on whose abuse no labeller says anything are no training rows:
-    silence is no sign of a clean text in a language that the lists do not cover.
-    """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    chosen = lambda rows, *key: rows.where(F.pmod(F.xxhash64(*key), F.lit(2**31)) < int(min(1.0, sample_rows / max(1, rows.count())) * 2**31)).limit(2 * sample_rows)
+def _sample(own: DataFrame, labels: DataFrame | None, sample_rows: int) -> DataFrame:
+    """``(text, quality, toxic)`` of about ``sample_rows`` annotated documents and half as many of all."""
+    chosen = lambda rows, most, *key: rows.where(F.pmod(F.xxhash64(*key), F.lit(2**31)) < int(min(1.0, most / max(1, rows.count())) * 2**31))
     if labels is None:
-        sample = chosen(own, "doc_id", "text").select("text", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    else:
-        said = labels.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-        sample = own.join(F.broadcast(chosen(said, "doc_id")), "doc_id").select("text", "quality", "toxic")
-    sample = sample.groupBy("text").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        return chosen(own, sample_rows, "doc_id", "text").select("text", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    said = labels.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    named = own.join(F.broadcast(chosen(said, sample_rows, "doc_id").limit(2 * sample_rows)), "doc_id")
+    return named.unionByName(chosen(own, sample_rows // 2, "doc_id", "text").join(said, "doc_id", "left")).select("text", "quality", "toxic")
 
+
+def _voter(bits: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             vs, fs = [], []
             for raw, quality, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 form, ws = Form(raw), alnum_words(raw)
-                vs.append(votes(form, ws, quality, toxic))
-                fs.append(features(form, ws, bits).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.list_(pa.int32())), pa.array(fs, pa.binary())], names=["votes", "features"])
-
-    got = sample.mapInArrow(run, "votes array<int>, features binary").limit(2 * sample_rows).toArrow()
-    got = got.take(pa.array(sorted(range(len(got)), key=lambda k: got["features"][k].as_py()), pa.int64()))  # sums in one order, whatever tasks end first
-    said, made = got["votes"].to_pylist(), got["features"]
-    good = np.ones(len(said))
+                vs.append(bytes(votes(form, ws, quality, toxic)))
+                fs.append(features(form, ws, bits))
+            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.binary()), pa.array(fs, pa.list_(pa.int32()))], names=["votes", "features"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
+    """The scorer for ``docs``, from the weak labels of a sample of them.
+
+    labels: ``(doc_id, quality, toxic)`` of some documents, one more labeller of each fault. The more texts they speak of (their sampled ids are broadcast, at most twice ``sample_rows``),
+    the less count others, whatever the labellers say of them: silence is no sign of a clean text in a language that the lists do not cover.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sample = _sample(own, labels, sample_rows).groupBy("text").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    seen = cut(sample.mapInArrow(_voter(bits), "votes binary, features array<int>"))
+
+    patterns = {bytes(r["votes"]): r["count"] for r in seen.groupBy("votes").count().collect()}
+    good = dict.fromkeys(patterns, 1.0)
     for part in FAULTS.values():
-        own_votes = [tuple(v[part]) for v in said]
-        posterior = fit_labellers(Counter(own_votes))
-        good *= 1 - np.array([posterior[v] for v in own_votes])
-    heard = [k for k, v in enumerate(said) if labels is None or good[k] < 0.5 or any(x != NOTHING for x in v[FAULTS["abuse"]])]
-    return fit_scorer([np.frombuffer(made[k].as_buffer(), np.int32) for k in heard], 1 - good[heard], bits)
+        counted: dict[tuple[int, ...], int] = {}
+        for v in sorted(patterns):
+            counted[tuple(v[part])] = counted.get(tuple(v[part]), 0) + patterns[v]
+        posterior = fit_labellers(counted)
+        for v in patterns:
+            good[v] *= 1 - posterior[tuple(v[part])]
+    annotated = sum(n for v, n in patterns.items() if v[FAULTS["abuse"].start] != NOTHING)
+    weight = {v: 1.0 if v[FAULTS["abuse"].start] != NOTHING else min(1.0, FEW / max(1, annotated)) for v in patterns}
+    #: by pattern: a text's weight and its weighted target, in millionths
+    told = [(v, round(weight[v] * 1e6), round(weight[v] * (1 - good[v]) * 1e6)) for v in sorted(patterns)]
+    rows = seen.join(F.broadcast(spark.createDataFrame(told, "votes binary, w long, b long")), "votes").where("w > 0")
+
+    total = rows.agg(F.sum("w"), F.sum("b")).first()
+    share = float(np.clip((total[1] or 0) / max(1, total[0] or 0), 1e-3, 0.999))
+    counts = rows.select(F.explode("features").alias("f"), "w", "b").groupBy("f").agg((F.sum("w") / 1e6).alias("n"), (F.sum("b") / 1e6).alias("bad"))
+    z = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    telling = counts.withColumn("z", z).where((F.col("n") >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z) & ~(F.col("bad") / F.col("n")).between(share / LEAST_LIFT, share * LEAST_LIFT)).orderBy(F.desc("z"), "f").limit(MOST_FEATURES)
+    used = np.sort(telling.select("f").toArrow()["f"].to_numpy())
+
+    known = spark.sparkContext.broadcast(used)
+    sets = rows.select("features", "w", "b").mapInArrow(_reducer(known), "own binary, w long, b long").groupBy("own").agg(F.sum("w").alias("w"), F.sum("b").alias("b")).toArrow()
+    made = sorted(zip(sets["own"].to_pylist(), sets["w"].to_pylist(), sets["b"].to_pylist()))
+    return fit_scorer([(np.frombuffer(x, np.int32), w / 1e6, b / 1e6) for x, w, b in made], used, bits)
+
+
+def _reducer(known):
+    """Of each text's features, where the used ones are among those."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = known.value
+        for batch in it:
+            own = []
+            for f in batch.column(0):
+                x = f.values.to_numpy()
+                at = np.minimum(np.searchsorted(used, x), max(0, len(used) - 1))
+                own.append(at[used[at] == x].astype(np.int32).tobytes() if len(used) else b"")
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), *batch.columns[1:]], names=["own", "w", "b"])
+
+    return run
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text: str = "text", column: str = "badness") -> DataFrame:
