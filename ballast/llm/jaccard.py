@@ -141,27 +141,24 @@ def _common(texts: DataFrame, shingle: int) -> dict[int, int]:
     return dict(zip(got["h"].to_numpy().view(np.uint64).tolist(), got["count"].to_pylist()))
 
 
-def _signer(shingle: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            made = pa.array([print_of(shingle_set(t, shingle), BITS) for t in as_bytes(batch.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["doc_id", "nid", "fingerprint"])
-
-    return run
+def _signer(known, shingle: int, threshold: float):
+    """Fingerprint and keys of each text; of copies in a task, one has keys."""
+    names = ["doc_id", "nid", "fingerprint", "keys"]
 
-
-def _dealer(known, shingle: int, threshold: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = known.value, set()
+        order, done = known.value, {}
         for batch in it:
-            keys, nids = [], []
-            for nid, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                if nid not in seen:  # of copies in a task, one is enough
-                    seen.add(nid)
-                    keys.append(order.first(shingle_set(t, shingle), threshold).view(np.int64))
-                    nids.append(np.full(len(keys[-1]), nid, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nids))], names=["key", "nid"])
+            prints, keys = [], []
+            for nid, t in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+                if nid in done:
+                    prints.append(done[nid])
+                    keys.append(None)
+                    continue
+                own = shingle_set(t, shingle)
+                prints.append(print_of(own, BITS))
+                keys.append(order.first(own, threshold).view(np.int64))
+                done[nid] = prints[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=names)
 
     return run
 
@@ -213,11 +210,11 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     named = docs.where(F.col(doc_id).isNotNull()).withColumn("__nid", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     own = named.select(F.col(doc_id).alias("doc_id"), F.col("__nid").alias("nid"), F.col(text).alias("text"))
-    signed = own.mapInArrow(_signer(shingle), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, nid long, fingerprint binary")
-    distinct = cut(signed.groupBy("nid").agg(F.min("doc_id").alias("least"), F.min("fingerprint").alias("fingerprint")))
-
     order = spark.sparkContext.broadcast(Order(_common(own, shingle)))
-    dealt = own.select("nid", "text").mapInArrow(_dealer(order, shingle, threshold), "key long, nid long")
+    signed = own.mapInArrow(_signer(order, shingle, threshold), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, nid long, fingerprint binary, keys array<long>")
+    held = cut(signed.groupBy("nid").agg(F.min("doc_id").alias("least"), F.min("fingerprint").alias("fingerprint"), F.max("keys").alias("keys")))
+    distinct = held.drop("keys")
+    dealt = held.select(F.explode("keys").alias("key"), "nid")
     met = cut(dealt.repartition(width(spark), "key").sortWithinPartitions("key", "nid").mapInArrow(_meeting, "key long, nid long"))
     prints = met.join(apart(distinct.select("nid", "fingerprint"), "nid"), "nid").select(F.lit(0).alias("band"), "key", "fingerprint").distinct()
     roots = connected_components(links_within(prints, RADIUS, max_tree), "a", "b").withColumnRenamed("node", "fingerprint")
@@ -226,9 +223,9 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     several = grouped.groupBy("whole").count().where("count > 1").select("whole")
     members = cut(grouped.join(apart(several, "whole"), "whole").select("nid", "least", "whole"))
     texts = own.join(apart(members.withColumnRenamed("least", "doc_id"), "doc_id"), ["doc_id", "nid"]).groupBy("nid").agg(F.first("whole").alias("whole"), F.first("text").alias("text"))
-    held = cut(texts)
-    shards = held.groupBy("whole").agg(F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / max_group_bytes).cast("int").alias("shards")).where("shards > 1")
-    split = held.join(apart(shards, "whole"), "whole", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    compared = cut(texts)
+    shards = compared.groupBy("whole").agg(F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / max_group_bytes).cast("int").alias("shards")).where("shards > 1")
+    split = compared.join(apart(shards, "whole"), "whole", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     mine = F.pmod(F.xxhash64("nid", F.lit(1)), F.col("shards")).cast("int")
     rows = split.withColumn("shard", F.explode(F.sequence(mine, F.col("shards") - 1))).withColumn("asks", F.col("shard") != mine).drop("shards")
     links = rows.repartition(width(spark), "whole", "shard").sortWithinPartitions("whole", "shard", "asks", "nid").mapInArrow(_linker(shingle, threshold), "a long, b long")
