@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import email
 import hashlib
 import io
 import json
-import mailbox
 import tarfile
-import tempfile
 from collections.abc import Iterator
 from email import policy
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,47 +21,62 @@ from pyspark.sql import functions as F
 HIDDEN, LINES = ("script", "style"), ("br", "p", "div", "tr", "li")
 
 
-class _Visible(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: list[str] = []
-        self.depth = 0
+class _Log(HTMLParser):
+    """Writes down what a page holds, in order, as ``(what, value)``."""
 
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in HIDDEN
-        if tag in LINES:
-            self.found.append("\n")
+    def __init__(self, log: list[tuple[str, str]]):
+        super().__init__()
+        self.handle_data = lambda data: log.append(("text", data))
+        self.handle_starttag = lambda tag, _: log.append(("open", tag))
+        self.handle_endtag = lambda tag: log.append(("close", tag))
 
-    def handle_endtag(self, tag):
-        if tag in HIDDEN and self.depth:
-            self.depth -= 1
 
-    def handle_data(self, data):
-        if self.depth == 0:
-            self.found.append(data)
+def shown(log: list[tuple[str, str]]) -> Iterator[str]:
+    """The pieces of text outside of hidden elements, and a line feed for each element that starts a line."""
+    inside = 0
+    for what, value in log:
+        if what == "text":
+            if not inside:
+                yield value
+        elif value in HIDDEN:
+            inside = inside + 1 if what == "open" else max(inside - 1, 0)
+        elif what == "open" and value in LINES:
+            yield "\n"
+
+
+def single_spaced(text: str) -> str:
+    """``text`` with one blank for each run of white space and none at its ends."""
+    return " ".join(text.split())
 
 
 def html_text(html: str | None) -> str:
     """What a reader of the page sees, with single blanks."""
-    parser = _Visible()
-    parser.feed(html or "")
-    return " ".join(" ".join(parser.found).split())
+    log: list[tuple[str, str]] = []
+    _Log(log).feed(html or "")
+    return single_spaced(" ".join(shown(log)))
 
 
-def mail_body(raw: bytes | None) -> str:
-    """The text of a message: its plain part, else its visible html; undeclared or unknown charsets are UTF-8."""
-    if not raw:
-        return ""
-    part = email.message_from_bytes(bytes(raw), policy=policy.default).get_body(preferencelist=("plain", "html"))
-    payload = part.get_payload(decode=True) if part is not None else None
-    if payload is None:
-        return ""
-    try:
-        text = payload.decode(part.get_content_charset() or "utf-8", "replace")
-    except LookupError:
-        text = payload.decode("utf-8", "replace")
-    return html_text(text) if part.get_content_type() == "text/html" else " ".join(text.split())
+def decoded(payload: bytes, charset: str | None) -> str:
+    """A payload in its charset; in UTF-8 if that is undeclared or unknown."""
+    for name in filter(None, (charset, "utf-8")):
+        with contextlib.suppress(LookupError):
+            return str(payload, name, "replace")
+    return ""
+
 
+#: How the text of a part is read, by its subtype; the first one that a message has counts.
+READ = {"plain": single_spaced, "html": html_text}
+
+
+def mail_body(raw: bytes | None) -> str:
+    """The text of a message: its plain part, else its visible html."""
+    message = email.message_from_bytes(bytes(raw or b""), policy=policy.default)
+    for subtype in READ:
+        if (part := message.get_body((subtype,))) is not None:
+            payload = part.get_payload(decode=True) or b""
+            # a message without a declared type is its own plain part, whatever type it names
+            return READ["html" if part.get_content_type() == "text/html" else "plain"](decoded(payload, part.get_content_charset()))
+    return ""
 
 
 def visible_text(html: Column) -> Column:
@@ -160,34 +175,38 @@ def region_candidates(tree: Column) -> Column:
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """``(path, member, raw)`` of each message in tar archives and mboxes; files: ``(path, content)`` as ``binaryFile`` reads them.
+    """``(path, member, raw)`` of each file in tar archives; files: ``(path, content)`` as ``binaryFile`` reads them.
 
-    An archive cannot be split, so each is one task's; the members are for the caller to repartition.
+    A compressed archive cannot be split, so each is one task's; the members are for the caller to repartition.
     """
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                for name, raw in members(path, bytes(content)):
-                    yield pd.DataFrame({"path": [path], "member": [name], "raw": [raw]})
-
-    return files.select("path", "content").mapInPandas(run, "path string, member string, raw binary")
-
-
-def members(path: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-    """Names and bytes of an archive's messages."""
-    if ".tar" in path or path.endswith(".tgz"):
-        with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-            for m in tar:
-                if m.isfile():
-                    yield m.name, tar.extractfile(m).read()
-    else:
-        with tempfile.NamedTemporaryFile(suffix=".mbox") as f:
-            f.write(content)
-            f.flush()
-            box = mailbox.mbox(f.name, create=False)
-            for k in box.keys():
-                yield str(k), box.get_bytes(k)
+    schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("raw", pa.binary())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held, size = [], 0
+                for name, raw in members(content):
+                    held.append((path, name, raw))
+                    size += len(raw)
+                    if size > 4_000_000:
+                        yield _rows(held, schema)
+                        held, size = [], 0
+                if held:
+                    yield _rows(held, schema)
+
+    return files.select("path", "content").mapInArrow(run, "path string, member string, raw binary")
+
+
+def _rows(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def members(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """Names and bytes of a tar archive's files."""
+    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+        for m in tar:
+            if m.isfile():
+                yield m.name, tar.extractfile(m).read()
 
 
 def file_digest(path: str) -> tuple[int, str]:

@@ -9,7 +9,7 @@ from ballast.functions import arrays as A
 from ballast.functions import helpers
 from ballast.functions import keys as K
 from ballast.operators import convert, prompts
-from ballast.plans.fixtures import sql_bucket, sql_family, sql_norm, table
+from ballast.plans.fixtures import WHITE, sql_bucket, sql_family, sql_norm, table
 from ballast.plans.registry import query
 
 LANGS = ["de", "en", "es", "fr"]
@@ -158,11 +158,11 @@ def _(spark, d):
     return convert.region_examples(convert.region_audit(_answered(spark, d))).select("id", "type", "key", A.argmax(F.col("target")).alias("gold"))
 
 
-@query("policy_actions", f"SELECT page_id, 'sharc-page:' || CASE WHEN page_id % 2 = 0 THEN url ELSE {sql_norm('substr(html, 1, 200)')} END AS \"group\", CAST(page_id % 4 AS INT) AS gold FROM pages")
+@query("policy_actions", f"SELECT page_id, 'sharc-page:' || CASE WHEN page_id % 2 = 0 THEN url ELSE {sql_norm('html')} END AS \"group\", CAST(page_id % 4 AS INT) AS gold FROM pages")
 def _(spark, d):
     n = F.col("page_id")
     answer = F.when(n % 4 == 0, " Yes").when(n % 4 == 1, "no").when(n % 4 == 2, "Irrelevant").otherwise("Do you live in Wales?")
-    rows = table(spark, d, "pages").select("page_id", F.when(n % 2 == 0, F.col("url")).otherwise("").alias("url"), F.substring("html", 1, 200).alias("snippet"), answer.alias("answer"))
+    rows = table(spark, d, "pages").select("page_id", F.when(n % 2 == 0, F.col("url")).otherwise("").alias("url"), F.col("html").alias("snippet"), answer.alias("answer"))
     return convert.policy_source(rows).select("page_id", "group", A.argmax(F.col("target")).alias("gold"))
 
 
@@ -263,8 +263,13 @@ def _(spark, d):
     return convert.suite_rows(made, F.lit("apps"), F.concat(F.lit("s"), F.col("conv_id").cast("string"))).select("suite", "case", "qid", "state", "gold")
 
 
-# Text helpers: no SQL form; tests hold the goldens. Mail is made from pages and documents by columns.
-@query("visible_text")
+# What a reader sees of the given pages, whose markup and character references are few; mail is made from documents by columns.
+_SEEN = r"regexp_replace(regexp_replace(regexp_replace(html, '(<[^>]*|&[^;\s]*)$', ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->', ' ', 'g'), '<[/!a-zA-Z][^>]*>', ' ', 'g')"
+for _name, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")):
+    _SEEN = f"replace({_SEEN}, '&{_name};', '{_sign}')"
+
+
+@query("visible_text", rf"SELECT page_id, trim(regexp_replace({_SEEN}, '{WHITE}', ' ', 'g')) AS text FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", helpers.visible_text(F.col("html")).alias("text"))
 

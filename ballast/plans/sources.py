@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import tarfile
+import zlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ballast.functions import helpers
 from ballast.functions.durable import scratch
 from ballast.plans.fixtures import EX, examples, table
 from ballast.plans.registry import query
@@ -22,47 +29,94 @@ def _(spark, d):
     return tables.read_parquet(spark, d, "orders.parquet", ["o_orderkey", "o_orderstatus"])
 
 
-@query("read_csv", "SELECT doc_id, text FROM documents WHERE text <> ''")
+@query("read_csv", "SELECT doc_id, nullif(text, '') AS text FROM documents")
 def _(spark, d):
     path = scratch(spark, "csv")
-    table(spark, d, "documents").where("text <> ''").select("doc_id", "text").write.option("header", True).option("escape", '"').csv(path)
+    table(spark, d, "documents").select("doc_id", "text").write.option("header", True).option("escape", '"').csv(path)
     return tables.read_csv(spark, path, "doc_id long, text string")
 
 
 @query("read_json_document", "SELECT conv_id, turn, text FROM conversations")
 def _(spark, d):
     path = scratch(spark, "document")
-    items = table(spark, d, "conversations").groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("conv_id", "turn", "text")).alias("items"))
+    turns = table(spark, d, "conversations")
+    files = turns.count() // 1000 + 1  # so a document stays small
+    items = turns.groupBy(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(files)).alias("part")).agg(F.collect_list(F.struct("conv_id", "turn", "text")).alias("items"))
     items.drop("part").write.option("maxRecordsPerFile", 1).json(path)  # a document per file
     return tables.read_json_document(spark, path, "items array<struct<conv_id:bigint,turn:bigint,text:string>>", "items")
 
 
-@query("read_labelled_lines", "SELECT source AS label, replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM documents")
+@query("read_labelled_lines", "SELECT n, source AS label, text FROM (SELECT source, replace(replace(text, chr(10), ' '), chr(13), ' ') AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)")
 def _(spark, d):
     path = scratch(spark, "lines")
+    # a file per source, in order of the ids, so that line numbers are known
     line = F.concat("source", F.lit("\t"), F.regexp_replace("text", "[\n\r]", " "))
-    table(spark, d, "documents").select(line.alias("value")).write.text(path)
-    return tables.read_labelled_lines(spark, path).select("label", "text")
+    docs = table(spark, d, "documents")
+    docs.repartitionByRange("source").sortWithinPartitions("source", "doc_id").select("source", line.alias("value")).write.partitionBy("source").text(path)
+    return tables.read_labelled_lines(spark, path).select(F.col("uid").alias("n"), "label", "text")
 
 
-@query("read_mail_archive", "SELECT doc_id, 1 AS n FROM documents WHERE doc_id >= 0")
+@query("read_mbox", r"SELECT doc_id, false AS spam, trim(regexp_replace(text, '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+', ' ', 'g')) AS text FROM documents")
 def _(spark, d):
-    # an mbox per hash of the id, written as text; the reader gives one row per message
+    # mboxes of some thousand messages each, written as text
     path = scratch(spark, "mbox")
-    body = F.regexp_replace("text", "(?m)^(>*From )", ">$1")
-    message = F.concat(F.lit("From a@example.org Mon Jan  1 00:00:00 2024\nSubject: "), F.col("doc_id").cast("string"), F.lit("\n\n"), body, F.lit("\n"))
-    table(spark, d, "documents").where("doc_id >= 0").repartition(8, "doc_id").select(message.alias("value")).write.text(path)
-    found = tables.read_mail_archive(spark, path)
+    body = F.base64(F.encode("text", "UTF-8"))
+    message = F.concat(F.lit("From a@example.org Mon Jan  1 00:00:00 2024\nSubject: "), F.col("doc_id").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), body, F.lit("\n"))
+    table(spark, d, "documents").select(message.alias("value")).write.option("maxRecordsPerFile", 5000).text(path)
+    found = tables.read_mbox(spark, path)
     subject = F.regexp_extract(F.decode("raw", "UTF-8"), r"(?m)^Subject: (\d+)", 1).cast("long")
-    return found.groupBy(subject.alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
+    return found.select(subject.alias("doc_id"), "spam", helpers.mail_text(F.col("raw")).alias("text"))
+
+
+def _tar(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for name, raw in zip(pdf["name"], pdf["raw"]):
+            info = tarfile.TarInfo(name)
+            info.size = len(raw)
+            tar.addfile(info, io.BytesIO(raw))
+    return pd.DataFrame({"tar": [out.getvalue()]})
+
+
+@query("read_mail_archive", "SELECT doc_id, false AS spam, sha256(text) AS digest FROM documents WHERE doc_id % 10 <> 7")
+def _(spark, d):
+    # tar archives of some hundred members each; members without a number are no messages
+    path = scratch(spark, "archives")
+    docs = table(spark, d, "documents")
+    name = F.concat(F.when(F.col("doc_id") % 10 == 7, "mail/notes").otherwise("mail/"), F.col("doc_id").cast("string"), F.lit(".aa"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(docs.count() // 200 + 1))
+    tars = docs.select(name.alias("name"), F.encode("text", "UTF-8").alias("raw"), part.alias("part")).groupBy("part").applyInPandas(_tar, "tar binary")
+    tars.select(F.col("tar").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)  # bytes stay as they are
+    found = tables.read_mail_archive(spark, path)
+    return found.select(F.regexp_extract("member", r"(\d+)\.aa$", 1).cast("long").alias("doc_id"), "spam", F.sha2("raw", 256).alias("digest"))
 
 
-@query("read_images", "SELECT count(*) > 0 AS found, count(*) = count(DISTINCT sha) AS distinct_keys FROM (SELECT sha256(html) AS sha FROM pages)")
+@query("read_images", "SELECT 'image-bytes:' || sha256(html || chr(10)) AS bytes_key, CAST(strlen(html) + 1 AS BIGINT) AS length FROM pages")
 def _(spark, d):
     path = scratch(spark, "images")
-    table(spark, d, "pages").repartition(16, "page_id").select("html").write.text(path)
-    found = tables.read_images(spark, path).where(F.col("path").endswith(".txt"))
-    return found.agg((F.count("*") > 0).alias("found"), (F.count("*") == F.count_distinct("bytes_key")).alias("distinct_keys"))
+    table(spark, d, "pages").select("html").write.option("maxRecordsPerFile", 1).text(path)  # a file per page
+    return tables.read_images(spark, path).where("length > 0").select("bytes_key", "length")
+
+
+def _png(rgb: bytes, level: int) -> bytes:
+    """A picture of two by two pixels, given row by row."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" + rgb[:6] + b"\0" + rgb[6:], level)) + chunk(b"IEND", b"")
+
+
+@query("read_pixels", """WITH m AS (SELECT page_id, md5(html) AS h FROM pages), p AS (SELECT page_id, list_transform(range(0, 4), lambda i: substr(h, 6 * i + 5, 2) || substr(h, 6 * i + 3, 2) || substr(h, 6 * i + 1, 2)) AS bgr FROM m)
+SELECT 'pixels:' || sha256(encode('2x2:') || unhex(array_to_string(bgr, ''))) AS pixel_key, 2 * count(*) AS n FROM p GROUP BY 1""")
+def _(spark, d):
+    # each page as a picture in its own colours, in two encodings that decode alike
+    path = scratch(spark, "pixels")
+
+    @F.pandas_udf("binary")
+    def png(h: pd.Series, level: pd.Series) -> pd.Series:
+        return pd.Series([_png(bytes.fromhex(x)[:12], k) for x, k in zip(h, level)])
+
+    pages = table(spark, d, "pages").select(F.md5("html").alias("h"), F.explode(F.array(F.lit(0), F.lit(9))).alias("level"))
+    pages.select(png("h", "level").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return tables.read_pixels(spark, path).groupBy("pixel_key").agg(F.count("*").alias("n"))
 
 
 @query("read_pinned", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'train' ELSE 'test' END AS split, o_orderkey AS uid FROM orders")
@@ -87,11 +141,16 @@ def _(spark, d):
     return tables.write_exclusions(tagged, scratch(spark, "tagged"))[1].select("id", "reason")
 
 
-@query("write_manifest", f"WITH {EX} SELECT split, count(*) AS n, CAST(42 AS BIGINT) AS seed FROM ex GROUP BY split")
+# partition_fingerprint of examples in SQL; ``row`` is what a row's JSON is made of
+_PRINT = """SELECT split, count(*) AS n, sha256(concat_ws(':', count(*), bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)))) AS digest
+  FROM (SELECT split, sha256(CAST(to_json({row}) AS VARCHAR)) AS h FROM ex) GROUP BY split"""
+
+
+@query("write_manifest", f"WITH {EX} SELECT *, CAST(42 AS BIGINT) AS seed FROM ({_PRINT.format(row='struct_pack(id := id, state := state)')})")
 def _(spark, d):
     path = scratch(spark, "manifest")
     tables.write_manifest(examples(spark, d).select("id", "split", "state"), path, 42)
-    return spark.read.json(path).select("split", "n", "seed")
+    return spark.read.json(path).select("split", "n", "digest", "seed")
 
 
 @query("write_wide_table", "SELECT CAST(r_regionkey AS VARCHAR) AS key, r_name AS region, CAST(NULL AS VARCHAR) AS nation FROM region UNION ALL SELECT CAST(n_nationkey AS VARCHAR), NULL, n_name FROM nation UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, NULL FROM orders")
@@ -111,21 +170,26 @@ def _(spark, d):
     return tables.append_scored(e, path, "event_id")
 
 
-@query("verify_files", "SELECT 'absent.txt' AS path, 'missing' AS reason, count(*) AS listed FROM pages")
+@query("verify_files", """SELECT CASE strlen(html) % 4 WHEN 0 THEN 'length' WHEN 1 THEN 'digest' WHEN 2 THEN 'missing' END AS reason, count(*) AS n, CAST(sum(strlen(html) + 1) AS BIGINT) AS listed_bytes
+FROM pages WHERE strlen(html) % 4 < 3 GROUP BY 1""")
 def _(spark, d):
+    # a file per page; some are listed with another length, some with another digest, some under a name that is not there
     path = scratch(spark, "files")
-    table(spark, d, "pages").select("html").write.text(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    manifest = files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    absent = spark.createDataFrame([("absent.txt", 1, "00")], manifest.schema)
-    listed = F.lit(table(spark, d, "pages").count()).cast("long")
-    return tables.verify_files(manifest.unionByName(absent), path).select("path", "reason", listed.alias("listed"))
-
-
-@query("partition_fingerprint", f"WITH {EX} SELECT split, count(*) AS n, true AS same, true AS changed FROM ex GROUP BY split")
+    table(spark, d, "pages").select("html").write.option("maxRecordsPerFile", 1).text(path)
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    name, how = F.element_at(F.split("path", "/"), -1), (F.col("length") - 1) % 4
+    digest = F.sha2("content", 256)
+    manifest = files.select(
+        F.when(how == 2, F.concat(F.lit("absent-"), name)).otherwise(name).alias("path"),
+        F.when(how == 0, F.col("length") + 1).otherwise(F.col("length")).alias("bytes"),
+        F.when(how == 1, F.reverse(digest)).otherwise(digest).alias("sha256"),
+    )
+    found = tables.verify_files(manifest, path)
+    return found.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.col("bytes") - (F.col("reason") == "length").cast("int")).alias("listed_bytes"))
+
+
+@query("partition_fingerprint", f"WITH {EX}, a AS ({_PRINT.format(row='struct_pack(id := id, state := state)')}), b AS ({_PRINT.format(row='struct_pack(id := id)')}) SELECT a.split, a.n, a.digest, b.digest AS ids_digest FROM a JOIN b USING (split)")
 def _(spark, d):
     ex = examples(spark, d).select("id", "split", "state")
-    moved = tables.partition_fingerprint(ex.repartition(3, "state")).select("split", F.col("digest").alias("again"))
-    other = tables.partition_fingerprint(ex.withColumn("state", F.concat("state", F.lit("!")))).select("split", F.col("digest").alias("other"))
-    return tables.partition_fingerprint(ex).join(moved, "split").join(other, "split").select("split", "n", (F.col("digest") == F.col("again")).alias("same"), (F.col("digest") != F.col("other")).alias("changed"))
+    ids = tables.partition_fingerprint(ex.select("split", "id")).select("split", F.col("digest").alias("ids_digest"))
+    return tables.partition_fingerprint(ex.repartition(3, "state")).join(ids, "split")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,19 +36,40 @@ def read_json_document(spark: SparkSession, path: str, schema: str, field: str |
 
 
 def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``label<TAB>text`` lines with their line number in each file; split once, so texts may hold tabs."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("uid", "line"))
-    parts = F.split("line", "\t", 2)
-    return whole.where(F.col("line") != "").select("uid", F.get(parts, F.lit(0)).alias("label"), F.get(parts, F.lit(1)).alias("text"))
+    """``label<TAB>text`` lines with their 0-based line number in each file as ``uid``; split once, so texts may hold tabs.
+
+    Files are read in splits: a line's number is its place in its split, and how many lines the splits before hold, found from a count per split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    parts = F.split("value", "\t", 2)
+    numbered = lines.where(F.col("value") != "").join(starts, ["file", "block"])
+    return numbered.select((F.col("at") + F.col("shift")).alias("uid"), F.get(parts, F.lit(0)).alias("label"), F.get(parts, F.lit(1)).alias("text"))
 
 
 def read_mail_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, member, spam, raw)`` of the messages in archives; base names are numbered, and spam is told by the folder."""
-    files = spark.read.format("binaryFile").load(path)
-    found = helpers.archive_members(files)
-    base = F.element_at(F.split("member", "/"), -1)
-    numbered = found.where(~F.col("path").contains(".tar") | base.rlike(r"^\d+\."))
-    return numbered.withColumn("spam", F.col("path").contains("spam")).select("path", "member", "spam", "raw")
+    """``(path, member, spam, raw)`` of the messages in tar archives whose base names are numbered; spam is told by the archive's name."""
+    found = helpers.archive_members(spark.read.format("binaryFile").load(path))
+    numbered = found.where(F.element_at(F.split("member", "/"), -1).rlike(r"^\d+\."))
+    return numbered.withColumn("spam", _base("path").contains("_spam")).select("path", "member", "spam", "raw")
+
+
+def read_mbox(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, spam, raw)`` of the messages in mbox files, which are read in splits, so no file is too large.
+
+    A line that begins with ``From `` starts a message and is no part of it. Bytes are kept as they are.
+    """
+    parts = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("part"))
+    start = F.locate("\n", F.decode("part", "ISO-8859-1"))  # a character for each byte
+    raw = F.when(start > 0, F.substring("part", start + 1, F.octet_length("part"))).otherwise(F.lit(b""))
+    return parts.where("octet_length(part) > 0").select("path", _base("path").contains("_spam").alias("spam"), raw.alias("raw"))
+
+
+def _base(path: str) -> Column:
+    """The last name of a path."""
+    return F.element_at(F.split(path, "/"), -1)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -115,8 +137,7 @@ def append_scored(df: DataFrame, path: str, *key: str) -> DataFrame:
 def verify_files(manifest: DataFrame, path: str) -> DataFrame:
     """Manifest rows ``(path, bytes, sha256)`` that the files under ``path`` do not match, with the ``reason``."""
     files = manifest.sparkSession.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    found = files.select(name.alias("path"), F.col("length").alias("found_bytes"), F.sha2("content", 256).alias("found_sha256"))
+    found = files.select(_base("path").alias("path"), F.col("length").alias("found_bytes"), F.sha2("content", 256).alias("found_sha256"))
     reason = F.when(F.col("found_bytes").isNull(), "missing").when(F.col("found_bytes") != F.col("bytes"), "length").when(F.col("found_sha256") != F.col("sha256"), "digest")
     return manifest.join(found, "path", "left").withColumn("reason", reason).where("reason is not null")
 
@@ -135,10 +156,13 @@ def verify_large_files(manifest: DataFrame) -> DataFrame:
 
 
 def partition_fingerprint(df: DataFrame, by: str = "split") -> DataFrame:
-    """``(by, n, digest)``: an order-free digest of each partition's rows, to tell whether data changed."""
+    """``(by, n, digest)``: an order-free digest of each partition's rows, to tell whether data changed.
+
+    Rows are JSON with their columns by name; of each row's SHA-256 60 bits are summed and another 60 combined by exclusive or.
+    """
     row = F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c != by)), {"ignoreNullFields": "false"}), 256)
-    h = F.xxhash64(row)
-    made = df.groupBy(by).agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(2**31))).alias("s"))
+    bits = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("bigint")
+    made = df.select(by, row.alias("h")).groupBy(by).agg(F.count("*").alias("n"), F.bit_xor(bits(1)).alias("x"), F.sum(bits(16).cast("decimal(20,0)")).alias("s"))
     return made.select(by, "n", F.sha2(F.concat_ws(":", "n", "x", "s"), 256).alias("digest"))
 
 

@@ -56,7 +56,68 @@ def test_archive_members(spark, tmp_path):
     assert [(r.member, r.spam) for r in got] == [("spam/1.aa", True), ("spam/2.bb", True)]
 
 
-def test_json_document_and_pixels(spark, tmp_path):
+def test_hidden_text_stays_hidden():
+    assert helpers.html_text("<script>a<b>c</script>d</script>e<style>x</style>") == "d e"
+    assert helpers.html_text("x<p>y<li>z<b>w</b>") == "x y z w"
+    assert helpers.html_text("</script>shown<SCRIPT>hidden") == "shown"
+
+
+def test_mail_parts():
+    m = EmailMessage()
+    m.set_content("<p>one<script>two</script></p>", subtype="html")
+    m.add_attachment("attached text", filename="a.txt")
+    assert helpers.mail_body(bytes(m)) == "one"
+    assert helpers.mail_body(b"Content-Type: application/pdf\r\n\r\nxx") == ""
+    assert helpers.mail_body(b"Content-Type: text/plain; charset=base64\r\n\r\na  b") == "a b"
+    assert helpers.mail_body(b"no header at all") in ("", "no header at all")
+
+
+def test_spam_is_told_by_the_archives_name(spark, tmp_path):
+    from ballast.sources.tables import read_mail_archive, read_mbox
+
+    folder = tmp_path / "antispam_spam_box"
+    folder.mkdir()
+    for name in ("easy_ham.tar.bz2", "hard_spam.tar.bz2"):
+        with tarfile.open(folder / name, "w:bz2") as tar:
+            info = tarfile.TarInfo("m/1.x")
+            info.size = 2
+            tar.addfile(info, io.BytesIO(b"hi"))
+    got = {r.path.rpartition("/")[2]: r.spam for r in read_mail_archive(spark, str(folder / "*.bz2")).collect()}
+    assert got == {"easy_ham.tar.bz2": False, "hard_spam.tar.bz2": True}
+    raw = [b"Subject: a\n\nbody \xff\xfe\n", b"Subject: b\n\nFromage\n>From x\n", b"Subject: c\n\n"]
+    (folder / "ham.mbox").write_bytes(b"".join(b"From me@x Mon\n" + r + b"\n" for r in raw))
+    found = sorted(bytes(r.raw) for r in read_mbox(spark, str(folder / "ham.mbox")).collect())
+    assert [r.strip() for r in found] == sorted(r.strip() for r in raw)
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    from ballast.sources.tables import read_labelled_lines
+
+    for k in range(3):
+        (tmp_path / f"f{k}").write_text("".join(f"l{k}\tt{i}\tx\n" if i % 5 else "\n" for i in range(4000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = read_labelled_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 3 * 3200 and all(r.text == f"t{r.uid}\tx" for r in got)
+    assert len({(r.label, r.uid) for r in got}) == len(got)
+
+
+def test_two_encodings_of_a_picture(spark, tmp_path):
+    from ballast.plans.sources import _png
+    from ballast.sources import tables
+
+    red, blue = b"\xff\0\0" * 4, b"\0\0\xff" * 4
+    for name, data in (("a", _png(red, 0)), ("b", _png(red, 9)), ("c", _png(blue, 9))):
+        (tmp_path / f"{name}.png").write_bytes(data)
+    pixels = {r.path[-5]: r.pixel_key for r in tables.read_pixels(spark, str(tmp_path)).collect()}
+    files = {r.path[-5]: r.bytes_key for r in tables.read_images(spark, str(tmp_path)).collect()}
+    assert pixels["a"] == pixels["b"] != pixels["c"] and len(set(files.values())) == 3
+
+
+def test_json_document(spark, tmp_path):
     from ballast.sources import tables
 
     (tmp_path / "a.json").write_text(json.dumps({"items": [{"a": 1}, {"a": 2}]}, indent=1))
