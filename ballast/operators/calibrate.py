@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions import arrays as A
 from ballast.functions.durable import cut
+from ballast.operators.sample import carried, in_ranges
 
 LEAST_ROWS, LOW, HIGH, ROUNDS = 10, 0.1, 10.0, 60
 
@@ -56,9 +57,15 @@ def temperature_lookup(df: DataFrame, by_bucket: DataFrame, by_type: DataFrame,
 
 
 def half_rank(df: DataFrame, suite: str = "suite", case: str = "case") -> DataFrame:
-    """``df`` with ``in_first_half``: whether a row is among the first ``floor(n / 2)`` of its suite by case."""
-    ordered = W.partitionBy(suite).orderBy(case)
-    return df.withColumn("in_first_half", F.row_number().over(ordered) <= F.floor(F.count("*").over(W.partitionBy(suite)) / 2))
+    """``df`` with ``in_first_half``: whether a row is among the first ``floor(n / 2)`` of its suite by case.
+
+    Rows are counted inside ranges of (suite, case), so no task sorts a whole suite.
+    """
+    counted = carried(in_ranges(df, [suite], [case]), [suite], F.count("*"), "__before")
+    sizes = df.groupBy(F.col(suite).alias("__suite")).agg(F.count("*").alias("__n"))
+    at = F.row_number().over(W.partitionBy(suite, "__range").orderBy(case)) + F.coalesce("__before", F.lit(0))
+    ranked = counted.withColumn("__at", at).join(sizes, F.col(suite).eqNullSafe(F.col("__suite")))
+    return ranked.select(*df.columns, (F.col("__at") <= F.floor(F.col("__n") / 2)).alias("in_first_half"))
 
 
 def half_split_calibration(df: DataFrame, shipped: float = 1.0, least_valid: int = 60, least_bucket: int = 25) -> DataFrame:

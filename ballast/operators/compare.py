@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 
 from ballast.functions import arrays as A
 from ballast.functions import keys as K
+from ballast.operators import metrics
+from ballast.operators.rowmetrics import row_metrics
+from ballast.operators.sample import group_ranks
+
+# Suites whose rows differ in their candidates.
+VARYING_SUITES = "^(massive51/|colab/massive)|^colab/typed_decisions$"
 
 
 def same_id_join(ours: DataFrame, reference: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -29,7 +35,7 @@ def already_scored(pending: DataFrame, done: DataFrame, *key: str) -> DataFrame:
 
 def outcome_join(tasks: DataFrame, systems: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Every task under every system, with the code ``n`` where it was not attempted."""
-    every = tasks.join(F.broadcast(systems))  # a few systems, each meeting each task once
+    every = tasks.join(systems)  # each task under each system is what is asked for
     return every.join(outcomes, ["system", "task_id"], "left").withColumn("code", F.coalesce("code", F.lit("n")))
 
 
@@ -42,16 +48,21 @@ def tier_accuracy(joined: DataFrame) -> DataFrame:
 def mismatched_image_pairs(df: DataFrame) -> DataFrame:
     """``df`` with the id of another group's image of the same dataset and size, picked by hash; null where there is none.
 
-    Images of a (dataset, size) bucket are ranked by group, so a group is one range of ranks, and the pick skips it by arithmetic: no pairs are formed. Ranks are
-    found per bucket from counts of its groups.
+    Images of a (dataset, size) bucket are ranked by group, so a group is one range of ranks, and the pick skips it by arithmetic: no pairs are formed. Ranks of
+    groups come from running sums over runs of groups by hash, so no task sees a whole bucket's groups.
     """
     bucket = ["dataset", "tokens"]
-    groups = df.groupBy(*bucket, "group").agg(F.count("*").alias("own"))
-    before = W.partitionBy(*bucket).orderBy("group")
-    groups = groups.withColumn("start", F.sum("own").over(before.rowsBetween(W.unboundedPreceding, -1))).withColumn("start", F.coalesce("start", F.lit(0)))
+    one = F.concat_ws("\x1f", *(F.col(c).cast("string") for c in bucket))
+    groups = df.groupBy(*bucket, "group").agg(F.count("*").alias("own")).withColumn("__run", K.hash_bucket(F.col("group"), 4096))
+    runs = groups.groupBy(*bucket, "__run").agg(F.sum("own").alias("__n"))
+    before = W.partitionBy(*bucket).orderBy("__run").rowsBetween(W.unboundedPreceding, -1)  # 4096 rows a bucket at most
+    starts = runs.select(*bucket, "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = W.partitionBy(*bucket, "__run").orderBy("group").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.withColumn("__in", F.coalesce(F.sum("own").over(inside), F.lit(0))).join(starts, [*bucket, "__run"]).withColumn("start", F.col("__in") + F.col("__start"))
     totals = groups.groupBy(*bucket).agg(F.sum("own").alias("total"))
-    at = F.row_number().over(W.partitionBy(*bucket, "group").orderBy("id")) - 1
-    ranked = df.join(groups, [*bucket, "group"]).join(totals, bucket).withColumn("rank", F.col("start") + at)
+    member = F.concat_ws("\x1f", one, F.col("group"))
+    placed = group_ranks(df.withColumn("__group", member).withColumn("__hash", K.hash_bucket(F.col("id").cast("string"), 4096)), "__group", "__hash", "id").drop("__group", "__hash")
+    ranked = placed.join(groups.select(*bucket, "group", "own", "start"), [*bucket, "group"]).join(totals, bucket).withColumn("rank", F.col("start") + F.col("rank"))
     others = F.col("total") - F.col("own")
     pick = F.when(others > 0, K.hash_bucket(F.col("id").cast("string"), F.greatest(others, F.lit(1))))
     asked = ranked.withColumn("pick", F.when(pick < F.col("start"), pick).otherwise(pick + F.col("own")))
@@ -80,9 +91,9 @@ def run_comparison(before: DataFrame, after: DataFrame, before_prints: DataFrame
     return joined.select("*", *((F.col(f"{m}_after") - F.col(f"{m}_before")).alias(f"{m}_change") for m in metrics))
 
 
-def published_join(metrics: DataFrame, published: DataFrame, key: str) -> DataFrame:
+def published_join(ours: DataFrame, published: DataFrame, key: str) -> DataFrame:
     """Our metrics beside published ones, which are few."""
-    return metrics.join(F.broadcast(published), key)
+    return ours.join(published, key)
 
 
 def saved_target_check(saved: DataFrame, expected: DataFrame) -> DataFrame:
@@ -109,17 +120,28 @@ def engine_datasets(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def suite_metrics(df: DataFrame) -> DataFrame:
-    """By suite: planned, valid, failures and accuracy over all planned rows; the mean log loss of valid ones."""
-    p = F.get("probabilities", F.col("gold"))
-    made = df.groupBy("suite").agg(F.count("*").alias("n_planned"), F.count_if("valid").alias("n_valid"), F.count_if(F.col("valid") & (A.argmax(F.col("probabilities")) == F.col("gold"))).alias("correct"), F.avg(F.when(F.col("valid"), -F.log(F.greatest(p, F.lit(A.FLOOR))))).alias("nll"))
-    return made.select("suite", "n_planned", "n_valid", (F.col("n_planned") - F.col("n_valid")).alias("failures"), (F.col("correct") / F.col("n_planned")).alias("accuracy"), "nll")
+    """By suite: planned, valid, failures and accuracy over all planned rows; over valid ones the mean log loss, Brier scores, probability of the gold class,
+    error of the score, ranked probability score, calibration error and macro F1. Suites whose candidates differ from row to row have no F1.
+
+    df: ``(suite, valid, probabilities, gold, type)``.
+    """
+    p, right = F.col("probabilities"), F.col("valid") & (A.argmax(F.col("probabilities")) == F.col("gold"))
+    planned = df.groupBy("suite").agg(F.count("*").alias("n_planned"), F.count_if("valid").alias("n_valid"), F.count_if(right).alias("correct"))
+    hard = row_metrics(df.where("valid").select("suite", "type", F.transform(p, lambda x: F.log(F.greatest(x, F.lit(A.FLOOR)))).alias("logits"), A.one_hot(F.col("gold"), F.size(p)).alias("target")))
+    means = hard.groupBy("suite").agg(*(F.avg(m).alias(m) for m in ("nll", "brier_sum", "brier_per_candidate", "soft_accuracy", "score_mae", "rps")))
+    classes = hard.select("suite", A.argmax(F.col("target")).alias("label"), "guess")
+    rest = metrics.ece(hard, "suite").join(metrics.macro_f1(classes, "suite"), "suite")
+    joined = planned.join(means, "suite", "left").join(rest, "suite", "left")
+    f1 = F.when(~F.col("suite").rlike(VARYING_SUITES), F.col("macro_f1"))
+    return joined.select("suite", "n_planned", "n_valid", (F.col("n_planned") - F.col("n_valid")).alias("failures"), (F.col("correct") / F.col("n_planned")).alias("accuracy"), *means.columns[1:], "ece_15", f1.alias("macro_f1"))
 
 
 def class_balance(df: DataFrame) -> DataFrame:
-    """By suite: classes, the majority class's share and the mean recall; errors count as wrong."""
+    """By suite: its classes, the majority class's share, the mean recall, and maps of each class's count and recall; errors count as wrong."""
     right = F.col("valid") & (A.argmax(F.col("probabilities")) == F.col("gold"))
-    each = df.groupBy("suite", "gold").agg(F.count("*").alias("n"), F.count_if(right).alias("hit"))
-    return each.groupBy("suite").agg(F.count("*").alias("classes"), (F.max("n") / F.sum("n")).alias("majority_accuracy"), F.avg(F.col("hit") / F.col("n")).alias("balanced_accuracy"))
+    each = df.groupBy("suite", "gold").agg(F.count("*").alias("n"), F.count_if(right).alias("hit")).withColumn("recall", F.col("hit") / F.col("n"))
+    by_class = lambda v: F.map_from_entries(F.sort_array(F.collect_list(F.struct("gold", v))))  # noqa: E731  a row per class
+    return each.groupBy("suite").agg(F.count("*").alias("classes"), (F.max("n") / F.sum("n")).alias("majority_accuracy"), F.avg("recall").alias("balanced_accuracy"), by_class("n").alias("class_counts"), by_class("recall").alias("class_recall"))
 
 
 def soft_gold_metrics(df: DataFrame, *by: str) -> DataFrame:

@@ -34,7 +34,7 @@ def reliability(rows: DataFrame, *by: str) -> DataFrame:
     edges = spark.range(BINS).select(F.col("id").cast("int").alias("bin"), (F.col("id") / BINS).alias("lower"), ((F.col("id") + 1) / BINS).alias("upper"))
     counted = _bins(rows, *by)
     groups = counted.select(*by).distinct() if by else None
-    frame = groups.join(F.broadcast(edges)) if by else edges  # fifteen rows to each group
+    frame = groups.join(edges) if by else edges  # fifteen rows to each group
     return frame.join(counted, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ballast.operators.sample import carried, in_ranges
+
 
 def flatten_metrics(df: DataFrame, metrics: str, *keep: str) -> DataFrame:
     """One row per entry of a metric map, scalars only: ``(keep..., metric, value)``."""
@@ -23,16 +25,41 @@ def chart_rows(df: DataFrame, figure: str, keys: list[str], metrics: list[str])
     return df.unpivot(keys, metrics, "metric", "value").withColumn("figure", F.lit(figure)).where("value is not null")
 
 
+def quantiles(df: DataFrame, value: str, at: list[float], *by: str) -> DataFrame:
+    """``(by..., n, q)``: the exact quantiles ``at`` of each group's values by linear interpolation at ``at * (n - 1)``, and how many values there are.
+
+    Equal values are counted first, and the counts summed inside ranges of (group, value): no task or buffer holds a group's values.
+    """
+    keys = [*by] or ["__all"]
+    values = df.where(F.col(value).isNotNull()).select(*by, *([] if by else [F.lit(0).alias("__all")]), F.col(value).alias("__v"))
+    counts = carried(in_ranges(values.groupBy(*keys, "__v").agg(F.count("*").alias("__c")), keys, ["__v"]), keys, F.sum("__c"), "__before")
+    inside = W.partitionBy(*keys, "__range").orderBy("__v")
+    placed = counts.withColumn("__end", F.coalesce("__before", F.lit(0)) + F.sum("__c").over(inside)).withColumn("__start", F.col("__end") - F.col("__c"))
+    sizes = values.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.count("*").alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = placed.join(sizes, same)
+    picked = []
+    for q in at:
+        place = F.lit(q) * (F.col("n") - 1)
+        for rank in (F.floor(place), F.ceil(place)):
+            picked.append(F.max(F.when((F.col("__start") <= rank) & (rank < F.col("__end")), F.col("__v"))).alias(f"__p{len(picked)}"))
+    made = joined.groupBy(*keys).agg(F.first("n").alias("n"), *picked)
+    between = [F.col(f"__p{2 * k}") + (F.col(f"__p{2 * k + 1}") - F.col(f"__p{2 * k}")) * (F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))) for k, q in enumerate(at)]
+    return made.select(*by, "n", F.array(*between).alias("q"))
+
+
 def latency_stats(df: DataFrame, value: str, *by: str, batch: Column | int = 1) -> DataFrame:
     """p50 and p95 by linear interpolation, mean, decisions per second and amortized time; the first call and the others alone."""
     n = F.lit(batch) if isinstance(batch, int) else batch
-    made = df.groupBy(*by).agg(
-        F.percentile(value, F.array(F.lit(0.5), F.lit(0.95))).alias("q"),
-        F.avg(value).alias("mean_ms"),
-        F.count("*").alias("n"),
-        F.avg(n.cast("double")).alias("batch"),
-    )
-    return made.select(*by, "n", F.get("q", F.lit(0)).alias("p50_ms"), F.get("q", F.lit(1)).alias("p95_ms"), "mean_ms", (1000 * F.col("batch") / F.col("mean_ms")).alias("per_second"), (F.col("mean_ms") / F.col("batch")).alias("amortized_ms"))
+    means = df.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.avg(value).alias("mean_ms"), F.count("*").alias("n"), F.avg(n.cast("double")).alias("batch"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    made = means.join(quantiles(df, value, [0.5, 0.95], *by).drop("n"), same, "left" if by else "inner")
+    keys = [F.col(f"__{c}").alias(c) for c in by]
+    return made.select(*keys, "n", F.get("q", F.lit(0)).alias("p50_ms"), F.get("q", F.lit(1)).alias("p95_ms"), "mean_ms", (1000 * F.col("batch") / F.col("mean_ms")).alias("per_second"), (F.col("mean_ms") / F.col("batch")).alias("amortized_ms"))
 
 
 def first_and_rest(df: DataFrame, value: str, order: str, *by: str) -> DataFrame:
@@ -59,10 +86,14 @@ def last_committed(log: DataFrame, step: int, pos: str = "pos") -> DataFrame:
 
 
 def best_so_far(df: DataFrame, by: str, score: str = "score", step: str = "step") -> DataFrame:
-    """``df`` with the running best score and whether the row set it: strictly greater than all before."""
-    before = W.partitionBy(by).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
-    best = F.max(score).over(before)
-    return df.withColumn("improves", F.coalesce(F.col(score) > best, F.lit(True))).withColumn("best", F.greatest(F.col(score), best))
+    """``df`` with the running best score and whether the row set it: strictly greater than all before.
+
+    The best of earlier ranges of steps is carried on, so no task goes through all steps of a group.
+    """
+    ranges = carried(in_ranges(df, [by], [step]), [by], F.max(score), "__best", F.max)
+    inside = W.partitionBy(by, "__range").orderBy(step).rowsBetween(W.unboundedPreceding, -1)
+    marked = ranges.withColumn("__best", F.greatest("__best", F.max(score).over(inside)))
+    return marked.select(*df.columns, F.coalesce(F.col(score) > F.col("__best"), F.lit(True)).alias("improves"), F.greatest(score, "__best").alias("best"))
 
 
 def select_checkpoint(df: DataFrame, by: str, score: str = "score", step: str = "step") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ballast.functions import keys as K
+from ballast.functions.durable import cut, width
 
 
 def stable_sample(df: DataFrame, cap: int, by: str = "dataset", row_id: str = "id") -> DataFrame:
@@ -50,6 +51,25 @@ def group_ranks(df: DataFrame, by: str, first: str, then: str) -> DataFrame:
     return own.join(starts, same).select(*(own[c] for c in df.columns), (F.col("__own") + F.col("__start")).alias("rank"))
 
 
+def in_ranges(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` dealt into ranges of ``(by, order)``, numbered by ``__range``, so that a large group lies in several tasks.
+
+    What runs along a group is then found inside each range, and carried on by one row for each group and range. The result is cut, as ranges are drawn from a sample.
+    """
+    return cut(df.repartitionByRange(width(df.sparkSession), *by, *order).withColumn("__range", F.spark_partition_id()))
+
+
+def carried(ranges: DataFrame, by: list[str], what: Column, name: str, along=F.sum) -> DataFrame:
+    """``ranges`` with the aggregate ``what`` of each earlier range of the row's group, taken together by ``along``; null in its first one."""
+    each = ranges.groupBy(*by, "__range").agg(what.alias("__x"))
+    before = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    rows = each.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__range").alias("__r"), along("__x").over(before).alias(name))
+    same = F.col("__range") == F.col("__r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return ranges.join(rows, same).drop("__r", *(f"__{c}" for c in by))
+
+
 def first_n(df: DataFrame, n: int, by: str, order: str) -> DataFrame:
     """The first ``n`` rows of each group."""
     return df.withColumn("__at", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("__at") <= n).drop("__at")
@@ -66,8 +86,8 @@ def training_plan(pool: DataFrame, first: int, last: int, batch: int, seed: int,
     named = sizes.withColumn("ordinal", F.row_number().over(W.orderBy(by)) - 1)  # a row per dataset
     n = sizes.select(F.count("*").alias("datasets"))
     draw = lambda *parts: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256), 1, 12), 16, 10).cast("bigint")
-    steps = pool.sparkSession.range(first, last).withColumnRenamed("id", "step").join(F.broadcast(n))
+    steps = pool.sparkSession.range(first, last).withColumnRenamed("id", "step").join(n)  # n is one row
     steps = steps.withColumn("ordinal", draw(F.lit("dataset"), F.col("step").cast("string")) % F.col("datasets"))
-    drawn = steps.join(F.broadcast(named), "ordinal").select("step", by, "size", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))).alias("slot"))
+    drawn = steps.join(named, "ordinal").select("step", by, "size", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))).alias("slot"))
     drawn = drawn.withColumn("rank", draw(F.lit("row"), F.col("step").cast("string"), F.col("slot").cast("string")) % F.col("size"))
     return drawn.join(ranked, [by, "rank"]).select("step", "slot", by, row_id)

@@ -8,7 +8,7 @@ from ballast.functions import arrays as A
 from ballast.functions.durable import cut
 from ballast.operators import calibrate, compare, metrics, prompts, rowmetrics
 from ballast.operators.rowmetrics import row_metrics
-from ballast.plans.fixtures import PRED, predictions, sql_dot, sql_rows, sql_softmax, table
+from ballast.plans.fixtures import PRED, predictions, sql_bucket, sql_dot, sql_rows, sql_softmax, table
 from ballast.plans.registry import query
 
 
@@ -99,15 +99,20 @@ def _(spark, d):
     return predictions(spark, d).withColumn("q", broken).where(A.valid_distribution(F.col("q"))).select("id")
 
 
-# Temperatures. The oracle checks the fit by its optimum: the mean gradient in the inverse temperature is nothing at it.
-@query("temperature_fit", "SELECT CASE g WHEN 0 THEN 'choice' WHEN 1 THEN 'noul' ELSE 'score' END AS type, count(*) AS n, true AS settled FROM (SELECT vec_id % 3 AS g FROM embeddings) GROUP BY g")
+def sql_fitted(by: str, source: str = "pred", before: str = PRED, least: int = 10) -> str:
+    """``fitted(by..., n, temperature)`` by halving the range of the inverse temperature by the sign of the loss's slope, fifty times."""
+    p = "list_transform(logits, lambda z: exp((z - list_max(logits)) * beta))"
+    slope = f"(list_sum(list_transform(list_zip({p}, logits), lambda z: z[1] * z[2])) / list_sum({p}) - {sql_dot('target', 'logits')})"
+    return f"""RECURSIVE {before},
+halve AS (SELECT {by}, count(*) AS n, 0.1::DOUBLE AS low, 10.0::DOUBLE AS high, 0 AS round FROM {source} GROUP BY ALL
+  UNION ALL SELECT {by}, n, CASE WHEN avg({slope}) < 0 THEN beta ELSE low END, CASE WHEN avg({slope}) < 0 THEN high ELSE beta END, round + 1
+  FROM (SELECT *, (low + high) / 2 AS beta FROM halve WHERE round < 50) s JOIN {source} USING ({by}) GROUP BY {by}, n, low, high, beta, round),
+fitted AS (SELECT {by}, n, CASE WHEN n < {least} THEN 1.0 ELSE 2 / (low + high) END AS temperature FROM halve WHERE round = 50)"""
+
+
+@query("temperature_fit", f"WITH {sql_fitted('type')} SELECT type, n, round(temperature, 5) AS temperature FROM fitted")
 def _(spark, d):
-    rows = predictions(spark, d)
-    fitted = calibrate.fit_temperatures(rows, "type")
-    p = A.softmax(F.transform(F.col("logits"), lambda z: z / F.col("temperature")))
-    slope = F.avg(A.dot(p, F.col("logits")) - A.dot(F.col("target"), F.col("logits")))
-    edge = (F.col("temperature") > 9.99) | (F.col("temperature") < 0.101)
-    return rows.join(F.broadcast(fitted), "type").groupBy("type").agg(F.count("*").alias("n"), (F.bool_or(edge) | (F.abs(slope) < 1e-6)).alias("settled"))
+    return calibrate.fit_temperatures(predictions(spark, d), "type").withColumn("temperature", F.round("temperature", 5))
 
 
 @query("temperature_lookup", f"WITH {PRED} SELECT id, CASE WHEN k = 10 THEN 1.5::DOUBLE WHEN type = 'noul' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS temperature FROM pred")
@@ -126,17 +131,21 @@ def _halves(spark, d):
     return calibrate.half_split_calibration(predictions(spark, d).select(F.col("dataset").alias("suite"), F.col("id").alias("case"), "type", "logits", "target"))
 
 
-_HALF = f"{ROWS}, h AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY id) > floor(count(*) OVER (PARTITION BY dataset) / 2.0) AS second FROM rm), hs AS (SELECT * FROM h WHERE second)"
+_FIT = sql_fitted("dataset, type, k", "firsts", f"{PRED}, h AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY id) > floor(count(*) OVER (PARTITION BY dataset) / 2.0) AS second, count(*) OVER (PARTITION BY dataset) AS valid FROM pred), firsts AS (SELECT * FROM h WHERE NOT second AND valid >= 60)")
+_HALF = f"""{_FIT}, hs AS (SELECT h.*, mode, CASE WHEN mode = 'refit' THEN coalesce(CASE WHEN n >= 25 THEN temperature END, 1.0) ELSE 1.0 END AS t FROM h LEFT JOIN fitted USING (dataset, type, k), (VALUES ('shipped'), ('refit')) v(mode) WHERE second AND valid >= 60),
+{sql_rows('logits', 't', 'hs')}"""
 
 
-@query("half_split_calibration", f"WITH {_HALF} SELECT dataset AS suite, count(*) AS n_heldout, round(avg(nll), 6) AS nll, round(avg(accuracy), 6) AS accuracy, round(max(e), 6) AS ece_15 FROM hs JOIN {_ece('dataset', 'hs')} x USING (dataset) GROUP BY dataset")
+@query("half_split_calibration", f"WITH {_HALF} SELECT dataset AS suite, mode, count(*) AS n_heldout, round(avg(nll), 5) AS nll, round(avg(accuracy), 5) AS accuracy, round(max(e), 5) AS ece_15 FROM rm JOIN {_ece('dataset, mode')} x USING (dataset, mode) GROUP BY dataset, mode")
 def _(spark, d):
-    return rounded(_halves(spark, d).where("mode = 'shipped'").drop("mode"))
+    h = _halves(spark, d)
+    return h.select("suite", "mode", "n_heldout", *(F.round(c, 5).alias(c) for c in ("nll", "accuracy", "ece_15")))
 
 
-@query("mean_calibration", f"WITH {_HALF} SELECT 'shipped' AS mode, round(avg(e), 6) AS mean_ece, round(avg(e) FILTER (dataset IN ('d0', 'd1')), 6) AS mean_ece_published, count(*) AS suites FROM {_ece('dataset', 'hs')}")
+@query("mean_calibration", f"WITH {_HALF} SELECT mode, round(avg(e), 5) AS mean_ece, round(avg(e) FILTER (dataset IN ('d0', 'd1')), 5) AS mean_ece_published, count(*) AS suites FROM {_ece('dataset, mode')} GROUP BY mode")
 def _(spark, d):
-    return rounded(calibrate.mean_calibration(_halves(spark, d).where("mode = 'shipped'"), ["d0", "d1"]))
+    m = calibrate.mean_calibration(_halves(spark, d), ["d0", "d1"])
+    return m.select("mode", F.round("mean_ece", 5).alias("mean_ece"), F.round("mean_ece_published", 5).alias("mean_ece_published"), "suites")
 
 
 # Comparison of two systems
@@ -208,14 +217,25 @@ def _suites(spark, d):
 _SUITES = f"{ROWS}, s AS (SELECT CASE WHEN id % 2 = 0 THEN 'apps/' ELSE 'colab/' END || dataset AS suite, id, id % 7 <> 0 AS valid, p, guess, gold, type, k FROM rm)"
 
 
-@query("suite_metrics", f"WITH {_SUITES} SELECT suite, count(*) AS n_planned, count(*) FILTER (valid) AS n_valid, count(*) FILTER (NOT valid) AS failures, round(count(*) FILTER (valid AND guess = gold) / count(*), 6) AS accuracy, round(avg(-ln(greatest(p[gold + 1], 1e-12))) FILTER (valid), 6) AS nll FROM s GROUP BY suite")
+_HARD = "log_p AS (SELECT suite AS dataset, type, k, gold, list_transform(p, lambda x: ln(greatest(x, 1e-12))) AS logits, list_transform(range(0, k), lambda i: CASE WHEN i = gold THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS target FROM s WHERE valid)"
+
+
+@query("suite_metrics", f"""WITH {_SUITES}, {_HARD}, {sql_rows(source='log_p', name='hm')}, {_F1.replace('rm', 'hm')},
+m AS (SELECT dataset AS suite, {', '.join(f'avg({x}) AS {x}' for x in ('nll', 'brier_sum', 'brier_per_candidate', 'soft_accuracy', 'score_mae', 'rps'))} FROM hm GROUP BY dataset)
+SELECT s.suite, count(*) AS n_planned, count(*) FILTER (valid) AS n_valid, count(*) FILTER (NOT valid) AS failures, round(count(*) FILTER (valid AND guess = gold) / count(*), 6) AS accuracy,
+  {', '.join(f'round(max(m.{x}), 6) AS {x}' for x in ('nll', 'brier_sum', 'brier_per_candidate', 'soft_accuracy', 'score_mae', 'rps'))}, round(max(e), 6) AS ece_15, round(max(macro_f1), 6) AS macro_f1
+FROM s LEFT JOIN m USING (suite) LEFT JOIN {_ece('dataset', 'hm')} x ON x.dataset = s.suite LEFT JOIN f1 ON f1.dataset = s.suite GROUP BY s.suite""")
 def _(spark, d):
     return rounded(compare.suite_metrics(_suites(spark, d)))
 
 
-@query("class_balance", f"WITH {_SUITES}, c AS (SELECT suite, gold, count(*) AS n, count(*) FILTER (valid AND guess = gold) AS hit FROM s GROUP BY ALL) SELECT suite, count(*) AS classes, round(max(n) / sum(n), 6) AS majority_accuracy, round(avg(hit / n), 6) AS balanced_accuracy FROM c GROUP BY suite")
+@query("class_balance", f"""WITH {_SUITES}, c AS (SELECT suite, gold, count(*) AS n, count(*) FILTER (valid AND guess = gold) AS hit FROM s GROUP BY ALL)
+SELECT suite, count(*) AS classes, round(max(n) / sum(n), 6) AS majority_accuracy, round(avg(hit / n), 6) AS balanced_accuracy,
+  string_agg(gold || ':' || n, ',' ORDER BY gold) AS class_counts, list(round(hit / n, 6) ORDER BY gold) AS class_recall FROM c GROUP BY suite""")
 def _(spark, d):
-    return rounded(compare.class_balance(_suites(spark, d)))
+    made = rounded(compare.class_balance(_suites(spark, d)))
+    counts = F.array_join(F.transform(F.map_entries("class_counts"), lambda x: F.concat_ws(":", x["key"], x["value"])), ",")
+    return made.withColumn("class_counts", counts).withColumn("class_recall", F.transform(F.map_values("class_recall"), lambda x: F.round(x, 6)))
 
 
 @query("soft_gold", f"""WITH {OTHER}, s AS (SELECT rm.dataset, rm.type, rm.p, ot.p AS g, CASE WHEN rm.type = 'score' THEN rm.gold END AS gold_score, rm.k FROM rm JOIN ot ON rm.id = ot.id)
@@ -282,7 +302,7 @@ def _images(spark, d):
     return table(spark, d, "pages").select(n.alias("id"), F.concat(F.lit("d"), (n % 2).cast("string")).alias("dataset"), (1 + n % 3).alias("tokens"), F.concat(F.lit("g"), (n % 17).cast("string")).alias("group"))
 
 
-@query("mismatched_image_pairs", f"""WITH {_IMG}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset, tokens ORDER BY grp, id) - 1 AS rk FROM i),
+@query("mismatched_image_pairs", f"""WITH {_IMG}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset, tokens ORDER BY {sql_bucket('grp', 4096)}, grp, {sql_bucket('CAST(id AS VARCHAR)', 4096)}, id) - 1 AS rk FROM i),
 lists AS (SELECT r.id, r.dataset, r.tokens, list(o.id ORDER BY o.rk) AS others FROM r JOIN r o ON o.dataset = r.dataset AND o.tokens = r.tokens AND o.grp <> r.grp GROUP BY ALL)
 SELECT i.id, others[1 + CAST('0x' || substr(sha256(CAST(i.id AS VARCHAR)), 1, 8) AS BIGINT) % len(others)] AS other_id FROM i LEFT JOIN lists USING (id)""")
 def _(spark, d):

@@ -111,7 +111,8 @@ def _(spark, d):
 # G: isolation. The oracle walks the bipartite graph of groups and aliases.
 _CC = f"""{EX},
 e AS (SELECT DISTINCT "group" AS g, unnest(aliases) AS a FROM ex),
-n AS (SELECT DISTINCT x.g AS g, y.g AS h FROM e x JOIN e y ON x.a = y.a),
+least AS (SELECT a, min(g) AS g FROM e GROUP BY a),
+n AS (SELECT DISTINCT e.g AS g, least.g AS h FROM e JOIN least USING (a) UNION SELECT DISTINCT least.g, e.g FROM e JOIN least USING (a)),
 walk AS (SELECT g, h FROM n UNION SELECT w.g, n.h FROM walk w JOIN n ON w.h = n.g),
 reach AS (SELECT g, min(h) AS low FROM walk GROUP BY g),
 roots AS (SELECT reach.g, min(k) AS root FROM reach JOIN (SELECT low AS l, min(a) AS k FROM reach JOIN e ON reach.g = e.g GROUP BY low) m ON reach.low = m.l GROUP BY reach.g),
@@ -214,8 +215,12 @@ def _with_leaves(spark, d):
 
 
 _LEAF = r"length(regexp_replace({x}, '^[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+|[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+$', '', 'g')) >= 80"
+#: Rows of a dataset that a guard or a replay samples.
+SAMPLED = 6000
+# The base: held-out documents, and conversations as training rows that are sampled. Training documents are the candidates.
 _BLOCKED = f"""{EX},
-sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY sha256('doh-sample-v1:' || id), id) AS nth FROM ex WHERE split = 'train') WHERE nth <= 5),
+conv AS (SELECT role AS dataset, 'conv:' || conv_id || ':' || turn AS id, text AS state FROM conversations),
+sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY sha256('doh-sample-v1:' || id), id) AS nth FROM conv) WHERE nth <= {SAMPLED}),
 blocked AS (SELECT DISTINCT {sql_print('state')} AS fingerprint FROM (SELECT state FROM ex WHERE split <> 'train' UNION ALL SELECT state FROM sampled) WHERE {_LEAF.format(x='state')}
   UNION SELECT {sql_print('text')} FROM benchmark),
 variants AS (SELECT id, state AS leaf FROM ex WHERE split = 'train' UNION SELECT id, substr(state, 1, 3000) FROM ex WHERE split = 'train'),
@@ -224,8 +229,12 @@ flagged AS (SELECT DISTINCT id FROM variants WHERE {_LEAF.format(x='leaf')} AND
 
 def _blocked(spark, d):
     ex = _with_leaves(spark, d)
+    c = table(spark, d, "conversations")
+    turns = c.select(F.concat_ws(":", F.lit("conv"), "conv_id", "turn").alias("id"), F.col("role").alias("dataset"), F.lit("train").alias("split"), F.array("text").alias("state_leaves"))
+    chosen = sample.stable_sample(turns.select("dataset", "id"), SAMPLED).select("id")  # texts are joined afterwards
     frozen = table(spark, d, "benchmark").select(K.fingerprint(F.col("text")).alias("fingerprint"))
-    return ex, guard.blocked_fingerprints(ex, sample.stable_sample(ex.where("split = 'train'"), 5), frozen)
+    base = ex.select(*turns.columns).where("split <> 'train'")
+    return ex, guard.blocked_fingerprints(base, turns.join(chosen, "id", "left_semi"), frozen)
 
 
 @query("blocked_fingerprints", f"WITH {_BLOCKED} SELECT fingerprint FROM blocked")
@@ -256,12 +265,12 @@ def _(spark, d):
 # W: windows and samples
 
 
-@query("stable_sample", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('doh-sample-v1:' || doc_id), doc_id) AS nth FROM documents) WHERE nth <= 20")
+@query("stable_sample", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('doh-sample-v1:' || doc_id), doc_id) AS nth FROM documents) WHERE nth <= 6000")
 def _(spark, d):
-    return sample.stable_sample(docs(spark, d), 20, by="source", row_id="doc_id").select("doc_id", "source")
+    return sample.stable_sample(docs(spark, d), SAMPLED, by="source", row_id="doc_id").select("doc_id", "source")
 
 
-_QUERIES = "q AS (SELECT DISTINCT o_orderpriority AS locale, CAST(o_custkey AS VARCHAR) AS query, CASE WHEN o_custkey % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM orders), chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY locale, split ORDER BY sha256(locale || ':' || query), query) AS nth FROM q) WHERE nth <= CASE WHEN split = 'train' THEN 45 ELSE 6 END)"
+_QUERIES = "q AS (SELECT DISTINCT o_orderpriority AS locale, CAST(o_custkey AS VARCHAR) AS query, CASE WHEN o_custkey % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM orders), chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY locale, split ORDER BY sha256(locale || ':' || query), query) AS nth FROM q) WHERE nth <= CASE WHEN split = 'train' THEN 450 ELSE 60 END)"
 
 
 def _queries(spark, d):
@@ -271,7 +280,7 @@ def _queries(spark, d):
 
 @query("capped_queries", f"WITH {_QUERIES} SELECT locale, query, split FROM chosen")
 def _(spark, d):
-    return sample.capped_queries(_queries(spark, d), 45, 6)
+    return sample.capped_queries(_queries(spark, d))
 
 
 _JUDGED = "j AS (SELECT o_orderpriority AS locale, CAST(o_custkey AS VARCHAR) AS query, l_partkey AS product_id, CAST(l_linenumber % 2 AS INT) AS small_version, l_returnflag AS label, l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey), p AS (SELECT locale, p_partkey AS product_id, p_name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS brand FROM part, (SELECT DISTINCT o_orderpriority AS locale FROM orders))"
@@ -288,7 +297,7 @@ def _judged(spark, d):
 
 @query("selected_queries", f"WITH {_QUERIES}, {_JUDGED} SELECT l_orderkey, l_linenumber FROM j SEMI JOIN chosen USING (locale, query)")
 def _(spark, d):
-    return convert.selected_queries(_judged(spark, d)[0], sample.capped_queries(_queries(spark, d), 45, 6)).select("l_orderkey", "l_linenumber")
+    return convert.selected_queries(_judged(spark, d)[0], sample.capped_queries(_queries(spark, d))).select("l_orderkey", "l_linenumber")
 
 
 @query("attach_products", f"WITH {_JUDGED} SELECT l_orderkey, l_linenumber, p_name AS title, coalesce(brand, '') AS brand FROM j JOIN p USING (locale, product_id)")
@@ -300,7 +309,7 @@ def _(spark, d):
 @query("product_relevance", f"WITH {_QUERIES}, {_JUDGED} SELECT l_orderkey, l_linenumber, split, p_name AS title, coalesce(brand, '') AS brand FROM j JOIN chosen USING (locale, query) JOIN p USING (locale, product_id) WHERE small_version = 1")
 def _(spark, d):
     judged, products = _judged(spark, d)
-    return convert.product_relevance_source(judged, products, _queries(spark, d), 45, 6).select("l_orderkey", "l_linenumber", "split", "title", "brand")
+    return convert.product_relevance_source(judged, products, _queries(spark, d)).select("l_orderkey", "l_linenumber", "split", "title", "brand")
 
 
 @query("missing_products", f"WITH {_JUDGED} SELECT DISTINCT locale, product_id FROM j ANTI JOIN (SELECT * FROM p WHERE product_id % 7 <> 0) x USING (locale, product_id)")
@@ -321,11 +330,11 @@ def _(spark, d):
 
 @query("training_plan", """WITH ranked AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4096, doc_id) - 1 AS rank FROM documents),
 sizes AS (SELECT source, count(*) AS size, row_number() OVER (ORDER BY source) - 1 AS ordinal FROM documents GROUP BY source),
-steps AS (SELECT s AS step, CAST('0x' || substr(sha256('42:dataset:' || s), 1, 12) AS BIGINT) % (SELECT count(*) FROM sizes) AS ordinal FROM range(100, 400) r(s)),
+steps AS (SELECT s AS step, CAST('0x' || substr(sha256('42:dataset:' || s), 1, 12) AS BIGINT) % (SELECT count(*) FROM sizes) AS ordinal FROM range(0, 3600) r(s)),
 drawn AS (SELECT step, source, slot, CAST('0x' || substr(sha256('42:row:' || step || ':' || slot), 1, 12) AS BIGINT) % size AS rank FROM steps JOIN sizes USING (ordinal), range(0, 32) t(slot))
 SELECT step, CAST(slot AS INT) AS slot, source, doc_id FROM drawn JOIN ranked USING (source, rank)""")
 def _(spark, d):
-    return sample.training_plan(docs(spark, d), 100, 400, 32, 42, by="source", row_id="doc_id")
+    return sample.training_plan(docs(spark, d), 0, 3600, 32, 42, by="source", row_id="doc_id")
 
 
 # U, J4, G6: unions and replays
@@ -338,20 +347,20 @@ def _(spark, d):
     return mixture.concatenate([a, b]).select("input_pos.source", "input_pos.row", "text")
 
 
-_SAMPLED = f"{EX}, sampled AS (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY sha256('doh-sample-v1:' || id), id) AS nth FROM ex WHERE split = 'train') WHERE nth <= 5)"
+_SAMPLED = f"{EX}, sampled AS (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY sha256('doh-sample-v1:' || id), id) AS nth FROM ex WHERE split = 'train') WHERE nth <= {SAMPLED})"
 
 
 @query("replay_filter", f"WITH {_SAMPLED} SELECT id, split FROM ex WHERE split <> 'train' OR id IN (SELECT id FROM sampled)")
 def _(spark, d):
     ex = examples(spark, d)
-    return mixture.replay_filter(ex, sample.stable_sample(ex.where("split = 'train'"), 5)).select("id", "split")
+    return mixture.replay_filter(ex, sample.stable_sample(ex.where("split = 'train'"), SAMPLED)).select("id", "split")
 
 
 @query("mixture_union", f"WITH {_SAMPLED} SELECT id, split FROM ex WHERE split <> 'train' OR id IN (SELECT id FROM sampled) UNION ALL SELECT 'item:' || item_id, 'train' FROM benchmark")
 def _(spark, d):
     ex = examples(spark, d)
     new = table(spark, d, "benchmark").select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("id"), F.lit("train").alias("split"))
-    return mixture.replay(ex, sample.stable_sample(ex.where("split = 'train'"), 5), new).select("id", "split")
+    return mixture.replay(ex, sample.stable_sample(ex.where("split = 'train'"), SAMPLED), new).select("id", "split")
 
 
 @query("blocked_union", f"SELECT {sql_print('text')} AS fingerprint FROM documents UNION SELECT {sql_print('text')} FROM benchmark")

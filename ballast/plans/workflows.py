@@ -13,7 +13,7 @@ from ballast.operators import budget, calibrate, compare, guard, isolate, metric
 from ballast.operators.rowmetrics import row_metrics
 from ballast.plans.fixtures import PRED, examples, predictions, sql_print, sql_rows, table
 from ballast.plans.mixture import _LEAF, _REC, _TOKENS
-from ballast.plans.metrics import _F1, _MEANS, _ece, rounded
+from ballast.plans.metrics import _F1, _MEANS, _ece, rounded, sql_fitted
 from ballast.plans.registry import query
 from ballast.sources import tables
 
@@ -38,15 +38,15 @@ def prepare(sources: list[DataFrame], frozen: DataFrame, most_tokens: int = 2048
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
     ex = examples(spark, d).withColumn("row_index", F.col("input_pos")).drop("input_pos")
     halves = [ex.where(F.pmod("row_index", F.lit(2)) == k) for k in (0, 1)]
-    held = table(spark, d, "documents").where("doc_id % 40 = 3").select(K.fingerprint(F.col("text")).alias("fingerprint")).distinct()
-    return prepare(halves, held, 1000)
+    frozen = examples(spark, d).where("split = 'test'").select(F.col("state").alias("text")).unionByName(table(spark, d, "benchmark").select("text"))
+    return prepare(halves, frozen.select(F.coalesce(K.fingerprint(F.col("text")), F.lit("")).alias("fingerprint")).distinct(), 2048)
 
 
-_PREPARED = f"""{_REC.replace('row_number() OVER (PARTITION BY dataset, root, state ORDER BY input_pos)', 'row_number() OVER (PARTITION BY dataset, root, state ORDER BY input_pos % 2, input_pos)')},
-frozen AS (SELECT DISTINCT {sql_print('text')} AS f FROM documents WHERE doc_id % 40 = 3),
-flagged AS (SELECT id FROM ex WHERE {_LEAF.format(x='state')} AND {sql_print('state')} IN (SELECT f FROM frozen) UNION SELECT id FROM ex WHERE {_LEAF.format(x='substr(state, 1, 3000)')} AND {sql_print('substr(state, 1, 3000)')} IN (SELECT f FROM frozen)),
+_PREPARED = f"""{_REC.replace('\nex AS (', '\nex AS MATERIALIZED (').replace('row_number() OVER (PARTITION BY dataset, root, state ORDER BY input_pos)', 'row_number() OVER (PARTITION BY dataset, root, state ORDER BY input_pos % 2, input_pos)')},
+frozen AS MATERIALIZED (SELECT DISTINCT {sql_print('text')} AS f FROM (SELECT state AS text FROM ex WHERE split = 'test' UNION ALL SELECT text FROM benchmark)),
+flagged AS MATERIALIZED (SELECT id FROM ex WHERE {_LEAF.format(x='state')} AND {sql_print('state')} IN (SELECT f FROM frozen) UNION SELECT id FROM ex WHERE {_LEAF.format(x='substr(state, 1, 3000)')} AND {sql_print('substr(state, 1, 3000)')} IN (SELECT f FROM frozen)),
 bad AS (SELECT DISTINCT root FROM rooted JOIN flagged USING (id)),
-tagged AS (SELECT j.id, j.dataset, j.split, j.root, CASE WHEN j.conflict THEN 'cross_split_group' WHEN s.duplicate THEN 'duplicate_input' WHEN j.root IN (SELECT root FROM bad) THEN 'frozen_benchmark_overlap' WHEN {_TOKENS.replace('text', 'j.state')} > 1000 THEN 'token_budget' END AS reason
+tagged AS (SELECT j.id, j.dataset, j.split, j.root, CASE WHEN j.conflict THEN 'cross_split_group' WHEN s.duplicate THEN 'duplicate_input' WHEN j.root IN (SELECT root FROM bad) THEN 'frozen_benchmark_overlap' WHEN {_TOKENS.replace('text', 'j.state')} > 2048 THEN 'token_budget' END AS reason
   FROM judged j LEFT JOIN survive s ON j.id = s.id)"""
 
 
@@ -68,7 +68,7 @@ _MODES = f"{PRED}, modes AS (SELECT * FROM pred, (VALUES ('uncalibrated'), ('cal
 
 def evaluate(df: DataFrame, temperatures: DataFrame) -> DataFrame:
     """Means, calibration error and macro F1 by dataset and calibration; temperatures: ``(type, temperature)``."""
-    both = df.join(F.broadcast(temperatures), "type").withColumn("mode", F.explode(F.array(F.lit("uncalibrated"), F.lit("calibrated"))))
+    both = df.join(temperatures, "type").withColumn("mode", F.explode(F.array(F.lit("uncalibrated"), F.lit("calibrated"))))
     rows = cut(row_metrics(both, F.when(F.col("mode") == "calibrated", F.col("temperature")).otherwise(F.lit(1.0))))
     return metrics.metrics_by(rows, "dataset", "mode").join(metrics.macro_f1(rows, "dataset", "mode"), ["dataset", "mode"])
 
@@ -80,14 +80,14 @@ def _(spark, d):
     return rounded(evaluate(predictions(spark, d), fixed))
 
 
-@query("evaluate_fitted", f"WITH {PRED} SELECT dataset, mode, true AS no_worse, count(*) AS n FROM pred, (VALUES ('uncalibrated'), ('calibrated')) v(mode) GROUP BY ALL")
+@query("evaluate_fitted", f"""WITH {sql_fitted('type')}, modes AS (SELECT pred.*, mode, temperature FROM pred JOIN fitted USING (type), (VALUES ('uncalibrated'), ('calibrated')) v(mode)),
+{sql_rows('logits', "CASE WHEN mode = 'calibrated' THEN temperature ELSE 1.0 END", 'modes')}
+SELECT dataset, mode, round(avg(nll), 5) AS nll, round(avg(accuracy), 6) AS accuracy, count(*) AS n FROM rm GROUP BY ALL""")
 def _(spark, d):
-    """Temperatures fitted on the rows themselves: the log loss over all rows cannot rise."""
+    """Temperatures fitted on the rows themselves."""
     p = cut(predictions(spark, d))
-    made = cut(evaluate(p, calibrate.fit_temperatures(p, "type").select("type", "temperature")))
-    total = made.groupBy("mode").agg((F.sum(F.col("nll") * F.col("n")) / F.sum("n")).alias("nll"))
-    both = total.agg((F.max(F.when(F.col("mode") == "calibrated", F.col("nll"))) <= F.max(F.when(F.col("mode") == "uncalibrated", F.col("nll"))) + 1e-9).alias("no_worse"))
-    return made.join(F.broadcast(both)).select("dataset", "mode", "no_worse", "n")
+    made = evaluate(p, calibrate.fit_temperatures(p, "type").select("type", "temperature"))
+    return made.select("dataset", "mode", F.round("nll", 5).alias("nll"), F.round("accuracy", 6).alias("accuracy"), "n")
 
 
 @query("run_comparison", f"""WITH {_MODES}, m AS (SELECT dataset, mode, avg(accuracy) AS a, avg(nll) AS l FROM rm GROUP BY ALL)

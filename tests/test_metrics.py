@@ -89,3 +89,27 @@ def test_answers_are_distributions(spark):
             assert int(r.choice) == max(range(7), key=lambda i: r.probabilities[i])
         if r.type == "score":
             assert 0 <= r.score <= 4
+
+
+def test_ranks_and_maxima_over_many_ranges(spark):
+    from ballast.operators import calibrate
+
+    draw = random.Random(9)
+    rows = [("big" if i % 10 else None, i, float(draw.randrange(1000)), draw.randrange(50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "suite string, case long, score double, ms int")
+    want, best, seen = {}, {}, {}
+    for name in ("big", None):
+        own = sorted(r[1] for r in rows if r[0] == name)
+        want |= {c: k < len(own) // 2 for k, c in enumerate(own)}
+    assert {r.case: r.in_first_half for r in calibrate.half_rank(df).collect()} == want
+    for name, case, score, _ in sorted(rows, key=lambda r: r[1]):
+        top = seen.get(name)
+        best[case] = (top is None or score > top, max(score, top) if top is not None else score)
+        seen[name] = best[case][1]
+    assert {r.case: (r.improves, r.best) for r in report.best_so_far(df, "suite", step="case").collect()} == best
+    import numpy as np
+
+    for name, r in ((r.suite, r) for r in report.latency_stats(df, "ms", "suite").collect()):
+        own = [x[3] for x in rows if x[0] == name]
+        assert r.n == len(own) and r.p50_ms == pytest.approx(np.quantile(own, 0.5)) and r.p95_ms == pytest.approx(np.quantile(own, 0.95))
+    assert report.latency_stats(df, "ms").first().p95_ms == pytest.approx(np.quantile([x[3] for x in rows], 0.95))
