@@ -6,11 +6,11 @@ Lineage is only cut by reliable checkpoints or written tables in the folder that
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +34,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_REMOVES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Has Spark remove the shuffle files of what is executed inside as soon as it ends, not when the driver's handles are collected."""
+    before = spark.conf.get(_REMOVES, None)
+    spark.conf.set(_REMOVES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_REMOVES) if before is None else spark.conf.set(_REMOVES, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, with its lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once, with its lineage cut by a reliable checkpoint; what was shuffled for it goes at once."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    with tidy(spark):
+        return df.select("*").checkpoint(eager=True)  # planned anew, under this setting
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet under ``path`` and read back; what was shuffled for it goes at once."""
+    with tidy(df.sparkSession):
+        df.select("*").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
