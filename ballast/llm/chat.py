@@ -4,10 +4,10 @@ A turn is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``. Every assistant
 example of its own: all turns before it as context, and only that reply trainable. Turns after the last reply (or a conversation without
 any) would be in no example, so such a conversation gets one more example with an empty loss span. Whatever a
 text holds, it cannot end or open a turn: in ``<``, backslashes, ``|`` one more backslash is put in, and taken out on
-reading. In roles, line feeds are written as backslash n as well.
+reading. In roles, backslashes and line feeds are codes of a backslash and a letter.
 
 The size of the output is that of the task: a conversation's prefixes grow with the square of its turns.
-Conversations are gathered by id (the examples of one need its turns in one place); turns of one conversation are ordered by
+Conversations are gathered by id, as the examples of one need its turns in one place: a conversation is bounded by a row (2 GB), as its longest example is; turns of one conversation are ordered by
 turn, then role and text, so repeated turns have a defined order. Null texts and roles are empty; a null
 conv_id is an id of its own.
 """
@@ -31,14 +31,13 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """``role`` on one line and without ``<|``."""
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    """``role`` on one line and without ``<|``: a backslash is written as backslash b, a line feed as backslash n."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    """The role that :func:`escape_role` was given."""
-    held = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    """The role that :func:`escape_role` was given; as every backslash begins a code, the codes can be read one after the other."""
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def expand(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trainable: str = "assistant") -> DataFrame:

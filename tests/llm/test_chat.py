@@ -27,6 +27,15 @@ def test_round_trip_and_loss(spark):
         assert all(r.loss_chars == 0 for r in examples if r.turns[-1].role != "assistant")
 
 
+def test_roles_come_back(spark):
+    roles = ["a\x00b", "\\", "\\n", "\n", "\\\n", "\\b\\n", "<\\|", "<|im_start|>", "b\\", "\\\\|<|\\", "\x00\\\x00\n"]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(roles)], "k int, role string")
+    made = df.select("k", "role", C.escape_role(F.col("role")).alias("e")).select("*", C.unescape_role(F.col("e")).alias("back")).collect()
+    assert all(r.back == r.role and "\n" not in r.e and "<|" not in r.e for r in made)
+    turns = spark.createDataFrame([(1, k, r, "t") for k, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    assert [t.role for t in C.expand(turns).select(C.turns_of(F.col("formatted")).alias("t")).first().t] == roles
+
+
 def test_texts_cannot_open_a_turn(spark):
     made = C.expand(turns(spark)).where("conv_id = 1").orderBy("example").collect()
     assert [m.formatted.count(C.START) for m in made] == [2, 4, 5]
