@@ -9,7 +9,7 @@ Pieces are dealt by hash into blocks of about ``block_rows``, packed independent
 size per block.
 
 Nulls and empties: a null or empty text has no words and is one piece that holds only the end mark. Equal lengths are placed
-by doc_id and piece. Repeated rows are packed as often as they occur.
+by doc_id and piece, those without an id last. Repeated rows are packed as often as they occur; doc_ids come back as they were. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballast.functions.durable import cut
 from ballast.llm.text import as_bytes, words
 
 SIZES = (512, 1024, 2048, 4096)
@@ -86,6 +86,7 @@ def pack(measured: DataFrame, permitted: tuple[int, ...] = SIZES, cost: Callable
 
     ``start`` counts tokens of the text, ``offset`` those of the bin before the piece.
     """
+    measured = cut(measured.select("doc_id", "length"))  # texts are read once
     most = max(permitted)
     last = F.greatest(F.ceil(F.col("length") / most).cast("long") - 1, F.lit(0).cast("long"))
     pieces = measured.select("doc_id", F.col("length").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
@@ -94,20 +95,21 @@ def pack(measured: DataFrame, permitted: tuple[int, ...] = SIZES, cost: Callable
     blocks = max(1, -(-total // block_rows))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
     kind = measured.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "piece", "start", "length", "bin", "size", "offset"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        keys = list(zip(pdf["doc_id"].isna().tolist(), pdf["doc_id"].fillna(0).tolist(), pdf["piece"].tolist()))
-        lens, number, size, offset = pdf["length"].tolist(), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+    def run(block: pa.Table) -> pa.Table:
+        ids, piece, lens = (block[c].to_pylist() for c in ("doc_id", "piece", "length"))
+        keys = [(d is None, d if d is not None else 0, p) for d, p in zip(ids, piece)]
+        number, size, offset = (np.zeros(len(lens), np.int64) for _ in range(3))
         for k, (fit, members) in enumerate(pack_block(lens, keys, permitted, cost)):
             at = 0
             for i in members:
                 number[i], size[i], offset[i] = k, fit, at
                 at += lens[i]
-        pdf["bin"], pdf["size"], pdf["offset"] = pdf["block"].to_numpy(np.int64) * 2**32 + number, size, offset
-        return pdf[["doc_id", "piece", "start", "length", "bin", "size", "offset"]]
+        bins = block["block"][0].as_py() * 2**32 + number
+        return pa.table([*(block[c] for c in names[:4]), pa.array(bins), pa.array(size), pa.array(offset)], names=names)
 
-    return dealt.groupBy("block").applyInPandas(run, f"doc_id {kind}, piece long, start long, length long, bin long, size long, offset long")
+    return dealt.groupBy("block").applyInArrow(run, f"doc_id {kind}, piece long, start long, length long, bin long, size long, offset long")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
