@@ -12,8 +12,8 @@ Within a tree only spanning links are kept (a subtree already linked as a whole
 copies gives n links, not n squared. Components come from star rounds over these links.
 
 Nulls and empties: a null or empty text has no words and fingerprint zero, linked like any other. Texts of fewer words than
-a shingle have one shingle. Repeated rows keep their number; a null doc_id is never the component's name
-unless all are null.
+a shingle have one shingle. Very long texts are read whole. Repeated rows keep their number; rows that share a doc_id have a fingerprint each; a null doc_id is never the component's name
+unless all are null. Other columns play no part. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -224,17 +224,6 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return signed.join(apart(each, "fingerprint"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of each component of :func:`near_duplicates`: that of the smallest doc_id.
-
-    Columns stay. Rows with a null doc_id cannot be named by a component and stay as they are.
-    """
-    named = docs.where(F.col(doc_id).isNotNull())
-    kept = near_duplicates(named, doc_id=doc_id, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    one = named.join(kept, named[doc_id] == kept["__kept"], "left_semi").dropDuplicates([doc_id])
-    return one.unionByName(docs.where(F.col(doc_id).isNull()))
-
-
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document, linked at two differing bits or fewer."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, bits=64, radius=2)

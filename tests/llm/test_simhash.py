@@ -77,12 +77,8 @@ def test_forest_skips_linked_subtrees_but_loses_none():
         values.append(x)
 
 
-def test_one_of_each_group_stays(spark):
-    docs = spark.createDataFrame(documents(), SCHEMA)
-    out = S.drop_near_duplicates(docs, shingle=5, bits=256, radius=48, bands=S.sampled_bands(256, 18, 56))
-    assert out.columns == docs.columns
-    texts = [r.text for r in out.where("doc_id is not null").collect()]
-    assert len(texts) == len(set(texts))
-    assert sum("changed" in (t or "") for t in texts) <= 1
-    assert out.where("doc_id is null").count() == 2
-    assert S.drop_near_duplicates(docs.where("false")).count() == 0
+def test_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x"), (1, "e f g h i", "x"), (2, "a b c d", "x"), (None, "a b c d", None)], "doc_id long, text string, fingerprint string").selectExpr("*", "1 as component_id", "'k' as node", "'r' as root")
+    got = S.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 1)]
+    assert S.near_duplicates(df.where("false")).count() == 0
