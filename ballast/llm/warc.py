@@ -7,7 +7,7 @@ have the digest it is filed under and the length and SHA-1 that its header names
 Of records with equal payloads of at least ``least_revisit`` bytes, the one with the largest id is the
 response and the others are revisits that refer to it; a revisit's record has no block. Smaller ones are all
 responses. A null payload is empty; repeated ids are records of their own. A null id cannot be referred to, and is a revisit wherever a named equal exists. Control
-characters in URLs are percent-encoded, so no header can be broken up.
+characters in URLs are percent-encoded, so no header can be broken up. Very large payloads are bounded by a row (2 GB). Other columns play no part. No rows make an empty archive.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.functions.durable import scratch
+from ballast.functions.durable import apart, cut, scratch, written
 
 LEAST_REVISIT = 1000
 _EOL = "\r\n"
@@ -49,22 +49,23 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
     owners = light.groupBy("digest").agg(F.max("page_id").alias("owner"), (F.min(seen) == F.max(seen)).alias("alike"))
     owned = light.join(owners, "digest").where(F.when(F.col("alike"), True).otherwise(F.raise_error(F.lit("unequal payloads share a digest")).cast("boolean")))
     kind = F.when((F.col("n_bytes") >= least_revisit) & ~F.coalesce(F.col("page_id") == F.col("owner"), F.col("owner").isNull()), "revisit").otherwise("response")
-    owned.select("page_id", "digest", _header(kind).alias("header")).write.parquet(f"{path}/headers")
-    rows.select(F.unhex(F.sha2("payload", 256)).alias("digest"), "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    written(owned.select("page_id", "digest", _header(kind).alias("header")), f"{path}/headers")
+    written(rows.select(F.unhex(F.sha2("payload", 256)).alias("digest"), "payload").dropDuplicates(["digest"]), f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``(header, payload, payload_bytes, payload_sha1, record)`` of each record, rebuilt and verified.
+    """``(header, record)`` of each record in its exact WARC form, rebuilt and verified; a revisit's record has no block.
 
-    ``record`` is its exact WARC form. For a revisit ``payload`` is the payload that it refers to, and ``record`` has no block. Stored
-    payloads are hashed once each, before the join, so who asks for no bytes moves none.
+    Payloads are hashed where they are stored, and only records that hold them are joined with their bytes; revisits are joined with lengths and digests alone, so however often a
+    payload is revisited, its bytes move once.
     """
     stored = spark.read.parquet(f"{path}/payloads").select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_sha1"), (F.unhex(F.sha2("payload", 256)) == F.col("digest")).alias("sound"))
-    whole = spark.read.parquet(f"{path}/headers").join(stored, "digest", "left")
+    headers, revisit = spark.read.parquet(f"{path}/headers"), field("WARC-Type") == "revisit"
+    full = headers.where(~revisit).join(stored, "digest", "left")
+    light = headers.where(revisit).join(stored.drop("payload"), "digest", "left").withColumn("payload", F.lit(b""))
     sound = F.col("sound") & (field("WARC-Payload-Digest: sha1") == F.col("payload_sha1")) & (field("X-Payload-Length").cast("long") == F.col("payload_bytes"))
-    checked = whole.where(F.when(F.coalesce(sound, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit("damaged payload of "), F.substring_index("header", _EOL, 3))).cast("boolean")))
-    block = F.when(field("Content-Length").cast("long") > 0, F.col("payload")).otherwise(F.lit(b""))
-    return checked.select("header", "payload", "payload_bytes", "payload_sha1", F.concat(F.encode("header", "UTF-8"), block, F.encode(F.lit(_EOL + _EOL), "UTF-8")).alias("record"))
+    checked = full.unionByName(light).where(F.when(F.coalesce(sound, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit("damaged payload of "), F.substring_index("header", _EOL, 3))).cast("boolean")))
+    return checked.select("header", F.concat(F.encode("header", "UTF-8"), "payload", F.encode(F.lit(_EOL + _EOL), "UTF-8")).alias("record"))
 
 
 def field(name: str) -> Column:
@@ -72,18 +73,27 @@ def field(name: str) -> Column:
     return F.nullif(F.regexp_extract("header", rf"\r\n{name}:\s?<?([^\r>]*)", 1), F.lit(""))
 
 
+def parsed(records: DataFrame) -> DataFrame:
+    """``(page_id, record_type, refers_to, named_sha1, payload_bytes, payload_digest)`` read off the bytes of records alone.
+
+    The payload of a revisit is that of the response that it refers to.
+    """
+    head = F.concat(F.substring_index(F.col("record").cast("string"), _EOL + _EOL, 1), F.lit(_EOL + _EOL))
+    page = lambda name: F.nullif(F.regexp_replace(field(name), "^urn:page:", ""), F.lit("")).cast("long")
+    split = records.select("record", head.alias("header"))
+    body = F.substring("record", F.octet_length("header") + 1, field("Content-Length").cast("int"))
+    each = cut(split.select(page("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest: sha1").alias("named_sha1"), body.alias("body")).select("*", F.octet_length("body").cast("long").alias("payload_bytes"), F.sha1("body").alias("payload_digest")).drop("body"))
+    revisit = F.col("record_type") == "revisit"
+    known = each.where(~revisit).groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("named_sha1")).agg(F.first("payload_bytes").alias("payload_bytes")).withColumn("payload_digest", F.col("named_sha1"))
+    again = each.where(revisit).drop("payload_bytes", "payload_digest").join(apart(known, "refers_to", "named_sha1"), ["refers_to", "named_sha1"], "left")
+    return each.where(~revisit).unionByName(again)
+
+
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    """Every page written to a new archive, and what its records say when they are read back."""
+    """Every page written to a new archive, and what its rebuilt records say when they are parsed."""
     path = scratch(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    page = lambda name: F.regexp_replace(field(name), "^urn:page:", "").cast("long")
-    return read_archive(spark, path).select(
-        page("WARC-Record-ID").alias("page_id"),
-        "payload_bytes",
-        F.col("payload_sha1").alias("payload_digest"),
-        field("WARC-Type").alias("record_type"),
-        page("WARC-Refers-To").alias("refers_to"),
-    )
+    return parsed(read_archive(spark, path).select("record")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
