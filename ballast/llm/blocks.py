@@ -17,10 +17,22 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballast.functions.durable import width
+
 ASKS = "shard int, block int, blob binary"
 _SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())])
 
 
+#: Bytes of text that a block holds on average, at most.
+BLOCK_BYTES = 64_000_000
+
+
+def number(docs: DataFrame, text: str) -> int:
+    """How many blocks (and shards) to deal: the session's width, or more where blocks would be too large for a worker's memory."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(width(docs.sparkSession), -(-size // BLOCK_BYTES))
+
+
 def block_of(doc_id: str, text: str, n: int) -> Column:
     """The block of a document; those without an id are dealt by their text."""
     return F.pmod(F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id)), F.lit(n)).cast("int")

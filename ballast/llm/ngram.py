@@ -11,7 +11,8 @@ unlinked temporary file and maps it into memory: sorted 64-bit hashes beside the
 binary search. A slice is bounded by its block, so no worker ever needs the whole model.
 
 Nulls and empties: a null or empty text has no words, and is scored as the end mark after the begin mark. A null doc_id counts as
-training. Repeated rows are counted and scored each. Without any training text all probability is uniform.
+training. Repeated rows are counted and scored each, rows that share a doc_id too. Very long texts are whole in their block, whose size is bounded on average only. Without any
+training text all probability is uniform. Other columns play no part. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.durable import cut, release, width
+from ballast.functions.durable import cut
 from ballast.llm import blocks
 from ballast.llm.text import as_bytes, lower_words
 
@@ -49,7 +50,7 @@ def _word_shard(w: np.ndarray, n: int) -> np.ndarray:
 
 
 class Block:
-    """The tokens of a block's texts as codes, with its distinct words and bigrams in the order of their shards."""
+    """The tokens of a block's texts as codes, with its distinct words and bigrams in order."""
 
     def __init__(self, n: int):
         self.n, self.coder, self.texts, self.held = n, blocks.Coder(), [], []
@@ -69,10 +70,8 @@ class Block:
         first[np.concatenate(([0], np.cumsum(self.sizes + 1)[:-1]))] = True
         at = np.flatnonzero(~first)  # tokens; the one before is the context
         size = np.int64(len(self.words))
-        if self.n * float(size) ** 2 > 2**62:
-            raise ValueError("a block has too many distinct words; raise spark.sql.shuffle.partitions")
         self.tokens = rank[at]
-        self.token_pairs = (_pair_shard(flat[at - 1], flat[at], self.n).astype(np.int64) * size + rank[at - 1]) * size + self.tokens
+        self.token_pairs = rank[at - 1] * size + self.tokens
         del flat
         if counts:
             trained = np.repeat(~np.array(self.held, bool), self.sizes)
@@ -81,11 +80,11 @@ class Block:
             self.word_counts = np.bincount(self.tokens[trained], minlength=len(self.words)).astype(np.uint32)
         else:
             self.pairs = np.unique(self.token_pairs)
-        self.u, self.v = self.pairs // size % size, self.pairs % size
+        self.u, self.v = self.pairs // size, self.pairs % size
+        self.shard = _pair_shard(self.words[self.u], self.words[self.v], self.n).astype(np.int64)
 
     def asks(self, block: int) -> Iterator[tuple[int, int, int, bytes]]:
-        size = np.int64(len(self.words))
-        for k, (u, v, c) in blocks.by_shard(self.pairs // size // size, self.n, self.words[self.u], self.words[self.v], self.pair_counts):
+        for k, (u, v, c) in blocks.by_shard(self.shard, self.n, self.words[self.u], self.words[self.v], self.pair_counts):
             starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
             yield PAIRS, k, block, blocks.pack(u[starts], np.diff(np.concatenate((starts, [len(u)]))).astype(np.uint32), v, c)
         for k, (w, c) in blocks.by_shard(_word_shard(self.words, self.n), self.n, self.words, self.word_counts):
@@ -202,7 +201,8 @@ class Slice:
     """The part of the model that a block needs: bigrams in hash order beside their log probabilities, and its words."""
 
     def __init__(self, block: Block, answers: list[tuple[int, list[np.ndarray]]], facts: dict):
-        counts = np.concatenate([x[0] for kind, x in answers if kind == PAIRS]).astype(np.int64)
+        counts = np.empty(len(block.pairs), np.int64)
+        counts[np.argsort(block.shard, kind="stable")] = np.concatenate([x[0] for kind, x in answers if kind == PAIRS])  # answers come by shard
         words = np.empty((6, len(block.words)), np.int64)
         words[:, np.argsort(_word_shard(block.words, block.n), kind="stable")] = np.concatenate([np.stack(x) for kind, x in answers if kind == WORDS], axis=1)
         token, ending, context, once, twice, more = words
@@ -225,9 +225,8 @@ class Slice:
 
 def score_all(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, with a model of the rows not held out."""
-    spark = docs.sparkSession
-    n = width(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    n = blocks.number(own, "text")
     block_of = blocks.block_of("doc_id", "text", n)
 
     def asks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +241,7 @@ def score_all(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text
 
     sort = lambda df: df.repartitionById(n, F.col("shard")).sortWithinPartitions("kind", "block")
     pairs = cut(sort(blocks.dealt(own, n, block_of).mapInArrow(asks, _ROWS)).mapInArrow(_count_pairs(n), _ROWS))
-    release(spark)
     words = cut(sort(pairs.where(F.col("kind").isin(CONTEXTS, ENDINGS, WORDS))).mapInArrow(_count_words(), _ROWS))
-    release(spark)
     levels = np.sum([np.zeros(7, np.int64), *(blocks.unpack(r["blob"])[0] for r in pairs.where(F.col("kind") == FACTS).select("blob").collect())], axis=0)
     told = [blocks.unpack(r["blob"]) for r in words.where(F.col("kind") == FACTS).select("blob").collect()]
     tokens, endings = (np.sum([np.zeros(7, np.int64), *(x[k] for x in told)], axis=0) for k in range(2))
@@ -268,7 +265,7 @@ def score_all(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text
             return
         block.index(counts=False)
         part, edges = Slice(block, answered, facts), np.concatenate(([0], np.cumsum(block.sizes)))
-        block.pairs = block.u = block.v = answered = None
+        block.pairs = block.u = block.v = block.shard = answered = None
         for at in range(0, len(ids), 1024):
             to = min(at + 1024, len(ids))
             span = slice(edges[at], edges[to])

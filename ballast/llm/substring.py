@@ -5,7 +5,7 @@ id. Windows are found in two steps. Short anchors of ``anchor`` words are hashed
 period belongs to a difference cover: for any two positions there is one shift below the period that brings both onto the
 cover, so wherever two windows match, both hold a matching anchor at the same offset (``anchor + period - 1 <= window``). The windows around
 shared anchors are then compared as wholes, by 96 bits of hash, and each word sequence's least document is found.
-Both steps ask hash shards from blocks of documents (see ``blocks``), so a passage that many documents share is one hash
+Both steps ask hash shards from blocks of documents (see ``blocks``; more of them where texts would make one too large), so a passage that many documents share is one hash
 per block. Texts are shuffled once per later step.
 
 Windows are judged on the input: what is removed elsewhere makes no difference. Null and empty texts and texts shorter than a window
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ballast.functions.durable import cut, release, width
+from ballast.functions.durable import cut
 from ballast.llm import blocks
 from ballast.llm.text import as_bytes, mix, spans_of, words
 
@@ -221,14 +221,12 @@ def _judge(doc_id: str, text: str, each: Callable, assemble: Callable):
 
 
 def _through(docs: DataFrame, doc_id: str, text: str, each: Callable, assemble: Callable, schema) -> DataFrame:
-    n = width(docs.sparkSession)
+    n = blocks.number(docs, text)
     block = blocks.block_of(doc_id, text, n)
     light = docs.select(doc_id, text)
     shared = blocks.answer(blocks.ask(light.withColumn("__block", block), _ask_anchors(n, doc_id, text)), n, _shared_anchors(n))
     windows = blocks.ask(blocks.dealt(light, n, block, shared), _ask_windows(n, doc_id, text))
     least = cut(blocks.answer(windows, n, _least_documents(n)))
-    del shared, windows
-    release(docs.sparkSession)
     return blocks.dealt(docs, n, block, least).mapInArrow(_judge(doc_id, text, each, assemble), schema)
 
 
