@@ -94,16 +94,3 @@ def apart(df: DataFrame, *key: str) -> DataFrame:
     adaptive execution can split the partitions of a hot key.
     """
     return df.repartition(F.xxhash64(*key))
-
-
-def release(spark: SparkSession) -> None:
-    """Have the driver drop what nothing refers to any more, so that its shuffle files make room.
-
-    Spark only deletes a shuffle after its driver's handle was collected; a driver with a large heap may not collect for long. It takes some rounds,
-    as the first ones only find the handles, each with a small job before, as the scheduler holds on to the last one.
-    """
-    for _ in range(3):
-        spark.range(1).count()
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
