@@ -9,7 +9,7 @@ Every pair at the threshold or above is found and every link is verified; a SimH
    spanning links only. Two sets at 0.8 differ in 39 bits on average, with a standard deviation of 5.7, in tiny texts in 48 with 6.2: 80 bits are five
    deviations off or more, so fewer than one pair in a million is lost here. What these links join is a group of candidates, not yet of near duplicates.
 3. The texts of a group are compared by their shingle sets, and linked where the similarity is at the threshold. Groups with more than
-   ``max_group_bytes`` of text are split into shards, and each shard is asked by the texts of those before it. Components come from star rounds.
+   ``max_group_bytes`` of text are split into shards (see ``spread``). Components come from star rounds.
 
 Exact up to collisions of 64-bit hashes. Within a group, as in a tree, one link to each component already linked is enough, so n near copies give
 n links. Nulls and empties: a null or empty text has no shingles and is a copy of any other such. Texts of fewer words than a shingle
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from ballast.functions.durable import apart, cut, width
 from ballast.llm.simhash import MAX_TREE, links_within, print_of, shingles
+from ballast.llm.spread import linked
 from ballast.llm.text import as_bytes, batches, lower_words
 from ballast.operators.components import connected_components
 
 BITS, RADIUS = 256, 80
-MAX_GROUP_BYTES = 8_000_000
+MAX_GROUP_BYTES = 2_000_000
 #: Shingles that so many of about so many sampled texts have come last in the order; at most so many are kept.
 SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 4_000, 5, 200_000
 
@@ -76,8 +77,8 @@ class Order:
 class Group:
     """Shingle sets with the components of what was linked so far."""
 
-    def __init__(self, threshold: float):
-        self.threshold = threshold
+    def __init__(self, threshold: float, order: Order | None = None):
+        self.threshold, self.order = threshold, order or Order({})
         self.sets: list[np.ndarray] = []
         self.parent: list[int] = []
         self.size: dict[int, int] = {}  # by component, which its first set names
@@ -110,7 +111,7 @@ class Group:
         return near
 
     def key(self, own: np.ndarray) -> list[int]:
-        return own[: len(own) - least_common(len(own), self.threshold) + 1].tolist() if len(own) else [-1]
+        return self.order.first(own, self.threshold).tolist() if len(own) else [-1]  # rare ones first, so that near copies do not all meet
 
     def add(self, own: np.ndarray) -> list[int]:
         """Adds a set; returns those it is linked to."""
@@ -182,23 +183,36 @@ def _meeting(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return batches(rows(), schema)
 
 
-def _linker(shingle: int, threshold: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _linker(known, shingle: int, threshold: float):
+    def make():
+        group, nids = Group(threshold, known.value), []
+
+        def find(late: bool, nid: int, text: str | None) -> list[int]:
+            own = shingle_set(text.encode() if text is not None else None, shingle)
+            near = group.search(own) if late else group.add(own)
+            if not late:
+                nids.append(nid)
+            return [nids[k] for k in near]
+
+        return find
+
+    return make
 
-    def links(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-        at, group, nids = None, None, []
-        for batch in it:
-            whole, shard, asks, nid = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("whole", "shard", "asks", "nid"))
-            for here, ask, n, t in zip(zip(whole, shard), asks, nid, as_bytes(batch.column(batch.schema.get_field_index("text")))):
-                if here != at:
-                    at, group, nids = here, Group(threshold), []
-                own = shingle_set(t, shingle)
-                for k in group.search(own) if ask else group.add(own):
-                    yield n, nids[k]
-                if not ask:
-                    nids.append(n)
 
-    return lambda it: batches(links(it), schema)
+def _pivoter(shingle: int, threshold: float):
+    def make():
+        pivots: list[tuple[np.ndarray, int]] = []
+
+        def find(late: bool, nid: int, text: str | None) -> list[int]:
+            own = shingle_set(text.encode() if text is not None else None, shingle)
+            if late:
+                return [p for x, p in pivots if alike(x, own, threshold)]
+            pivots.append((own, nid))
+            return []
+
+        return find
+
+    return make
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8, max_tree: int = MAX_TREE, max_group_bytes: int = MAX_GROUP_BYTES) -> DataFrame:
@@ -216,23 +230,18 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     distinct = held.drop("keys")
     dealt = held.select(F.explode("keys").alias("key"), "nid")
     met = cut(dealt.repartition(width(spark), "key").sortWithinPartitions("key", "nid").mapInArrow(_meeting, "key long, nid long"))
-    prints = met.join(apart(distinct.select("nid", "fingerprint"), "nid"), "nid").select(F.lit(0).alias("band"), "key", "fingerprint").distinct()
+    prints = cut(met.join(apart(distinct.select("nid", "fingerprint"), "nid"), "nid").select(F.col("key").alias("grp"), F.col("fingerprint").alias("id")).distinct())
     roots = connected_components(links_within(prints, RADIUS, max_tree), "a", "b").withColumnRenamed("node", "fingerprint")
 
     grouped = distinct.join(apart(roots, "fingerprint"), "fingerprint", "left").withColumn("whole", F.coalesce("root", "fingerprint"))
     several = grouped.groupBy("whole").count().where("count > 1").select("whole")
-    members = cut(grouped.join(apart(several, "whole"), "whole").select("nid", "least", "whole"))
-    texts = own.join(apart(members.withColumnRenamed("least", "doc_id"), "doc_id"), ["doc_id", "nid"]).groupBy("nid").agg(F.first("whole").alias("whole"), F.first("text").alias("text"))
-    compared = cut(texts)
-    shards = compared.groupBy("whole").agg(F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / max_group_bytes).cast("int").alias("shards")).where("shards > 1")
-    split = compared.join(apart(shards, "whole"), "whole", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    mine = F.pmod(F.xxhash64("nid", F.lit(1)), F.col("shards")).cast("int")
-    rows = split.withColumn("shard", F.explode(F.sequence(mine, F.col("shards") - 1))).withColumn("asks", F.col("shard") != mine).drop("shards")
-    links = rows.repartition(width(spark), "whole", "shard").sortWithinPartitions("whole", "shard", "asks", "nid").mapInArrow(_linker(shingle, threshold), "a long, b long")
-
-    linked = connected_components(links, "a", "b").join(members.select(F.col("nid").alias("node"), "least"), "node")
-    kept = linked.groupBy("root").agg(F.min(F.struct("least", "node")).alias("kept"))
-    gone = linked.join(apart(kept, "root"), "root").where("node <> kept.node").select(F.col("node").alias("__nid"))
+    members = cut(grouped.join(apart(several, "whole"), "whole").select("nid", "least", F.xxhash64("whole").alias("grp")))
+    texts = own.join(apart(members.withColumnRenamed("least", "doc_id"), "doc_id"), ["doc_id", "nid"]).groupBy(F.col("nid").alias("id")).agg(F.first("grp").alias("grp"), F.first("text").alias("text"))
+    links = linked(cut(texts.select("grp", "id", "text")), F.coalesce(F.octet_length("text"), F.lit(0)), max_group_bytes, _linker(order, shingle, threshold), _pivoter(shingle, threshold))
+
+    joined = connected_components(links, "a", "b").join(members.select(F.col("nid").alias("node"), "least"), "node")
+    kept = joined.groupBy("root").agg(F.min(F.struct("least", "node")).alias("kept"))
+    gone = joined.join(apart(kept, "root"), "root").where("node <> kept.node").select(F.col("node").alias("__nid"))
     # copies of one text: the row of the smallest doc_id, once
     stays = cut(distinct.join(gone, distinct["nid"] == gone["__nid"], "left_anti").select(F.col("least").alias("__least"), F.col("nid").alias("__kept")))
     one = named.join(stays, (named[doc_id] == stays["__least"]) & (named["__nid"] == stays["__kept"]), "left_semi").dropDuplicates([doc_id, "__nid"]).drop("__nid")

@@ -5,7 +5,7 @@ Distinct fingerprints are dealt to bands (equal values of chosen bits), so that
 near each other meet, and each band's fingerprints form a BK-tree: children are keyed by their
 Hamming distance to the parent, and a search follows only the edges within the radius of its own distance.
 A band with more than ``max_tree`` fingerprints is split into shard trees, and its fingerprints are also searched for
-in the shards other than their own. Trees travel by shuffle, never through the driver: fingerprints grow
+in the shards other than their own, but for those near one pivot (see ``spread``). Trees travel by shuffle, never through the driver: fingerprints grow
 with the corpus, so a broadcast of all shards has no size bound.
 
 Within a tree only spanning links are kept (a subtree already linked as a whole is not entered again), so a group of n near
@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.durable import apart, cut, width
-from ballast.llm.text import as_bytes, batches, lower_words, mix
+from ballast.functions.durable import apart, cut
+from ballast.llm.spread import linked
+from ballast.llm.text import as_bytes, lower_words, mix
 from ballast.operators.components import connected_components
 
 MAX_TREE = 20_000
@@ -148,18 +149,13 @@ class Forest:
 
 def near_links(distinct: DataFrame, bands: list[list[int]], radius: int, max_tree: int = MAX_TREE) -> DataFrame:
     """Links ``(a, b)`` between fingerprints within the radius that share a band; distinct: ``(fingerprint)``."""
-    return links_within(distinct.select("fingerprint").mapInArrow(_dealer(bands), "band int, key long, fingerprint binary"), radius, max_tree)
+    dealt = distinct.select("fingerprint").mapInArrow(_dealer(bands), "band int, key long, fingerprint binary")
+    return links_within(dealt.select(F.xxhash64("band", "key").alias("grp"), F.col("fingerprint").alias("id")), radius, max_tree)
 
 
 def links_within(dealt: DataFrame, radius: int, max_tree: int = MAX_TREE) -> DataFrame:
-    """Links ``(a, b)`` between fingerprints within the radius that share a band and key; dealt: ``(band, key, fingerprint)``."""
-    spark = dealt.sparkSession
-    hot = dealt.groupBy("band", "key").count().where(F.col("count") > max_tree).select("band", "key", F.ceil(F.col("count") / max_tree).cast("int").alias("shards"))
-    split = dealt.join(hot, ["band", "key"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("shards")).cast("int")
-    rows = split.withColumn("shard", F.explode(F.sequence(own, F.col("shards") - 1))).withColumn("asks", F.col("shard") != own).drop("shards")
-    sorted_rows = rows.repartition(width(spark), "band", "key", "shard").sortWithinPartitions("band", "key", "shard", "asks", "fingerprint")
-    return sorted_rows.mapInArrow(_linker(radius), "a binary, b binary").distinct()
+    """Links ``(a, b)`` between fingerprints within the radius that share a group; dealt: ``(grp long, id binary)``."""
+    return linked(dealt, F.lit(1), max_tree, _linker(radius), _pivoter(radius))
 
 
 def _dealer(bands: list[list[int]]):
@@ -180,32 +176,42 @@ def _dealer(bands: list[list[int]]):
 
 
 def _linker(radius: int):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    """A shard's tree, made when there is a second fingerprint, as most shards hold one."""
 
-    def links(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
-        at, first, forest, prints = None, None, None, []
-        for batch in it:
-            band, key, shard = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("band", "key", "shard"))
-            asks, fps = batch.column(batch.schema.get_field_index("asks")).to_pylist(), batch.column(batch.schema.get_field_index("fingerprint")).to_pylist()
-            for here, ask, fp in zip(zip(band, key, shard), asks, fps):
-                if here != at:  # most bands hold one fingerprint, and need no tree
-                    at, forest, prints = here, None, []
-                    if not ask:
-                        first = fp
-                        prints = [fp]
-                    continue
-                if not prints:
-                    continue
-                if forest is None:
-                    forest = Forest(radius)
-                    forest.add(int.from_bytes(first))
-                near = forest.search(int.from_bytes(fp)) if ask else forest.add(int.from_bytes(fp))
-                if not ask:
-                    prints.append(fp)
-                for n in near:
-                    yield fp, prints[n]
-
-    return lambda it: batches(links(it), schema)
+    def make():
+        forest, prints = Forest(radius), []
+
+        def find(late: bool, fp: bytes) -> list[bytes]:
+            if late:
+                if prints and not forest.value:
+                    forest.add(int.from_bytes(prints[0]))
+                return [prints[n] for n in forest.search(int.from_bytes(fp))]
+            prints.append(fp)
+            if len(prints) == 1:
+                return []
+            if not forest.value:
+                forest.add(int.from_bytes(prints[0]))
+            return [prints[n] for n in forest.add(int.from_bytes(fp))]
+
+        return find
+
+    return make
+
+
+def _pivoter(radius: int):
+    def make():
+        pivots: list[tuple[int, bytes]] = []
+
+        def find(late: bool, fp: bytes) -> list[bytes]:
+            x = int.from_bytes(fp)
+            if late:
+                return [p for y, p in pivots if (x ^ y).bit_count() <= radius]
+            pivots.append((x, fp))
+            return []
+
+        return find
+
+    return make
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 64, radius: int = 2, bands: list[list[int]] | None = None, max_tree: int = MAX_TREE) -> DataFrame:
