@@ -51,3 +51,9 @@ def test_size_classes_rise(spark):
     sizes = spark.createDataFrame([(x,) for x in [1, 2, 4095, 4096, 4097, 8191, 8192, 8193, 16384, 10**6, 10**9, 10**12]], "s long")
     got = [r.c for r in sizes.orderBy("s").select(S.size_class(F.col("s")).alias("c")).collect()]
     assert got == sorted(got) and got[:4] == [1, 2, 4095, 4096] or got[:3] == [1, 2, 4095]
+
+
+def test_columns_of_the_same_names(spark):
+    docs = documents()
+    odd = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "'x' as size", "'x' as shard", "'x' as slot", "'x' as rank", "'x' as class", "'x' as text_key")
+    assert S.shard(odd, 3).columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and S.shard(odd, 3).count() == len(docs)

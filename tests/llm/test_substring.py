@@ -52,6 +52,13 @@ def test_texts_keep_what_is_not_repeated(spark):
     assert S.remove_repeats(df.where("false")).count() == 0
 
 
+def test_columns_of_the_same_names(spark):
+    docs = documents()
+    odd = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "'x' as n_words", "'x' as shard", "'x' as block", "'x' as blob", "'x' as removed")
+    assert by_id(tuple(r) for r in S.judge_repeats(odd).collect()) == by_id(brute(docs))
+    assert S.remove_repeats(odd).columns == odd.columns
+
+
 def test_rolling_hashes_tell_windows_apart():
     codes = np.random.default_rng(1).integers(0, 2**63, 300).astype(np.uint64)
     codes[200:260] = codes[20:80]
