@@ -68,6 +68,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table of :func:`scratch` that nothing reads any more, in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, the one knob for how finely work is dealt."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
