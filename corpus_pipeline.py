@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ballast.functions.durable import scratch, ship, written
+from ballast.functions.durable import drop, scratch, ship, written
 from ballast.llm import classifier, decontaminate, jaccard, packing, substring
 
 #: Near duplicates: a Jaccard similarity of 0.8 or more between sets of five-word shingles.
@@ -61,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for ``documents``; each stage's are written and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows for ``documents``; each stage's are written and reread, and dropped once the next one's are written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, name.replace(" ", "-"))
         docs = written(stage(spark, docs, sf_dir), path)
+        if last:
+            drop(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
