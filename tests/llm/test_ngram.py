@@ -64,3 +64,26 @@ def test_no_training_and_no_rows(spark):
     df = spark.createDataFrame(documents(), SCHEMA)
     assert {r.score for r in N.score_all(df, F.lit(True)).collect()} == {0.0}
     assert N.score_all(df.where("false"), F.lit(False)).count() == 0
+
+
+def test_a_stored_model_scores_like_the_one_in_one_go(spark):
+    from ballast.functions.durable import scratch
+
+    rows, held = documents(), F.col("doc_id") % 3 == 1
+    df, path = spark.createDataFrame(rows, SCHEMA), scratch(spark, "model")
+    N.fit(df, held, path)
+    both = lambda x: by_id((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in x.collect())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")  # other blocks than the model has shards
+    try:
+        assert both(N.score(df, path, held)) == both(N.score_all(df, held))
+        c, n, v, p = model([t for d, t, *_ in rows if d is None or d % 3 != 1])
+        new = [(1, "w1 w2 never seen before w3"), (2, None), (None, "w7 w7")]
+        got = N.score(spark.createDataFrame(new, "doc_id long, text string"), path).collect()
+        assert by_id((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == by_id((d, k, round(b, 6), round(x, 6)) for d, t in new for _, k, b, x in [score(t, c, n, v, p)])
+        assert N.score(df.where("false"), path).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    empty = scratch(spark, "model")
+    N.fit(df, F.lit(True), empty)
+    assert {r.score for r in N.score(df, empty).collect()} == {0.0}
