@@ -7,8 +7,8 @@ that is shorter than a window.
 
 The automaton is built on the driver and broadcast, so its size is bounded: the items are dealt
 into blocks of at most ``max_block_bytes`` of text (measured by Spark beforehand), each with an
-automaton of its own, and the documents are streamed past each block. With one block nothing is
-shuffled at all; with more, the matches of hit texts are, and are joined back by the text's SHA-256, so that
+automaton of its own, and the documents are streamed past one block after the other. With one block nothing is
+shuffled at all; with more, the matches of hit texts are kept, and are joined back by the text's SHA-256, so that
 all blocks see the whole text. Copies of an item text are one text with several ids.
 
 Nulls and empties: a null text has no words and is never hit; an item without words is never found;
@@ -18,13 +18,15 @@ by one, so ties and repeated rows keep their number. Other columns are carried a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.durable import apart
+from ballast.functions.durable import apart, cut
 from ballast.llm.text import alnum_words, as_bytes, lower_alnum, spans_of
 
 MAX_BLOCK_BYTES = 2_000_000
@@ -158,26 +160,45 @@ def _blocks(items: DataFrame, item_id: str, text: str, max_block_bytes: int) ->
             yield [(i, r.text) for r in got for i in r.ids or [None]]
 
 
-def _automata(spark, items: DataFrame, item_id: str, item_text: str, window: int, max_block_bytes: int) -> list:
-    """A broadcast automaton for each block of items."""
-    return [spark.sparkContext.broadcast(SuffixAutomaton([(i, alnum_words(t.encode())) for i, t in block], window)) for block in _blocks(items, item_id, item_text, max_block_bytes)]
+def _first(blocks: Iterator[list[tuple]]) -> tuple[list[tuple], Iterator[list[tuple]] | None]:
+    """The first block, and if there are more, all of them."""
+    first = next(blocks)
+    second = next(blocks, None)
+    return first, None if second is None else itertools.chain([first, second], blocks)
+
+
+def _automaton(spark, block: list[tuple], window: int):
+    """The broadcast automaton of a block of items."""
+    return spark.sparkContext.broadcast(SuffixAutomaton([(i, alnum_words(t.encode())) for i, t in block], window))
 
 
 SPANS = "array<struct<a:long,b:long>>"
 
 
-def _hits(texts: DataFrame, automata: list) -> DataFrame:
+def _merged(spans: Column) -> Column:
+    """:func:`merge` of an array of spans."""
+
+    def one(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
+        return F.when((F.size(out) > 0) & (s["a"] <= F.try_element_at(out, F.lit(-1))["b"]), joined).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), one)
+
+
+def _hits(texts: DataFrame, blocks: Iterator[list[tuple]], window: int) -> DataFrame:
     """``(key, spans, items)`` of each distinct text that any block hits, all blocks matched to the whole text; texts: ``(key, text)``.
 
-    What a text matches depends on nothing but the text, so rows need no name of their own.
+    What a text matches depends on nothing but the text, so rows need no name of their own. One automaton is held at a time.
     """
-    parts = [texts.mapInArrow(_matcher(known, only_hits=True), f"key string, n_words long, spans {SPANS}, items array<string>").withColumn("block", F.lit(k)) for k, known in enumerate(automata)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    once = out.groupBy("key", "block").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
-    merged = F.udf(lambda xs: merge([(x.a, x.b) for x in xs]), SPANS)
-    return once.groupBy("key").agg(merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    parts = []
+    for k, block in enumerate(blocks):
+        known = _automaton(texts.sparkSession, block, window)
+        found = texts.mapInArrow(_matcher(known, only_hits=True), f"key string, n_words long, spans {SPANS}, items array<string>")
+        parts.append(cut(found.withColumn("block", F.lit(k))))
+        known.destroy()
+    once = reduce(DataFrame.unionByName, parts).groupBy("key", "block").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+    return once.groupBy("key").agg(_merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def match_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
@@ -188,11 +209,11 @@ def match_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", te
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    automata = _automata(docs.sparkSession, items, item_id, item_text, window, max_block_bytes)
-    if len(automata) == 1:
-        return own.mapInArrow(_matcher(automata[0]), f"doc_id {kind}, n_words long, spans {SPANS}, items array<string>")
+    first, rest = _first(_blocks(items, item_id, item_text, max_block_bytes))
+    if not rest:
+        return own.mapInArrow(_matcher(_automaton(docs.sparkSession, first, window)), f"doc_id {kind}, n_words long, spans {SPANS}, items array<string>")
     keyed = own.withColumn("key", F.sha2("text", 256))
-    hits = _hits(keyed.select("key", "text"), automata)
+    hits = _hits(keyed.select("key", "text"), rest, window)
     counted = keyed.select("doc_id", "text", "key").mapInArrow(_counter, f"doc_id {kind}, n_words long, key string")
     return counted.join(apart(hits, "key"), "key", "left").select("doc_id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -231,11 +252,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     empty ones among them, stay as they are. However many blocks the items make, all are matched to the text as it was.
     """
     at = docs.columns.index(text)
-    automata = _automata(docs.sparkSession, items, item_id, item_text, window, max_block_bytes)
-    if len(automata) == 1:
-        return docs.mapInArrow(_cleaner(at, max_coverage, automata[0]), docs.schema)
+    first, rest = _first(_blocks(items, item_id, item_text, max_block_bytes))
+    if not rest:
+        return docs.mapInArrow(_cleaner(at, max_coverage, _automaton(docs.sparkSession, first, window)), docs.schema)
     keyed = docs.withColumn("__key", F.sha2(text, 256))
-    hits = _hits(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), automata).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    hits = _hits(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), rest, window).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     return keyed.join(apart(hits, "__key"), "__key", "left").select(*docs.columns, "__spans").mapInArrow(_cleaner(at, max_coverage), docs.schema)
 
 
