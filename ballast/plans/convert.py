@@ -63,18 +63,17 @@ def _(spark, d):
 def _typed(spark, d):
     """Two questions to each turn, as JSON: whose it is, with odds by its number, and whether its number is even."""
     asked = F.to_json(F.create_map(
-        F.lit("a"), F.struct(F.lit("choice").alias("type"), F.concat(F.lit("who says this in "), F.col("conv_id").cast("string"), F.lit("?")).alias("instructions"), F.array(F.lit("user"), "role", F.lit("nobody")).alias("criteria")),
+        F.lit("a"), F.struct(F.lit("choice").alias("type"), F.concat(F.lit("who says this in "), F.col("conv_id").cast("string"), F.lit("?")).alias("instructions"), F.array(F.lit("nobody"), F.concat(F.lit("the "), "role")).alias("criteria")),
         F.lit("b"), F.struct(F.lit("noul").alias("type"), F.lit("even?").alias("instructions"), F.array().cast("array<string>").alias("criteria")),
     ))
     odds = lambda *xs: F.struct(F.create_map(*xs).alias("probabilities"))
     even = (F.col("turn") % 2 == 0).cast("double")
-    gold = F.to_json(F.create_map(F.lit("a"), odds(F.lit("nobody"), F.lit(0.5), F.lit("user"), (F.col("turn") % 4 + 1) / 8), F.lit("b"), odds(F.lit("true"), even, F.lit("false"), 1 - even)))
+    gold = F.to_json(F.create_map(F.lit("a"), odds(F.concat(F.lit("the "), "role"), (F.col("turn") % 4 + 1) / 8, F.lit("nobody"), 1 - (F.col("turn") % 4 + 1) / 8), F.lit("b"), odds(F.lit("true"), even, F.lit("false"), 1 - even)))
     return table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("state"), asked.alias("questions"), gold.alias("gold"))
 
 
-@query("typed_questions", """WITH t AS (SELECT conv_id, turn, role, (turn % 4 + 1) / 8.0::DOUBLE AS u FROM conversations),
-x AS (SELECT *, CASE WHEN role = 'user' THEN [u, u, 0.5] WHEN role = 'nobody' THEN [u, 0.5, 0.5] ELSE [u, 0.0, 0.5] END AS p FROM t)
-SELECT conv_id, turn, 'a' AS qid, ['user', role, 'nobody'] AS labels, list_transform(p, lambda v: round(v / list_sum(p), 6)) AS target FROM x
+@query("typed_questions", """WITH t AS (SELECT conv_id, turn, role, (turn % 4 + 1) / 8.0::DOUBLE AS u FROM conversations)
+SELECT conv_id, turn, 'a' AS qid, ['nobody', 'the ' || role] AS labels, [1 - u, u] AS target FROM t
 UNION ALL SELECT conv_id, turn, 'b', ['false', 'true'], [CAST(turn % 2 AS DOUBLE), CAST(1 - turn % 2 AS DOUBLE)] FROM t""")
 def _(spark, d):
     return convert.typed_questions(_typed(spark, d)).select("conv_id", "turn", "qid", "labels", F.transform("target", lambda x: F.round(x, 6)).alias("target"))
