@@ -74,8 +74,7 @@ def mail_body(raw: bytes | None) -> str:
     for subtype in READ:
         if (part := message.get_body((subtype,))) is not None:
             payload = part.get_payload(decode=True) or b""
-            # a message without a declared type is its own plain part, whatever type it names
-            return READ["html" if part.get_content_type() == "text/html" else "plain"](decoded(payload, part.get_content_charset()))
+            return READ[subtype](decoded(payload, part.get_content_charset()))
     return ""
 
 
