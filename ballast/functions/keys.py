@@ -11,6 +11,8 @@ IMAGE_SALT = "doh-vqa:"
 SAMPLE_SALT = "doh-sample-v1:"
 SPLIT_RANK = {"train": 0, "calibration": 1, "dev": 2, "test": 3}
 WHITE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
+#: The characters of WHITE one by one.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -118,4 +120,4 @@ def head(s: Column, n: int = 3000) -> Column:
 
 def stripped_length(s: Column) -> Column:
     """Characters without white space at either end."""
-    return F.length(F.regexp_replace(s, rf"^{WHITE}|{WHITE}$", ""))
+    return F.length(F.btrim(s, F.lit(BLANKS)))

@@ -15,7 +15,7 @@ def leaf_fingerprints(df: DataFrame, *keep: str, leaves: str = "state_leaves", h
     leaf = F.col("__leaf")
     variants = F.explode(F.array_distinct(F.array(leaf, K.head(leaf, HEAD_CHARS)))) if heads else leaf
     each = df.select(*keep, F.explode(leaves).alias("__leaf")).select(*keep, variants.alias("__leaf"))
-    long = (F.length(leaf) >= LEAST_CHARS) & (K.stripped_length(leaf) >= LEAST_CHARS)  # the second asks for a regular expression
+    long = K.stripped_length(leaf) >= LEAST_CHARS
     # never null, so that no join has to test it for null by computing it once more
     return each.where(long).select(*keep, F.coalesce(K.fingerprint(leaf), F.lit("")).alias("fingerprint")).distinct()
 

@@ -62,6 +62,16 @@ def test_hidden_text_stays_hidden():
     assert helpers.html_text("</script>shown<SCRIPT>hidden") == "shown"
 
 
+def test_blanks_are_the_white_characters(spark):
+    from pyspark.sql import functions as F
+
+    from ballast.functions import keys as K
+
+    chars = spark.range(0x11000).where("id < 55296 or id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    white = {r.id for r in chars.where(F.col("c").rlike(f"^{K.WHITE}$")).collect()}
+    assert white == {ord(c) for c in K.BLANKS}
+
+
 def test_mail_parts():
     m = EmailMessage()
     m.set_content("<p>one<script>two</script></p>", subtype="html")
