@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ballast.llm import chat, classifier, decontaminate, ngram, packing, rules, shards, simhash, substring, warc
+from ballast.llm import align, chat, classifier, decontaminate, language, ngram, packing, rules, shards, simhash, substring, warc, whiten
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_rules": rules.op8_rules,
     "op9_classifier": classifier.op9_classifier,
     "op10_substring": substring.op10_substring,
+    "op11_whitening": whiten.op11_whitening,
+    "op12_alignment": align.op12_alignment,
+    "op13_language": language.op13_language,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
