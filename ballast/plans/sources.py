@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import tarfile
+import zipfile
 import zlib
 
 import pandas as pd
@@ -14,7 +15,7 @@ from ballast.functions import helpers
 from ballast.functions.durable import scratch
 from ballast.plans.fixtures import EX, examples, table
 from ballast.plans.registry import query
-from ballast.sources import tables
+from ballast.sources import archives, tables
 
 
 @query("read_jsonl", "SELECT doc_id, text, lang FROM documents")
@@ -68,29 +69,70 @@ def _(spark, d):
     return found.select(subject.alias("doc_id"), "spam", helpers.mail_text(F.col("raw")).alias("text"))
 
 
-def _tar(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w") as tar:
-        for name, raw in zip(pdf["name"], pdf["raw"]):
-            info = tarfile.TarInfo(name)
-            info.size = len(raw)
-            tar.addfile(info, io.BytesIO(raw))
-    return pd.DataFrame({"tar": [out.getvalue()]})
+def _archive(kind: str):
+    """Packs the files ``(name, raw)`` of a group into one archive."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        if kind == "zip":
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, raw in zip(pdf["name"], pdf["raw"]):
+                    z.writestr(name, raw)
+        else:
+            with tarfile.open(fileobj=out, mode="w") as tar:
+                for name, raw in zip(pdf["name"], pdf["raw"]):
+                    info = tarfile.TarInfo(name)
+                    info.size = len(raw)
+                    tar.addfile(info, io.BytesIO(raw))
+        return pd.DataFrame({"archive": [out.getvalue()]})
 
-@query("read_mail_archive", "SELECT doc_id, false AS spam, sha256(text) AS digest FROM documents WHERE doc_id % 10 <> 7")
-def _(spark, d):
-    # tar archives of some hundred members each; members without a number are no messages
+    return run
+
+
+def _archives(spark, files, kind: str) -> str:
+    """``files`` ``(name, raw, part)`` written as an archive for each part; a tar is compressed by Spark's writer."""
     path = scratch(spark, "archives")
+    made = files.groupBy("part").applyInPandas(_archive(kind), "archive binary")
+    writer = made.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)  # bytes stay as they are
+    (writer.option("compression", "bzip2") if kind == "tar" else writer).text(path)
+    return path
+
+
+def _mail(spark, d):
+    """Documents as files of archives of some thousand each; files without a number are no messages."""
     docs = table(spark, d, "documents")
     name = F.concat(F.when(F.col("doc_id") % 10 == 7, "mail/notes").otherwise("mail/"), F.col("doc_id").cast("string"), F.lit(".aa"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(docs.count() // 200 + 1))
-    tars = docs.select(name.alias("name"), F.encode("text", "UTF-8").alias("raw"), part.alias("part")).groupBy("part").applyInPandas(_tar, "tar binary")
-    tars.select(F.col("tar").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)  # bytes stay as they are
-    found = tables.read_mail_archive(spark, path)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(docs.count() // 2000 + 1))
+    return docs.select(name.alias("name"), F.encode("text", "UTF-8").alias("raw"), part.alias("part"))
+
+
+_MAIL = "SELECT doc_id, false AS spam, sha256(text) AS digest FROM documents WHERE doc_id % 10 <> 7"
+
+
+@query("read_mail_archive", _MAIL)
+def _(spark, d):
+    found = tables.read_mail_archive(spark, _archives(spark, _mail(spark, d), "tar"))
     return found.select(F.regexp_extract("member", r"(\d+)\.aa$", 1).cast("long").alias("doc_id"), "spam", F.sha2("raw", 256).alias("digest"))
 
 
+@query("read_zip", "SELECT CASE WHEN doc_id % 10 = 7 THEN 'mail/notes' ELSE 'mail/' END || doc_id || '.aa' AS member, strlen(text) AS bytes, sha256(text) AS digest FROM documents")
+def _(spark, d):
+    found = archives.read_zip(spark, _archives(spark, _mail(spark, d), "zip"))
+    return found.select("member", F.octet_length("raw").cast("long").alias("bytes"), F.sha2("raw", 256).alias("digest"))
+
+
+@query("read_zipped_lines", "SELECT row_number() OVER (PARTITION BY o_custkey % (SELECT count(*) // 5000 + 10 FROM orders) ORDER BY o_orderkey) - 1 AS n, o_orderpriority AS label, o_orderkey || chr(9) || o_orderstatus AS text FROM orders")
+def _(spark, d):
+    # files of some thousand lines, twenty to a zip, beside one that is not read
+    orders = table(spark, d, "orders")
+    n = orders.count() // 5000 + 10
+    line = F.concat_ws("\t", "o_orderpriority", F.col("o_orderkey").cast("string"), "o_orderstatus")
+    each = orders.groupBy((F.col("o_custkey") % n).alias("k")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("lines"))
+    files = each.select(F.concat(F.lit("lines/"), F.col("k").cast("string")).alias("name"), F.encode(F.concat_ws("\n", "lines.line"), "UTF-8").alias("raw"), F.floor(F.col("k") / 20).alias("part"))
+    files = files.unionByName(spark.range(1).select(F.lit("readme").alias("name"), F.lit(b"a\tb").alias("raw"), F.lit(0).cast("long").alias("part")))
+    return tables.read_labelled_lines(spark, _archives(spark, files, "zip"), "^lines/", "zip").select(F.col("uid").alias("n"), "label", "text")
+
+
 @query("read_images", "SELECT 'image-bytes:' || sha256(html || chr(10)) AS bytes_key, CAST(strlen(html) + 1 AS BIGINT) AS length FROM pages")
 def _(spark, d):
     path = scratch(spark, "images")

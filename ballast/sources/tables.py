@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballast.functions import helpers
+from ballast.sources.archives import read_members
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -35,25 +36,28 @@ def read_json_document(spark: SparkSession, path: str, schema: str, field: str |
     return df.select(F.explode(field).alias("item")).select("item.*") if field else df
 
 
-def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_labelled_lines(spark: SparkSession, path: str, member: str | None = None, kind: str | None = None) -> DataFrame:
     """``label<TAB>text`` lines with their 0-based line number in each file as ``uid``; split once, so texts may hold tabs.
 
     Files are read in splits: a line's number is its place in its split, and how many lines the splits before hold, found from a count per split.
+    With ``member``, a regular expression, the files are those in archives whose names match it; each is bounded by a row.
     """
+    parts = F.split("value", "\t", 2)
+    if member is not None:
+        lines = read_members(spark, path, member, kind).select(F.posexplode(F.split(F.col("raw").cast("string"), "\n")).alias("uid", "value"))
+        return lines.where("value <> ''").select(F.col("uid").cast("long").alias("uid"), F.get(parts, F.lit(0)).alias("label"), F.get(parts, F.lit(1)).alias("text"))
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     starts = blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    parts = F.split("value", "\t", 2)
     numbered = lines.where(F.col("value") != "").join(starts, ["file", "block"])
     return numbered.select((F.col("at") + F.col("shift")).alias("uid"), F.get(parts, F.lit(0)).alias("label"), F.get(parts, F.lit(1)).alias("text"))
 
 
-def read_mail_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, member, spam, raw)`` of the messages in tar archives whose base names are numbered; spam is told by the archive's name."""
-    found = helpers.archive_members(spark.read.format("binaryFile").load(path))
-    numbered = found.where(F.element_at(F.split("member", "/"), -1).rlike(r"^\d+\."))
-    return numbered.withColumn("spam", _base("path").contains("_spam")).select("path", "member", "spam", "raw")
+def read_mail_archive(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """``(path, member, spam, raw)`` of the messages in zip and tar archives whose base names are numbered; spam is told by the archive's name."""
+    numbered = read_members(spark, path, r"(^|/)\d+\.[^/]*$", kind)
+    return numbered.select("path", "member", _base("path").contains("_spam").alias("spam"), "raw")
 
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
