@@ -45,7 +45,8 @@ from ballast.llm import blocks
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Records in a block's buffer; entries in a chunk of a run; blocks that meet in one merge.
 BUFFER, CHUNK, FAN = 2_000_000, 32_768, 256
-_RUN = 50_000
+_RUN, _REMEMBERED = 50_000, 300_000
+_WORDS = re.compile(r" *[^ \n]+| +|\n")
 # Fixed value: how the byte-level vocabulary's own pre-tokenizer splits text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -58,7 +59,10 @@ def _spelled() -> dict[str, int]:
 
 
 class Cutter:
-    """Both tokenizers: ids of a text, and where in ``space + text`` each token ends."""
+    """Both tokenizers: ids of a text, and where in ``space + text`` each token ends.
+
+    Where no piece of the second goes on from a character into a space, or holds a line feed, it cuts the words between these apart from each other; then each distinct word is cut once and remembered.
+    """
 
     def __init__(self, byte_level: bytes, pieces: bytes):
         made, byte = json.loads(byte_level), _spelled()
@@ -67,41 +71,85 @@ class Cutter:
         self._json, self._whole = byte_level, None
         self._a = tiktoken.Encoding("side", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self._b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        self.a = [b""] * (1 + max(ranks.values()))
-        for t, k in ranks.items():
-            self.a[k] = t
         n = self._b.get_piece_size()
-        self.b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(k) else p.replace("▁", " ").encode() for k, p in ((k, self._b.id_to_piece(k)) for k in range(n))]
-        self.a_size, self.b_size = np.fromiter(map(len, self.a), np.int64), np.fromiter(map(len, self.b), np.int64)
-        self.width = np.int64(n)
-
-    def _first(self, text: str) -> list[int]:
+        names = [self._b.id_to_piece(k) for k in range(n)]
+        self.b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
+        self.a_size = np.zeros(1 + max(ranks.values()), np.int64)
+        self.a_size[list(ranks.values())] = [len(t) for t in ranks]
+        self.b_size, self.width = np.fromiter(map(len, self.b), np.int64), np.int64(n)
+        self._apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in names) and self._b.encode("\n") == [self._b.piece_to_id("▁"), self._b.piece_to_id("<0x0A>")]
+        self._known: dict[str, bytes | None] = {}
+        # what a token writes into the list of groups, by its id, and by whether its side's part of the group ends with it
+        self.written = [x for k in range(len(self.a_size)) for x in (f"{k},", f"{k}|")] + [x for k in range(n) for x in (f"{k},", f"{k};")]
+
+    def _first(self, text: str) -> np.ndarray:
         if len(text) > _RUN and re.search(rf"\s{{{_RUN}}}", text):  # the quick splitter runs out of stack on millions of spaces in a row
             if self._whole is None:
                 self._whole = tokenizers.Tokenizer.from_str(self._json.decode())
                 self._whole.encode_special_tokens = True
-            return self._whole.encode(text, add_special_tokens=False).ids
-        return self._a.encode_ordinary(text)
-
-    def cut(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray] | None]:
-        """``(ids, ids, ends, ends)`` of each text, or None if it has no tokens."""
-        for at in range(0, len(texts), 64):
-            some = texts[at : at + 64]
-            pieces = self._b.encode([t or "" for t in some], num_threads=1)
-            for t, b in zip(some, pieces):
-                if not t:
-                    yield None
-                    continue
-                whole, a = b" " + t.encode(), self._first(" " + t)
-                if b"".join([self.b[k] for k in b]) != whole or b"".join([self.a[k] for k in a]) != whole:
-                    yield None
-                    continue
-                yield a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-
-    def links(self, a: list[int], b: list[int], a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
-        """The pair of each link, in order of the text."""
-        ends = np.union1d(a_ends, b_ends)
-        return np.array(a, np.int64)[np.searchsorted(a_ends, ends)] * self.width + np.array(b, np.int64)[np.searchsorted(b_ends, ends)]
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.int64)
+        return self._a.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
+    def _second(self, text: str) -> np.ndarray | None:
+        """Ids of a text that begins with a space, None if they do not spell it."""
+        if not self._apart:
+            ids = self._b.encode(text[1:])
+            return np.array(ids, np.int64) if b"".join([self.b[k] for k in ids]) == text.encode() else None
+        words, known = _WORDS.findall(text), self._known
+        if len(known) > _REMEMBERED:
+            known.clear()
+        for w in set(words).difference(known):
+            if w[0] != " ":
+                ids = self._b.encode("\n" + w)[2:]
+            elif w.strip(" "):
+                ids = self._b.encode(w[1:])
+            else:
+                ids = self._b.encode(w[1:] + "\n")[:-1]
+            known[w] = np.array(ids, "<i4").tobytes() if b"".join([self.b[k] for k in ids]) == w.encode() else None
+        try:
+            return np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4").astype(np.int64)
+        except TypeError:  # a word that is not spelled
+            return None
+
+    def cut(self, texts: list[str | None]) -> Iterator[Cut | None]:
+        """How each text is cut, None if it has no tokens."""
+        for t in texts:
+            whole = " " + t if t else None
+            a, b = (self._first(whole), self._second(whole)) if whole else (None, None)
+            if b is None:
+                yield None
+                continue
+            a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+            size = len(whole.encode())
+            yield Cut(a, b, a_ends, b_ends) if a_ends[-1] == size == b_ends[-1] else None
+
+
+class Cut:
+    """A text's tokens of both sides, and the stretches between neighbouring ends, each of which belongs to one token of each."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray):
+        mark = np.zeros(a_ends[-1] + 1, np.uint8)
+        mark[a_ends] = 1
+        mark[b_ends] += 2
+        kind = mark[np.flatnonzero(mark)]
+        self.a, self.b, self._a_end, self._b_end = a, b, (kind & 1).astype(np.int64), (kind >> 1).astype(np.int64)
+        self._a_seen, self._b_seen = np.cumsum(self._a_end), np.cumsum(self._b_end)
+
+    def links(self, width: np.int64) -> np.ndarray:
+        """The pair of each stretch, in order of the text."""
+        return self.a[self._a_seen - self._a_end] * width + self.b[self._b_seen - self._b_end]
+
+    def groups(self, written: list[str], first: int) -> tuple[int, str]:
+        """How many groups there are, and the digest of their ids; ``first``: ids of the first side."""
+        both = self._a_end & self._b_end
+        a_through, b_through = self._a_seen[both == 1], self._b_seen[both == 1]  # tokens up to each group's end
+        group = np.cumsum(both) - both
+        a_group, b_group = group[self._a_end == 1], group[self._b_end == 1]
+        out = np.empty(len(self.a) + len(self.b), np.int64)
+        a_last, b_last = np.append(a_group[1:] != a_group[:-1], True), np.append(b_group[1:] != b_group[:-1], True)
+        out[np.arange(len(self.a)) + np.append(0, b_through)[a_group]] = self.a * 2 + a_last
+        out[np.arange(len(self.b)) + a_through[b_group]] = (self.b + first) * 2 + b_last
+        return len(a_through), hashlib.sha256("".join(map(written.__getitem__, out.tolist()))[:-1].encode()).hexdigest()
 
 
 _CUTTERS: dict[tuple[int, int], Cutter] = {}
@@ -189,7 +237,7 @@ def _spill(held, shards: int, text: int, block: int, buffer: int):
                     kept, size = [], 0
                 own = name
                 if of:
-                    kept.append(np.unique(cutter.links(*of)))
+                    kept.append(np.unique(of.links(cutter.width)))
                     size += len(kept[-1])
         if kept:
             yield from runs()
@@ -270,16 +318,6 @@ _FIELDS = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_s
 
 
 def _score(held, text: int, keep: int):
-    def groups(a: list[int], b: list[int], a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[int, str]:
-        """How many groups there are, and the digest of their ids."""
-        ends = np.intersect1d(a_ends, b_ends)
-        a_at, b_at = np.searchsorted(a_ends, ends).tolist(), np.searchsorted(b_ends, ends).tolist()
-        a_ids, b_ids, made, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
-        for p, q in zip(a_at, b_at):
-            made.append(f"{','.join(a_ids[i : p + 1])}|{','.join(b_ids[j : q + 1])}")
-            i, j = p + 1, q + 1
-        return len(made), hashlib.sha256(";".join(made).encode()).hexdigest()
-
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers, docs = _answers_first(it)
         cutter = _cutter(held)
@@ -290,10 +328,10 @@ def _score(held, text: int, keep: int):
                 if not of:
                     made.append((0, 0, 0, 0, 0, 0, ""))
                     continue
-                n, digest = groups(*of)
-                links = cutter.links(*of)
+                n, digest = of.groups(cutter.written, len(cutter.a_size))
+                links = of.links(cutter.width)
                 at = np.searchsorted(pairs, links)
-                made.append((len(of[0]), len(of[1]), n, len(links), int(best[at].sum(dtype=np.int64)), int(counts[at].sum()), digest))
+                made.append((len(of.a), len(of.b), n, len(links), int(best[at].sum(dtype=np.int64)), int(counts[at].sum()), digest))
             out = [pa.array(c, pa.string() if k == 6 else pa.int64()) for k, c in enumerate(zip(*made))] if made else [pa.array([], pa.string() if k == 6 else pa.int64()) for k in range(7)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *out], names=[*batch.schema.names[:keep], *(f.split()[0] for f in _FIELDS.split(", "))])
 

@@ -95,9 +95,9 @@ def test_splitter_and_millions_of_spaces():
     from pathlib import Path
 
     cutter = A.Cutter(Path(A.BYTE_LEVEL).read_bytes(), Path(A.PIECES).read_bytes())
-    for text in ("a" * 20000, " " * 60000 + "b", "\n" * 60000, "ab " * 30000):
-        (a, b, *_), = cutter.cut([text])
-        assert a == _A.encode(" " + text, add_special_tokens=False).ids and b == _B.encode(text)
+    for text in ("a" * 20000, " " * 60000 + "b", "\n" * 60000, "ab " * 30000, "\n", " \n", "a \n\n  b\nc ", "\r\n\t"):
+        made, = cutter.cut([text])
+        assert made.a.tolist() == _A.encode(" " + text, add_special_tokens=False).ids and made.b.tolist() == _B.encode(text)
 
 
 def test_merge_holds_chunks():
