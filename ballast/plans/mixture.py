@@ -232,20 +232,19 @@ def _blocked(spark, d):
     c = table(spark, d, "conversations")
     turns = c.select(F.concat_ws(":", F.lit("conv"), "conv_id", "turn").alias("id"), F.col("role").alias("dataset"), F.lit("train").alias("split"), F.array("text").alias("state_leaves"))
     chosen = sample.stable_sample(turns.select("dataset", "id"), SAMPLED).select("id")  # texts are joined afterwards
-    frozen = table(spark, d, "benchmark").select(K.fingerprint(F.col("text")).alias("fingerprint"))
     base = ex.select(*turns.columns).where("split <> 'train'")
-    return ex, guard.blocked_fingerprints(base, turns.join(chosen, "id", "left_semi"), frozen)
+    return ex, (base, turns.join(chosen, "id", "left_semi"), table(spark, d, "benchmark").select("text"))
 
 
 @query("blocked_fingerprints", f"WITH {_BLOCKED} SELECT fingerprint FROM blocked")
 def _(spark, d):
-    return _blocked(spark, d)[1]
+    return guard.blocked_fingerprints(*_blocked(spark, d)[1])
 
 
 @query("guard_overlap", f"WITH {_BLOCKED} SELECT id FROM flagged")
 def _(spark, d):
     ex, blocked = _blocked(spark, d)
-    return guard.benchmark_overlap(ex.where("split = 'train'"), blocked)
+    return guard.benchmark_overlap(ex.where("split = 'train'"), guard.blocked_leaves(*blocked))
 
 
 @query("guard_reject_groups", f"""WITH {_BLOCKED} SELECT id FROM ex WHERE split = 'train'
@@ -253,7 +252,7 @@ def _(spark, d):
 def _(spark, d):
     ex, blocked = _blocked(spark, d)
     train = ex.where("split = 'train'")
-    return guard.reject_overlap_groups(train, guard.benchmark_overlap(train, blocked)).select("id")
+    return guard.reject_overlap_groups(train, guard.benchmark_overlap(train, guard.blocked_leaves(*blocked))).select("id")
 
 
 @query("nonempty_rows", "SELECT doc_id FROM documents WHERE length(trim(text)) > 0 AND n_chars >= 0")
