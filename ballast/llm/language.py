@@ -222,9 +222,11 @@ def fit(
     names = sorted(counts)
     if not names:
         return [], {}
-    spark = docs.sparkSession
-    share = spark.createDataFrame([(x, k, min(1.0, per_language / counts[x])) for k, x in enumerate(names)], "__language string, __k int, __share double")
-    drawn = taught.join(share, "__language").withColumn("__h", F.xxhash64("__text")).where(F.pmod(F.xxhash64("__h"), F.lit(1 << 30)) < F.col("__share") * (1 << 30))
+    # a literal rather than a join, so texts are not shuffled before they are drawn
+    known = F.create_map(*(F.lit(v) for k, x in enumerate(names) for v in (x, k)))
+    shares = F.array(*(F.lit(min(1.0, per_language / counts[x])) for x in names))
+    numbered = taught.withColumn("__k", F.element_at(known, F.col("__language"))).withColumn("__h", F.xxhash64("__text"))
+    drawn = numbered.where(F.pmod(F.xxhash64("__h"), F.lit(1 << 30)) < F.element_at(shares, F.col("__k") + 1) * (1 << 30))
     once = drawn.groupBy("__k", "__h").agg(F.first("__text").alias("__text"))
     sample = cut(once.select("__k", "__text", "__h").mapInArrow(_stretches(windows), "language int, window binary").withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int")))
     w = new(len(names), seed)
