@@ -2,7 +2,8 @@
 
 Each round is two aggregations and two joins over the edge table; the number of rounds
 is logarithmic in the size of the graph. Labels and edges never leave the executors; the driver only learns whether
-a round has left anything to do.
+a round has left anything to do. Wide keys go through the rounds as longs (:func:`numbered_components`), and links that are added to a known
+result are a graph of its components alone (:func:`extended_components`).
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ballast.functions.durable import apart, cut
 
+_SEEDS = range(1, 9)
+
 
 def _star(links: DataFrame, keep) -> DataFrame:
     """Links each ``b`` beside ``a`` that ``keep`` allows to the least key near ``a``."""
@@ -53,3 +56,39 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
     rest = lone.withColumn("b", F.col("a"))
     known = links.unionByName(roots).unionByName(rest)
     return known.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+
+
+def numbered_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
+    """As :func:`connected_components`, for wide keys: the rounds shuffle 64-bit numbers of them.
+
+    A key's number is its hash, so no join deals numbers out; should two keys of a graph share one, all are hashed anew with another seed.
+    """
+    raw = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null"))
+    ends = raw.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    for seed in _SEEDS:
+        number = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
+        book = cut(ends.select(number("node").alias("id"), "node"))
+        if book.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("keys share their numbers under every seed")
+    roots = connected_components(raw.select(number("a").alias("a"), number("b").alias("b")), "a", "b", max_rounds)
+    named = cut(book.join(roots, book["id"] == roots["node"]).select(book["node"], roots["root"].alias("c")))
+    least = named.groupBy("c").agg(F.min("node").alias("root"))
+    return named.join(apart(least, "c"), "c").select("node", "root")
+
+
+def extended_components(known: DataFrame, edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
+    """``(node, root)`` of a known result ``(node, root)`` and further edges, as if all edges had been given at once.
+
+    The new edges are drawn between the roots of their ends, so the rounds see a graph of the touched components, whatever the size of
+    the known ones; those are joined once.
+    """
+    new = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
+    ends = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    seen = cut(ends.join(known, "node", "left").select("node", F.col("root").isNull().alias("fresh"), F.coalesce("root", "node").alias("root")))
+    rooted = lambda side: seen.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    between = new.join(apart(rooted("a"), "a"), "a").join(apart(rooted("b"), "b"), "b").select("root_a", "root_b")
+    moved = cut(numbered_components(between, "root_a", "root_b", max_rounds).select(F.col("node").alias("root"), F.col("root").alias("to")))
+    nodes = known.select("node", "root").unionByName(seen.where("fresh").select("node", "root"))
+    return nodes.join(apart(moved, "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions import keys as K
 from ballast.functions.durable import apart, cut
-from ballast.operators.components import connected_components
+from ballast.operators.components import extended_components, numbered_components
 
 
 def alias_edges(df: DataFrame) -> DataFrame:
@@ -18,10 +18,38 @@ def alias_edges(df: DataFrame) -> DataFrame:
 
 
 def component_roots(df: DataFrame) -> DataFrame:
-    """``(group, root)`` of every group; the root is the least key of the component."""
-    edges = cut(alias_edges(df).unionByName(df.select("group", F.col("group").alias("alias")).distinct()))
-    roots = connected_components(edges, "group", "alias").select(F.col("node").alias("group"), "root")
-    return roots.join(edges.where(F.col("group") == F.col("alias")).select("group").distinct(), "group", "left_semi")
+    """``(group, root)`` of every group; the root is the least key of the component, groups and aliases alike.
+
+    An alias links its groups to the least of them, so aliases of one group, which are most, take no part in the rounds, and no alias does under its own name.
+    """
+    edges = cut(_keys_of(df))
+    own = edges.groupBy("group").agg(F.min("alias").alias("own"))
+    shared = edges.groupBy("alias").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most")
+    links = edges.join(apart(shared, "alias"), "alias").where("group <> least").select("group", "least").distinct()
+    met = numbered_components(links, "group", "least")
+    joined = own.join(apart(met, "node"), F.col("group") == F.col("node"), "left").select("group", "own", F.col("root").alias("met"))
+    least = joined.where("met is not null").groupBy("met").agg(F.min("own").alias("low"))
+    return joined.join(apart(least, "met"), "met", "left").select("group", F.coalesce("low", "own").alias("root"))
+
+
+def _keys_of(df: DataFrame) -> DataFrame:
+    """Distinct ``(group, alias)``, each group among its own aliases."""
+    return alias_edges(df).unionByName(df.select("group", F.col("group").alias("alias")).where("group is not null").distinct()).distinct()
+
+
+def extended_roots(roots: DataFrame, base: DataFrame, added: DataFrame) -> DataFrame:
+    """``(group, root)`` of the groups of ``base`` and ``added`` rows, from the ``roots`` of ``base``; equal to those of both together.
+
+    Only what the added rows touch is walked: their keys, and the components of ``base`` that have one of them.
+    """
+    new = cut(_keys_of(added))
+    asked = new.select("alias").distinct()
+    touched = cut(_keys_of(base).join(asked, "alias", "left_semi").join(apart(roots, "group"), "group").select(F.col("alias").alias("node"), "root").distinct())
+    made = cut(extended_components(touched, new, "group", "alias"))
+    moved = touched.join(apart(made.select("node", F.col("root").alias("to")), "node"), "node").where("root <> to").select("root", "to").distinct()
+    old = roots.join(apart(moved, "root"), "root", "left").select("group", F.coalesce("to", "root").alias("root"))
+    fresh = new.select("group").distinct().join(roots.select("group"), "group", "left_anti")
+    return old.unionByName(made.join(fresh, made["node"] == fresh["group"]).select("group", "root"))
 
 
 def component_sizes(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions import helpers
 from ballast.functions import keys as K
+from ballast.functions.durable import cut
 from ballast.operators import budget, convert, guard, isolate, mixture, sample
 from ballast.plans.fixtures import EX, examples, sql_bucket, sql_family, sql_fold, sql_norm, sql_print, sql_train_split, table
 from ballast.plans.registry import query
@@ -132,6 +133,14 @@ def _(spark, d):
     return isolate.component_roots(examples(spark, d))
 
 
+@query("components_extended", f'WITH {_REC} SELECT DISTINCT "group", root FROM rooted')
+def _(spark, d):
+    """The held-out rows first, then the training rows added to their result."""
+    ex = examples(spark, d)
+    base, added = ex.where("split <> 'train'"), ex.where("split = 'train'")
+    return isolate.extended_roots(cut(isolate.component_roots(base)), base, added)
+
+
 @query("components_sizes", f'WITH {_REC} SELECT root, count(*) AS rows, count(DISTINCT "group") AS groups FROM rooted GROUP BY root')
 def _(spark, d):
     return isolate.component_sizes(examples(spark, d))
