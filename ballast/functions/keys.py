@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Salts and thresholds of the split assignment, the ranks of splits, and what counts as white space.
@@ -121,3 +124,10 @@ def head(s: Column, n: int = 3000) -> Column:
 def stripped_length(s: Column) -> Column:
     """Characters without white space at either end."""
     return F.length(F.btrim(s, F.lit(BLANKS)))
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Both tables by their keys, of which nulls are equal; keys are there once."""
+    other = right.withColumnsRenamed({k: f"__other_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__other_{k}")) for k in keys), F.lit(True))
+    return left.join(other, same, how).drop(*(f"__other_{k}" for k in keys))

@@ -5,47 +5,71 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ballast.functions import arrays as A
+from ballast.functions import keys as K
 from ballast.functions.durable import cut
 from ballast.operators.sample import carried, in_ranges
 
-LEAST_ROWS, LOW, HIGH, ROUNDS = 10, 0.1, 10.0, 60
+LEAST_ROWS, LOW, HIGH, NODES = 10, 0.1, 10.0, 20
 
 
-def fit_temperatures(df: DataFrame, *by: str, least_rows: int = LEAST_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """``(by..., n, temperature)``: the temperature in [0.1, 10] of least cross-entropy of each group; 1.0 for small groups.
+def _moments(beta: Column, order: int) -> Column:
+    """A row's means of the first powers of its logits, under their softmax with the inverse temperature ``beta``, as ``m1, m2, ...``."""
+    zero = F.struct(*(F.lit(0.0).alias(f"s{k}") for k in range(order + 1)))
+    most = F.array_max("logits")
 
-    The loss is convex in the inverse temperature, so each round takes a Newton step inside a bracket, and halves the bracket where the step
-    leaves it: one aggregation over the table for all groups at once, joined with a row per group. What comes to the driver are
-    these rows; a handful of rounds settle it.
+    def add(acc: Column, z: Column) -> Column:
+        return A.let(F.exp((z - most) * beta), lambda e: F.struct(*((acc[f"s{k}"] + (e * F.pow(z, F.lit(k)) if k else e)).alias(f"s{k}") for k in range(order + 1))))
+
+    return A.let(F.aggregate("logits", zero, add), lambda acc: F.struct(*((acc[f"s{k}"] / acc["s0"]).alias(f"m{k}") for k in range(1, order + 1))))
+
+
+def _crossing(left: Column, right: Column) -> Column:
+    """Where the cubic with the nodes' slopes and bends is zero between them, in terms of the logarithm of the inverse temperature."""
+    width = F.log(right["beta"]) - F.log(left["beta"])
+    d0, d1 = left["bend"] * left["beta"] * width, right["bend"] * right["beta"] * width
+    at = lambda t: (2 * t * t * t - 3 * t * t + 1) * left["slope"] + (t * t * t - 2 * t * t + t) * d0 + (3 * t * t - 2 * t * t * t) * right["slope"] + (t * t * t - t * t) * d1
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = (acc["low"] + acc["high"]) / 2
+        return A.let(F.struct(mid.alias("t"), (at(mid) < 0).alias("below")), lambda m: F.struct(F.when(m["below"], m["t"]).otherwise(acc["low"]).alias("low"), F.when(m["below"], acc["high"]).otherwise(m["t"]).alias("high")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), halve)
+    return F.exp(F.log(left["beta"]) + found["low"] * width)
+
+
+def fit_temperatures(df: DataFrame, *by: str, least_rows: int = LEAST_ROWS, nodes: int = NODES) -> DataFrame:
+    """``(by..., n, temperature)``: the temperature in [0.1, 10] of least cross-entropy of each group; 1.0 for small groups, and where all temperatures are alike.
+
+    The loss is convex in the inverse temperature. One scan sums its slope and bend at fixed nodes; a cubic through the two nodes between which the slope
+    changes its sign is zero near the solution, and a second scan's slope, bend and the bend's own slope there give a step of third order to it. So
+    there are two scans for any number of groups, nothing of them reaches the driver, and no row counts more than once a scan.
     """
     keys = list(by)
-    light = cut(df.select(*keys, "logits", "target"))
-    spark, types = df.sparkSession, ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    state = {tuple(r[k] for k in keys): {"n": r["n"], "low": 1 / HIGH, "high": 1 / LOW, "at": 1.0, "seen": set(), "done": r["n"] < least_rows} for r in light.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
-    for _ in range(rounds):
-        active = [(k, s) for k, s in sorted(state.items(), key=str) if not s["done"]]
-        if not active:
-            break
-        betas = spark.createDataFrame([(*k, s["at"]) for k, s in active], f"{types}, beta double")
-        scored = light.join(F.broadcast(betas), keys).withColumn("p", A.softmax(F.transform(F.col("logits"), lambda z: z * F.col("beta"))))
-        mean, square = A.dot(F.col("p"), F.col("logits")), A.dot(F.col("p"), F.transform("logits", lambda z: z * z))
-        steps = scored.groupBy(*keys).agg(F.avg(mean - A.dot(F.col("target"), F.col("logits"))).alias("slope"), F.avg(square - mean * mean).alias("bend"))
-        for r in steps.collect():
-            s = state[tuple(r[k] for k in keys)]
-            side = "low" if r["slope"] < 0 else "high"
-            s[side], s["seen"] = s["at"], s["seen"] | {side}
-            new = s["at"] - r["slope"] / r["bend"] if r["bend"] > 0 else s["at"]
-            out = "low" if new < s["low"] else "high" if new > s["high"] else ""
-            if out:  # an end of the range is tried itself before the bracket is halved
-                new = (s["low"] + s["high"]) / 2 if out in s["seen"] else s[out]
-            s["done"] = abs(new - s["at"]) < 1e-10 or s["high"] - s["low"] < 1e-10
-            s["at"] = new
-    return spark.createDataFrame([(*k, s["n"], 1 / s["at"]) for k, s in state.items()], f"{types}, n long, temperature double")
+    light = df.select(*keys, "logits", "target")
+    fixed = F.array(*(F.lit(LOW * (HIGH / LOW) ** (k / (nodes - 1))) for k in range(nodes)))
+    each = light.select(*keys, A.dot(F.col("target"), F.col("logits")).alias("__said"), F.posexplode(F.transform(fixed, lambda beta: F.struct(beta.alias("beta"), _moments(beta, 2).alias("m")))).alias("__k", "__x"))
+    x = F.col("__x")
+    sums = each.groupBy(*keys, "__k").agg(F.count("*").alias("n"), F.first(x["beta"]).alias("beta"), F.avg(x["m"]["m1"] - F.col("__said")).alias("slope"), F.avg(x["m"]["m2"] - x["m"]["m1"] * x["m"]["m1"]).alias("bend"))
+    grouped = sums.groupBy(*keys).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("__k", "beta", "slope", "bend"))).alias("nodes"))  # as many as there are nodes
+    below = F.size(F.filter("nodes", lambda p: p["slope"] < 0))
+    left, right = F.get("nodes", below - 1), F.get("nodes", below)
+    flat = F.aggregate("nodes", F.lit(0.0), lambda s, p: s + p["bend"]) <= 0
+    start = F.when((F.col("n") < least_rows) | flat, 1.0).when(below == 0, LOW).when(below == nodes, HIGH).otherwise(_crossing(left, right))
+    free = (F.col("n") >= least_rows) & ~flat & (below > 0) & (below < nodes)
+    guess = grouped.select(*keys, "n", start.alias("__beta"), free.alias("__free"), left["beta"].alias("__low"), right["beta"].alias("__high"))
+    scored = K.joined(light, guess.where("__free").drop("n"), keys).select(*keys, A.dot(F.col("target"), F.col("logits")).alias("__said"), _moments(F.col("__beta"), 3).alias("m"))
+    m1, m2, m3 = (F.col(f"m.m{k}") for k in (1, 2, 3))
+    steps = scored.groupBy(*keys).agg(F.avg(m1 - F.col("__said")).alias("__f"), F.avg(m2 - m1 * m1).alias("__g"), F.avg(m3 - 3 * m2 * m1 + 2 * m1 * m1 * m1).alias("__h"))
+    f, g, h = F.col("__f"), F.col("__g"), F.col("__h")
+    moved = F.col("__beta") - F.try_divide(2 * f * g, 2 * g * g - f * h)
+    beta = F.when(F.col("__free"), F.greatest(F.least(F.coalesce(moved, F.col("__beta")), "__high"), "__low")).otherwise(F.col("__beta"))
+    return K.joined(guess, steps, keys, "left").select(*keys, "n", (1 / beta).alias("temperature"))
 
 
 def temperature_lookup(df: DataFrame, by_bucket: DataFrame, by_type: DataFrame, floor: float = 1e-3) -> DataFrame:
@@ -104,7 +128,11 @@ def bootstrap_interval(minus: int, zero: int, plus: int, draws: int = 2000, seed
 def paired_bootstrap(deltas: DataFrame, by: str, delta: str = "delta", draws: int = 2000, seed: int = 42) -> DataFrame:
     """``(by, n, mean_delta, low, high)``; only counts by group reach the helper."""
     counts = deltas.groupBy(by).agg(*(F.count_if(F.col(delta) == k).alias(name) for k, name in ((-1, "minus"), (0, "zero"), (1, "plus"))))
-    interval = F.udf(lambda a, b, c: bootstrap_interval(a, b, c, draws, seed), "low double, high double")
+
+    @F.pandas_udf("low double, high double")
+    def interval(minus: pd.Series, zero: pd.Series, plus: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([bootstrap_interval(*x, draws, seed) for x in zip(minus, zero, plus)], columns=["low", "high"])
+
     made = counts.withColumn("i", interval("minus", "zero", "plus"))
     n = F.col("minus") + F.col("zero") + F.col("plus")
     return made.select(by, n.alias("n"), ((F.col("plus") - F.col("minus")) / n).alias("mean_delta"), "i.low", "i.high")

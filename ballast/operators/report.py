@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ballast.functions import keys as K
 from ballast.operators.sample import carried, in_ranges
 
 
@@ -25,41 +26,47 @@ def chart_rows(df: DataFrame, figure: str, keys: list[str], metrics: list[str])
     return df.unpivot(keys, metrics, "metric", "value").withColumn("figure", F.lit(figure)).where("value is not null")
 
 
-def quantiles(df: DataFrame, value: str, at: list[float], *by: str) -> DataFrame:
-    """``(by..., n, q)``: the exact quantiles ``at`` of each group's values by linear interpolation at ``at * (n - 1)``, and how many values there are.
+#: Ranks of the sketch are off by less than one in so many rows; brackets reach further by ten times that. Groups of fewer rows than a bracket needs to be sure are bracketed whole.
+ACCURACY, SMALL = 50_000, 20_000
 
-    Equal values are counted first, and the counts summed inside ranges of (group, value): no task or buffer holds a group's values.
+
+def quantiles(df: DataFrame, value: str, at: list[float], *by: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """``(by..., n, q, more...)``: the exact quantiles ``at`` of each group's values by linear interpolation at ``at * (n - 1)``, how many values there are, and further aggregates of the rows that have one.
+
+    Two scans. The first takes a mergeable sketch of each group, which brackets each rank asked for. The second counts values: those in a bracket one by
+    one, all others by the zone that they lie in, so what is ranked is a bracket's distinct values, a few in ten thousand of a large group's rows. Nothing is cut or collected.
     """
-    keys = [*by] or ["__all"]
-    values = df.where(F.col(value).isNotNull()).select(*by, *([] if by else [F.lit(0).alias("__all")]), F.col(value).alias("__v"))
-    counts = carried(in_ranges(values.groupBy(*keys, "__v").agg(F.count("*").alias("__c")), keys, ["__v"]), keys, F.sum("__c"), "__before")
-    inside = W.partitionBy(*keys, "__range").orderBy("__v")
-    placed = counts.withColumn("__end", F.coalesce("__before", F.lit(0)) + F.sum("__c").over(inside)).withColumn("__start", F.col("__end") - F.col("__c"))
-    sizes = values.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.count("*").alias("n"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    joined = placed.join(sizes, same)
+    keys, at_sorted, reach = [*by] or ["__all"], sorted(at), 10 / ACCURACY
+    rows = df.where(F.col(value).isNotNull()).withColumn("__v", F.col(value))
+    rows = rows if by else rows.withColumn("__all", F.lit(0))
+    probes = [p for q in at_sorted for p in (max(0.0, q - reach), min(1.0, q + reach))]
+    first = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__v", probes, ACCURACY).alias("__edges"), *(c.alias(k) for k, c in (more or {}).items()))
+    first = first.withColumn("__edges", F.when(F.col("n") > SMALL, F.col("__edges")))
+    # an even zone lies between brackets, an odd one is a bracket; small groups are one bracket
+    zone = F.lit(len(probes))
+    for k in reversed(range(len(probes))):
+        edge = F.get("__edges", F.lit(k))
+        zone = F.when(F.col("__v") <= edge if k % 2 else F.col("__v") < edge, k).otherwise(zone)
+    zoned = K.joined(rows.select(*keys, "__v"), first.select(*keys, "__edges"), keys).select(*keys, "__v", F.when(F.col("__edges").isNull(), 1).otherwise(zone).alias("__zone"))
+    counts = zoned.groupBy(*keys, "__zone", F.when(F.col("__zone") % 2 == 1, F.col("__v")).alias("__v")).agg(F.count("*").alias("__c"))
+    placed = counts.withColumn("__end", F.sum("__c").over(W.partitionBy(*keys).orderBy("__zone", "__v"))).withColumn("__start", F.col("__end") - F.col("__c"))
+    joined = K.joined(placed, first.drop("__edges"), keys)
+    sure = F.when(F.col("__zone") % 2 == 1, F.col("__v")).otherwise(F.raise_error(F.lit("a rank lies outside of its bracket")).cast(df.schema[value].dataType))
     picked = []
     for q in at:
-        place = F.lit(q) * (F.col("n") - 1)
-        for rank in (F.floor(place), F.ceil(place)):
-            picked.append(F.max(F.when((F.col("__start") <= rank) & (rank < F.col("__end")), F.col("__v"))).alias(f"__p{len(picked)}"))
-    made = joined.groupBy(*keys).agg(F.first("n").alias("n"), *picked)
-    between = [F.col(f"__p{2 * k}") + (F.col(f"__p{2 * k + 1}") - F.col(f"__p{2 * k}")) * (F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))) for k, q in enumerate(at)]
-    return made.select(*by, "n", F.array(*between).alias("q"))
+        for rank in (F.floor(F.lit(q) * (F.col("n") - 1)), F.ceil(F.lit(q) * (F.col("n") - 1))):
+            picked.append(F.max(F.when((F.col("__start") <= rank) & (rank < F.col("__end")), sure)).alias(f"__p{len(picked)}"))
+    made = joined.groupBy(*keys).agg(F.first("n").alias("n"), *(F.first(k).alias(k) for k in more or {}), *picked)
+    share = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    between = [F.col(f"__p{2 * k}") + (F.col(f"__p{2 * k + 1}") - F.col(f"__p{2 * k}")) * share(q) for k, q in enumerate(at)]
+    return made.select(*by, "n", F.array(*between).alias("q"), *(more or {}))
 
 
 def latency_stats(df: DataFrame, value: str, *by: str, batch: Column | int = 1) -> DataFrame:
-    """p50 and p95 by linear interpolation, mean, decisions per second and amortized time; the first call and the others alone."""
+    """p50 and p95 by linear interpolation, mean, decisions per second and amortized time; the first call and the others alone. A group without any value has no row."""
     n = F.lit(batch) if isinstance(batch, int) else batch
-    means = df.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.avg(value).alias("mean_ms"), F.count("*").alias("n"), F.avg(n.cast("double")).alias("batch"))
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    made = means.join(quantiles(df, value, [0.5, 0.95], *by).drop("n"), same, "left" if by else "inner")
-    keys = [F.col(f"__{c}").alias(c) for c in by]
-    return made.select(*keys, "n", F.get("q", F.lit(0)).alias("p50_ms"), F.get("q", F.lit(1)).alias("p95_ms"), "mean_ms", (1000 * F.col("batch") / F.col("mean_ms")).alias("per_second"), (F.col("mean_ms") / F.col("batch")).alias("amortized_ms"))
+    made = quantiles(df, value, [0.5, 0.95], *by, more={"mean_ms": F.avg(value), "batch": F.avg(n.cast("double"))})
+    return made.select(*by, "n", F.get("q", F.lit(0)).alias("p50_ms"), F.get("q", F.lit(1)).alias("p95_ms"), "mean_ms", (1000 * F.col("batch") / F.col("mean_ms")).alias("per_second"), (F.col("mean_ms") / F.col("batch")).alias("amortized_ms"))
 
 
 def first_and_rest(df: DataFrame, value: str, order: str, *by: str) -> DataFrame:

@@ -15,7 +15,7 @@ from ballast.functions import helpers
 from ballast.functions.durable import scratch
 from ballast.plans.fixtures import EX, examples, table
 from ballast.plans.registry import query
-from ballast.sources import archives, tables
+from ballast.sources import archives, log, tables
 
 
 @query("read_jsonl", "SELECT doc_id, text, lang FROM documents")
@@ -173,7 +173,7 @@ def _(spark, d):
 @query("write_split_partitions", f"WITH {EX} SELECT id, split FROM ex")
 def _(spark, d):
     path = scratch(spark, "splits")
-    tables.write_split_partitions(examples(spark, d).select("id", "split", "state"), path)
+    tables.write_split_partitions(examples(spark, d).select("id", "split", "state"), path, 1_000_000)
     return spark.read.schema("id string, split string, state string").json(path).select("id", "split")
 
 
@@ -206,10 +206,12 @@ def _(spark, d):
 
 @query("append_scored", "SELECT event_id, user_id FROM events")
 def _(spark, d):
+    # a batch that is committed, one whose writer fails before its commit, and one that adds all that is missing
     path = scratch(spark, "log")
     e = table(spark, d, "events").select("event_id", "user_id")
-    tables.append_scored(e.where("event_id % 3 = 0"), path, "event_id")
-    return tables.append_scored(e, path, "event_id")
+    log.append_scored(e.where("event_id % 3 = 0"), path, "event_id")
+    log.stage(e.where("event_id % 3 = 1"), path)
+    return log.append_scored(e, path, "event_id")
 
 
 @query("verify_files", """SELECT CASE strlen(html) % 4 WHEN 0 THEN 'length' WHEN 1 THEN 'digest' WHEN 2 THEN 'missing' END AS reason, count(*) AS n, CAST(sum(strlen(html) + 1) AS BIGINT) AS listed_bytes
@@ -235,3 +237,13 @@ def _(spark, d):
     ex = examples(spark, d).select("id", "split", "state")
     ids = tables.partition_fingerprint(ex.select("split", "id")).select("split", F.col("digest").alias("ids_digest"))
     return tables.partition_fingerprint(ex.repartition(3, "state")).join(ids, "split")
+
+
+@query("merged_fingerprint", f"WITH {EX} {_PRINT.format(row='struct_pack(id := id, state := state)')}")
+def _(spark, d):
+    """The state of a base and of added rows, taken together, and the base's found again by what is left without the added ones."""
+    ex = examples(spark, d).select("id", "split", "state", "dataset")
+    base, added = (tables.partition_state(ex.where(x).drop("dataset")) for x in ("dataset < 'src4'", "dataset >= 'src4' OR dataset IS NULL"))
+    whole = tables.merged_state(base, added)
+    again = tables.merged_state(tables.remaining_state(whole, added), added)
+    return tables.state_digest(again)

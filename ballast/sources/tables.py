@@ -101,9 +101,24 @@ def read_pinned(spark: SparkSession, root: str, patterns: dict[str, str], rename
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def write_split_partitions(df: DataFrame, path: str, files: int = 8, row_id: str = "id") -> None:
-    """JSON lines in one folder per split, each in a few even files."""
-    df.repartition("split", F.pmod(F.xxhash64(row_id), F.lit(files))).write.partitionBy("split").json(path)
+def write_split_partitions(df: DataFrame, path: str, target_bytes: int = 128_000_000) -> None:
+    """JSON lines in one folder per split, in files of about ``target_bytes`` each.
+
+    The bytes of each split are summed first and give its number of files; rows are dealt to a split's files by their content and place, so neither a
+    large split nor a row that many repeat makes a large file.
+    """
+    line = F.to_json(F.struct(*(c for c in df.columns if c != "split")))
+    sizes = df.groupBy("split").agg(F.sum(F.octet_length(line) + 1).alias("bytes")).collect()  # a row per split
+    first, files = {}, {}
+    for r in sorted(sizes, key=lambda r: str(r.split)):
+        first[r.split], files[r.split] = sum(files.values()), max(1, round((r.bytes or 0) / target_bytes))
+    name = F.concat(F.lit("="), F.col("split").cast("string"))
+    of = lambda known: F.element_at(F.create_map(*(F.lit(x) for k, v in known.items() for x in ("null" if k is None else f"={k}", v))), F.coalesce(name, F.lit("null")))
+    if not files:
+        return df.write.partitionBy("split").json(path)
+    spread = F.pmod(F.xxhash64(line, F.monotonically_increasing_id()), of(files)).cast("int")
+    dealt = df.withColumn("__file", of(first) + spread)
+    dealt.repartitionById(sum(files.values()), F.col("__file")).drop("__file").write.partitionBy("split").json(path)
 
 
 def write_exclusions(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -124,20 +139,6 @@ def write_wide_table(dfs: list[DataFrame], path: str) -> None:
     reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs).write.option("header", True).csv(path)
 
 
-def append_scored(df: DataFrame, path: str, *key: str) -> DataFrame:
-    """Appends the rows whose keys the log at ``path`` lacks; returns the log. Running it again adds nothing."""
-    spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(*key).distinct()
-        pending = df.join(done, list(key), "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        pending = df
-    pending.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
 def verify_files(manifest: DataFrame, path: str) -> DataFrame:
     """Manifest rows ``(path, bytes, sha256)`` that the files under ``path`` do not match, with the ``reason``."""
     files = manifest.sparkSession.read.format("binaryFile").load(path)
@@ -159,15 +160,35 @@ def verify_large_files(manifest: DataFrame) -> DataFrame:
     return made.withColumn("reason", F.when(F.col("found_bytes") != F.col("bytes"), "length").when(F.col("found_sha256") != F.col("sha256"), "digest")).where("reason is not null")
 
 
-def partition_fingerprint(df: DataFrame, by: str = "split") -> DataFrame:
-    """``(by, n, digest)``: an order-free digest of each partition's rows, to tell whether data changed.
+def partition_state(df: DataFrame, by: str = "split") -> DataFrame:
+    """``(by, n, x, s)``: what an order-free digest of each partition's rows is made of; states of parts add up to that of the whole.
 
     Rows are JSON with their columns by name; of each row's SHA-256 60 bits are summed and another 60 combined by exclusive or.
     """
     row = F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c != by)), {"ignoreNullFields": "false"}), 256)
     bits = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("bigint")
-    made = df.select(by, row.alias("h")).groupBy(by).agg(F.count("*").alias("n"), F.bit_xor(bits(1)).alias("x"), F.sum(bits(16).cast("decimal(20,0)")).alias("s"))
-    return made.select(by, "n", F.sha2(F.concat_ws(":", "n", "x", "s"), 256).alias("digest"))
+    return df.select(by, row.alias("h")).groupBy(by).agg(F.count("*").alias("n"), F.bit_xor(bits(1)).alias("x"), F.sum(bits(16).cast("decimal(20,0)")).cast("decimal(38,0)").alias("s"))
+
+
+def merged_state(*states: DataFrame, by: str = "split") -> DataFrame:
+    """The state of tables' rows together, from the state of each."""
+    return reduce(lambda a, b: a.unionByName(b), states).groupBy(by).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").cast("decimal(38,0)").alias("s"))
+
+
+def remaining_state(whole: DataFrame, part: DataFrame, by: str = "split") -> DataFrame:
+    """The state of what is left of ``whole`` without the rows of ``part``, which it holds; partitions of which nothing is left go."""
+    taken = part.select(by, (-F.col("n")).alias("n"), "x", (-F.col("s")).cast("decimal(38,0)").alias("s"))
+    return merged_state(whole, taken, by=by).where("n <> 0")
+
+
+def state_digest(state: DataFrame, by: str = "split") -> DataFrame:
+    """``(by, n, digest)`` of states."""
+    return state.select(by, "n", F.sha2(F.concat_ws(":", "n", "x", "s"), 256).alias("digest"))
+
+
+def partition_fingerprint(df: DataFrame, by: str = "split") -> DataFrame:
+    """``(by, n, digest)``: an order-free digest of each partition's rows, to tell whether data changed."""
+    return state_digest(partition_state(df, by), by)
 
 
 def reread_equal(a: DataFrame, b: DataFrame, by: str = "split") -> DataFrame:

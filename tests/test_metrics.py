@@ -113,3 +113,44 @@ def test_ranks_and_maxima_over_many_ranges(spark):
         own = [x[3] for x in rows if x[0] == name]
         assert r.n == len(own) and r.p50_ms == pytest.approx(np.quantile(own, 0.5)) and r.p95_ms == pytest.approx(np.quantile(own, 0.95))
     assert report.latency_stats(df, "ms").first().p95_ms == pytest.approx(np.quantile([x[3] for x in rows], 0.95))
+
+
+def test_temperatures_against_halving(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(11)
+    rows, want = [], {}
+    for g in range(30):
+        k, sharp = int(draw.integers(2, 7)), float(np.exp(draw.uniform(-3.2, 3.2)))
+        z = draw.normal(size=(40 if g % 5 else 9, k)) * sharp
+        p = np.exp(z / sharp * 1.5)
+        t = p / p.sum(1, keepdims=True)
+        if g == 7:
+            z[:] = 2.0  # any temperature is as good
+        name = f"g{g}" if g else None
+        rows += [(name, [float(x) for x in a], [float(x) for x in b]) for a, b in zip(z, t)]
+
+        def slope(beta, z=z, t=t):
+            e = np.exp((z - z.max(1, keepdims=True)) * beta)
+            return float(((e / e.sum(1, keepdims=True) - t) * z).sum(1).mean())
+
+        low, high = 0.1, 10.0
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if slope(mid) < 0 else (low, mid)
+        want[name] = 1.0 if len(z) < 10 or g == 7 else 1 / low
+    df = spark.createDataFrame(rows, "g string, logits array<double>, target array<double>")
+    got = {r.g: r.temperature for r in calibrate.fit_temperatures(df, "g").collect()}
+    assert set(got) == set(want)
+    for g in want:
+        assert got[g] == pytest.approx(want[g], rel=1e-8), g
+    assert calibrate.fit_temperatures(df.where("false"), "g").count() == 0
+    plan = calibrate.fit_temperatures(df, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3  # two scans, one of them read for the guess as well
+
+
+def test_bootstrap_interval_of_groups(spark):
+    deltas = [("a", d) for d in [-1] * 10 + [0] * 70 + [1] * 20] + [("b", 0)] * 5
+    got = {r.g: r for r in calibrate.paired_bootstrap(spark.createDataFrame(deltas, "g string, delta int"), "g").collect()}
+    assert (got["a"].low, got["a"].high) == calibrate.bootstrap_interval(10, 70, 20) and got["a"].mean_delta == pytest.approx(0.1)
+    assert (got["b"].low, got["b"].high) == (0.0, 0.0)
