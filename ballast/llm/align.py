@@ -3,19 +3,19 @@
 Both tokenizers cut the same bytes. Between two neighbouring ends, of either one's tokens, lies one stretch that belongs to one token of
 each: that is a link. Counting pairs of linked ids over documents is an external count by spilled runs:
 
-* Documents are dealt into blocks. A block keeps (pair, document) records, each pair once a document, in a buffer; a full buffer is
-  radix-partitioned by the first tokenizer's id, sorted by pair and spilled as zstd runs of chunks, one for each partition. A pair that
-  fills every document is one entry of each run.
+* A task keeps (pair, document) records, each pair once a document, in a buffer. A full buffer is a segment: its pairs are
+  radix-partitioned by the first tokenizer's id, sorted by pair and spilled as zstd runs of chunks, one for each partition, with
+  the number of the segment's documents that hold each pair. So a pair that fills every document is one entry of a run. What is left of a document is the places of its pairs in its segment's list.
 * A partition's runs meet in one task, which merges them through a heap, a chunk of each run in memory at a time, and sums
   each pair. The order is by the first tokenizer's id, so as a side's pairs pass its highest count is known. The contributions
-  stream back run by run: each block gets its pairs' counts and whether they are their side's highest.
-* No merge meets more than ``fan`` blocks: beyond, groups of ``fan`` blocks are merged into runs of their own first, which are counted alike, and answer
-  their blocks in turn. So the work of a task stays bounded at any number of documents: a merge holds compressed runs of ``fan`` blocks and the pairs of one partition.
+  stream back run by run: each segment gets its pairs' counts and whether they are their side's highest, and adds them up for its documents.
+* No merge meets many more than ``fan`` segments: beyond, groups of about ``fan`` segments are merged into runs of their own first, which are counted alike, and answer
+  their segments in turn. So the work of a task stays bounded at any number of documents: a merge holds compressed runs of a group and the pairs of one partition.
 
-The second pass cuts each text again instead of keeping its links, which would be more than the text.
+Texts are read and cut once, where they are scanned, and never shuffled.
 
 Nulls and empties: texts that are null, empty, or not spelled by either tokenizer's tokens byte for byte have no tokens: zeros and an empty
-digest. Rows without a doc_id are dealt by their text. Very long texts are cut whole. Repeated rows are a document each, rows that share a doc_id too. Ties for a
+digest. Very long texts are cut whole. Repeated rows are a document each, rows that share a doc_id or have none too. Ties for a
 side's highest count are all highest. Other columns play no part. No rows give no rows.
 """
 
@@ -35,18 +35,19 @@ import sentencepiece
 import tiktoken
 import tokenizers
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ballast.functions.durable import cut, width
 from ballast.llm import blocks
 
 #: Where the vocabularies are: a byte-level BPE as JSON, and a piece model.
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Records in a block's buffer; entries in a chunk of a run; blocks that meet in one merge.
+#: Records in a task's buffer; entries in a chunk of a run; segments that meet in one merge.
 BUFFER, CHUNK, FAN = 2_000_000, 32_768, 256
-_RUN, _REMEMBERED = 50_000, 300_000
-_WORDS = re.compile(r" *[^ \n]+| +|\n")
+_RUN = 50_000
 # Fixed value: how the byte-level vocabulary's own pre-tokenizer splits text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -59,10 +60,7 @@ def _spelled() -> dict[str, int]:
 
 
 class Cutter:
-    """Both tokenizers: ids of a text, and where in ``space + text`` each token ends.
-
-    Where no piece of the second goes on from a character into a space, or holds a line feed, it cuts the words between these apart from each other; then each distinct word is cut once and remembered.
-    """
+    """Both tokenizers, and how their tokens of a text match."""
 
     def __init__(self, byte_level: bytes, pieces: bytes):
         made, byte = json.loads(byte_level), _spelled()
@@ -71,16 +69,13 @@ class Cutter:
         self._json, self._whole = byte_level, None
         self._a = tiktoken.Encoding("side", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self._b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        n = self._b.get_piece_size()
-        names = [self._b.id_to_piece(k) for k in range(n)]
-        self.b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
-        self.a_size = np.zeros(1 + max(ranks.values()), np.int64)
-        self.a_size[list(ranks.values())] = [len(t) for t in ranks]
-        self.b_size, self.width = np.fromiter(map(len, self.b), np.int64), np.int64(n)
-        self._apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in names) and self._b.encode("\n") == [self._b.piece_to_id("▁"), self._b.piece_to_id("<0x0A>")]
-        self._known: dict[str, bytes | None] = {}
+        self.width = self._b.get_piece_size()
+        names = [self._b.id_to_piece(k) for k in range(self.width)]
+        self._b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
+        self._a_size, self._b_size = np.zeros(1 + max(ranks.values()), np.int64), np.fromiter(map(len, self._b_bytes), np.int64)
+        self._a_size[list(ranks.values())] = [len(t) for t in ranks]
         # what a token writes into the list of groups, by its id, and by whether its side's part of the group ends with it
-        self.written = [x for k in range(len(self.a_size)) for x in (f"{k},", f"{k}|")] + [x for k in range(n) for x in (f"{k},", f"{k};")]
+        self._written = [x for k in range(len(self._a_size)) for x in (f"{k},", f"{k}|")] + [x for k in range(self.width) for x in (f"{k},", f"{k};")]
 
     def _first(self, text: str) -> np.ndarray:
         if len(text) > _RUN and re.search(rf"\s{{{_RUN}}}", text):  # the quick splitter runs out of stack on millions of spaces in a row
@@ -90,66 +85,36 @@ class Cutter:
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.int64)
         return self._a.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
-    def _second(self, text: str) -> np.ndarray | None:
-        """Ids of a text that begins with a space, None if they do not spell it."""
-        if not self._apart:
-            ids = self._b.encode(text[1:])
-            return np.array(ids, np.int64) if b"".join([self.b[k] for k in ids]) == text.encode() else None
-        words, known = _WORDS.findall(text), self._known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            if w[0] != " ":
-                ids = self._b.encode("\n" + w)[2:]
-            elif w.strip(" "):
-                ids = self._b.encode(w[1:])
-            else:
-                ids = self._b.encode(w[1:] + "\n")[:-1]
-            known[w] = np.array(ids, "<i4").tobytes() if b"".join([self.b[k] for k in ids]) == w.encode() else None
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4").astype(np.int64)
-        except TypeError:  # a word that is not spelled
-            return None
-
-    def cut(self, texts: list[str | None]) -> Iterator[Cut | None]:
-        """How each text is cut, None if it has no tokens."""
-        for t in texts:
-            whole = " " + t if t else None
-            a, b = (self._first(whole), self._second(whole)) if whole else (None, None)
-            if b is None:
-                yield None
-                continue
-            a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-            size = len(whole.encode())
-            yield Cut(a, b, a_ends, b_ends) if a_ends[-1] == size == b_ends[-1] else None
-
-
-class Cut:
-    """A text's tokens of both sides, and the stretches between neighbouring ends, each of which belongs to one token of each."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray):
+    def cut(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, np.ndarray, str] | None]:
+        """``(tokens, tokens, groups, pairs of links, digest of groups)`` of ``space + text`` for each text, None if it has no tokens."""
+        for at in range(0, len(texts), 64):
+            some = texts[at : at + 64]
+            for t, ids in zip(some, self._b.encode([t or "" for t in some], num_threads=1)):
+                whole = f" {t}".encode() if t else None
+                if whole is None or b"".join(map(self._b_bytes.__getitem__, ids)) != whole:
+                    yield None
+                    continue
+                a, b = self._first(f" {t}"), np.array(ids, np.int64)
+                a_ends = np.cumsum(self._a_size[a])
+                yield self._matched(a, b, a_ends, np.cumsum(self._b_size[b])) if a_ends[-1] == len(whole) else None
+
+    def _matched(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[int, int, int, np.ndarray, str]:
         mark = np.zeros(a_ends[-1] + 1, np.uint8)
         mark[a_ends] = 1
         mark[b_ends] += 2
-        kind = mark[np.flatnonzero(mark)]
-        self.a, self.b, self._a_end, self._b_end = a, b, (kind & 1).astype(np.int64), (kind >> 1).astype(np.int64)
-        self._a_seen, self._b_seen = np.cumsum(self._a_end), np.cumsum(self._b_end)
-
-    def links(self, width: np.int64) -> np.ndarray:
-        """The pair of each stretch, in order of the text."""
-        return self.a[self._a_seen - self._a_end] * width + self.b[self._b_seen - self._b_end]
-
-    def groups(self, written: list[str], first: int) -> tuple[int, str]:
-        """How many groups there are, and the digest of their ids; ``first``: ids of the first side."""
-        both = self._a_end & self._b_end
-        a_through, b_through = self._a_seen[both == 1], self._b_seen[both == 1]  # tokens up to each group's end
+        kind = mark[np.flatnonzero(mark)]  # of each stretch's end: a token of the first side, of the second, or of both
+        a_end, b_end, both = kind & 1, kind >> 1, kind == 3
+        a_seen, b_seen = np.cumsum(a_end, dtype=np.int64), np.cumsum(b_end, dtype=np.int64)
+        links = a[a_seen - a_end] * self.width + b[b_seen - b_end]
+        # tokens in the order of the list: of each group the first side's, then the second's
+        a_through, b_through = a_seen[both], b_seen[both]
         group = np.cumsum(both) - both
-        a_group, b_group = group[self._a_end == 1], group[self._b_end == 1]
-        out = np.empty(len(self.a) + len(self.b), np.int64)
-        a_last, b_last = np.append(a_group[1:] != a_group[:-1], True), np.append(b_group[1:] != b_group[:-1], True)
-        out[np.arange(len(self.a)) + np.append(0, b_through)[a_group]] = self.a * 2 + a_last
-        out[np.arange(len(self.b)) + a_through[b_group]] = (self.b + first) * 2 + b_last
-        return len(a_through), hashlib.sha256("".join(map(written.__getitem__, out.tolist()))[:-1].encode()).hexdigest()
+        a_group, b_group = group[a_end == 1], group[b_end == 1]
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.append(0, b_through)[a_group]] = a * 2 + np.append(a_group[1:] != a_group[:-1], True)
+        order[np.arange(len(b)) + a_through[b_group]] = (b + len(self._a_size)) * 2 + np.append(b_group[1:] != b_group[:-1], True)
+        listed = "".join(map(self._written.__getitem__, order.tolist()))[:-1]
+        return len(a), len(b), len(a_through), links, hashlib.sha256(listed.encode()).hexdigest()
 
 
 _CUTTERS: dict[tuple[int, int], Cutter] = {}
@@ -219,28 +184,48 @@ def summed(pairs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return pairs[first], np.add.reduceat(counts[order].astype(np.int64), first)
 
 
-def _spill(held, shards: int, text: int, block: int, buffer: int):
-    """What a block's documents hold, as runs by partition of the first side's ids."""
+def _spill(held, shards: int, text: int, names: list[str], buffer: int):
+    """A row for each document, and rows of the runs of each segment, by partition of the first side's ids."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
-        cutter, kept, size, own = _cutter(held), [], 0, None
-
-        def runs() -> Iterator[tuple[int, int, bytes]]:
-            pairs, counts = summed(np.concatenate(kept))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, task, number = _cutter(held), TaskContext.get().partitionId(), 0
+        kept: list[tuple[np.ndarray, np.ndarray]] = []  # pairs and how often, of documents of this segment
+        made: list[tuple] = []
+        ids: list[pa.Array] = []
+        size = 0
+
+        def segment() -> Iterator[pa.RecordBatch]:
+            name = task << 32 | number
+            empty = np.empty(0, np.int64)
+            pairs, places, counts = np.unique(np.concatenate([k[0] for k in kept] or [empty]), return_inverse=True, return_counts=True)
+            ends = np.cumsum([len(k[0]) for k in kept])
+            blobs = [blocks.pack(np.diff(p.astype(np.uint32), prepend=np.uint32(0)), k[1].astype(np.uint32)) if len(p) else None for k, p in zip(kept, np.split(places, ends[:-1]))]
+            columns = [pa.array([name] * len(made), pa.int64()), pa.nulls(len(made), pa.int32()), pa.array(blobs, pa.binary()), pa.concat_arrays(ids)]
+            columns += [pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(zip(*made))]
+            for a in range(0, len(made), 4096):
+                yield pa.RecordBatch.from_arrays([c[a : a + 4096] for c in columns], names=names)
             for k, (p, c) in blocks.by_shard((pairs // cutter.width) % shards, shards, pairs, counts.astype(np.uint32)):
-                yield k, own, run_of(p, c)
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([k], pa.int32()), pa.array([run_of(p, c)], pa.binary()), *(pa.nulls(1, c.type) for c in columns[3:])], names=names)
 
         for batch in it:
-            for name, of in zip(batch.column(block).to_pylist(), cutter.cut(batch.column(text).to_pylist())):
-                if kept and (name != own or size > buffer):
-                    yield from runs()
-                    kept, size = [], 0
-                own = name
+            at = 0  # rows of this batch that are in a segment
+            for row, of in enumerate(cutter.cut(batch.column(text).to_pylist())):
                 if of:
-                    kept.append(np.unique(of.links(cutter.width)))
-                    size += len(kept[-1])
-        if kept:
-            yield from runs()
+                    a, b, n, links, digest = of
+                    kept.append(np.unique(links, return_counts=True))
+                    made.append((a, b, n, len(links), digest))
+                    size += len(kept[-1][0])
+                else:
+                    kept.append((np.empty(0, np.int64), np.empty(0, np.int64)))
+                    made.append((0, 0, 0, 0, ""))
+                if size + len(made) > buffer:
+                    ids.append(batch.column(0)[at : row + 1])
+                    yield from segment()
+                    at, number, size = row + 1, number + 1, 0
+                    kept.clear(), made.clear(), ids.clear()
+            ids.append(batch.column(0)[at:])
+        if made:
+            yield from segment()
 
     return run
 
@@ -256,6 +241,11 @@ def _parts(runs: DataFrame, group: F.Column, tasks: int) -> DataFrame:
     return runs.select("shard", group.alias("part"), "block", "blob").repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", F.asc_nulls_first("block"))
 
 
+def _answer_rows(made: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for row in made:
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ANSWER_TYPE)], schema=_ANSWER_TYPE)
+
+
 def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One run for each partition and group."""
 
@@ -264,7 +254,7 @@ def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = list(merged([r[2] for r in found]))
             yield shard, part, run_of(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
 
-    return blocks.rows(made())
+    return _answer_rows(made())
 
 
 def _judge(width: int):
@@ -280,7 +270,7 @@ def _judge(width: int):
                 most = np.repeat(np.maximum.reduceat(counts, first), np.diff(np.append(first, len(pairs))))
                 yield from _answers(shard, found, pairs, counts, (counts == most).astype(np.uint8))
 
-        return blocks.rows(made())
+        return _answer_rows(made())
 
     return run
 
@@ -300,88 +290,75 @@ def _pass_on(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs, counts, best = (np.concatenate(x) for x in zip(*chunks(said[2])))
             yield from _answers(shard, runs, pairs, counts, best)
 
-    return blocks.rows(made())
+    return _answer_rows(made())
+
+
+_ANSWERS = "shard int, block long, blob binary"
+_ANSWER_TYPE = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
 
 
 def answered(runs: DataFrame, n: int, shards: int, width: int, fan: int) -> DataFrame:
-    """Each of the runs' pairs with its count over all runs and whether it is its side's highest; ``n`` blocks made the runs."""
+    """Each of the runs' pairs with its count over all runs and whether it is its side's highest; ``n`` segments (``block``) made the runs."""
     if n <= fan:
-        return _parts(runs, F.lit(0), shards).mapInArrow(_judge(width), blocks.ASKS)
+        return _parts(runs, F.lit(0).cast("long"), shards).mapInArrow(_judge(width), _ANSWERS)
     runs, groups = cut(runs), -(-n // fan)
-    group = F.floor(F.col("block") / fan).cast("int")
-    above = answered(_parts(runs, group, shards * groups).mapInArrow(_merge, blocks.ASKS), groups, shards, width, fan)
-    both = runs.select("shard", group.alias("part"), "block", "blob").unionByName(above.select("shard", F.col("block").alias("part"), F.lit(None).cast("int").alias("block"), "blob"))
-    return _parts(both, F.col("part"), shards * groups).mapInArrow(_pass_on, blocks.ASKS)
+    group = F.pmod(F.xxhash64(F.lit(n), "block"), F.lit(groups))
+    above = answered(_parts(runs, group, shards * groups).mapInArrow(_merge, _ANSWERS), groups, shards, width, fan)
+    both = runs.select("shard", group.alias("part"), "block", "blob").unionByName(above.select("shard", F.col("block").alias("part"), F.lit(None).cast("long").alias("block"), "blob"))
+    return _parts(both, F.col("part"), shards * groups).mapInArrow(_pass_on, _ANSWERS)
 
 
-_FIELDS = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+def _added_up(names: list[str]):
+    """Adds up the answers for each document; of each segment the answers come first."""
 
-
-def _score(held, text: int, keep: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers, docs = _answers_first(it)
-        cutter = _cutter(held)
-        pairs, counts, best = answers
-        for batch in docs:
-            made: list[tuple] = []
-            for of in cutter.cut(batch.column(text).to_pylist()):
-                if not of:
-                    made.append((0, 0, 0, 0, 0, 0, ""))
+        own, found, counts, best = None, [], None, None
+        for batch in it:
+            documents, n_best, sums = [], [], []
+            for row, (segment, shard, blob) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                if segment != own:
+                    own, found, counts = segment, [], None
+                if shard is not None:
+                    found += chunks(blob)
+                    continue
+                documents.append(row)
+                if blob is None:
+                    n_best.append(0), sums.append(0)
                     continue
-                n, digest = of.groups(cutter.written, len(cutter.a_size))
-                links = of.links(cutter.width)
-                at = np.searchsorted(pairs, links)
-                made.append((len(of.a), len(of.b), n, len(links), int(best[at].sum(dtype=np.int64)), int(counts[at].sum()), digest))
-            out = [pa.array(c, pa.string() if k == 6 else pa.int64()) for k, c in enumerate(zip(*made))] if made else [pa.array([], pa.string() if k == 6 else pa.int64()) for k in range(7)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *out], names=[*batch.schema.names[:keep], *(f.split()[0] for f in _FIELDS.split(", "))])
+                if counts is None:  # in order of the pairs, as places were given
+                    pairs, counts, best = (np.concatenate(x) for x in zip(*found))
+                    order, found = np.argsort(pairs, kind="stable"), []
+                    counts, best = counts[order], best[order]
+                steps, often = blocks.unpack(blob)
+                places = np.cumsum(steps, dtype=np.int64)
+                n_best.append(int(often @ best[places].astype(np.int64)))
+                sums.append(int(often @ counts[places]))
+            kept = batch.take(pa.array(documents, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(3, 8)), pa.array(n_best, pa.int64()), pa.array(sums, pa.int64()), kept.column(8)], names=names)
 
     return run
 
 
-def _answers_first(it: Iterator[pa.RecordBatch]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]:
-    """A block's pairs in order with counts and marks, from its runs' answers, which come first; then its documents."""
-    found: list[list[np.ndarray]] = []
-    first = None
-    for batch in it:
-        blobs = batch.column(batch.schema.get_field_index("__blob"))
-        n = len(blobs) - blobs.null_count
-        found += [x for blob in blobs.slice(0, n).to_pylist() for x in chunks(blob)]
-        if n < len(batch):
-            first = batch.slice(n)
-            break
-    if found:
-        pairs, counts, best = (np.concatenate(x) for x in zip(*found))
-        pairs, at = np.unique(pairs, return_index=True)
-        counts, best = counts[at], best[at]
-    else:
-        pairs, counts, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
-
-    def documents() -> Iterator[pa.RecordBatch]:
-        if first is not None:
-            yield first
-            yield from it
-
-    return (pairs, counts, best), documents()
-
-
-def align(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", byte_level: str = BYTE_LEVEL, pieces: str = PIECES, shards: int | None = None, fan: int = FAN, buffer: int = BUFFER, n: int | None = None) -> DataFrame:
+def align(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", byte_level: str = BYTE_LEVEL, pieces: str = PIECES, shards: int | None = None, fan: int = FAN, buffer: int = BUFFER) -> DataFrame:
     """A row for each of ``docs``: its id, tokens of both sides, groups, links, links that are their first side's most frequent, and the sum of the links' counts.
 
-    ``shards``: radix partitions of the first side's ids; ``n``: blocks of documents (None: by their bytes).
+    ``shards``: radix partitions of the first side's ids, 256 at most if not given.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((Path(byte_level).read_bytes(), Path(pieces).read_bytes()))  # the two vocabularies, 2 MB
     sides = sentencepiece.SentencePieceProcessor(model_proto=held.value[1]).get_piece_size()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    n = n or blocks.number(docs, "text")
-    shards = shards or min(256, max(n, width(spark)))
-    block = blocks.block_of("doc_id", "text", n)
-    asks = blocks.ask(blocks.dealt(docs, n, block), _spill(held, shards, 1, 2, buffer))
-    answers = cut(answered(asks, n, shards, sides, fan))
-    both = blocks.dealt(docs, n, block, answers)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:1])
-    both = both.select("doc_id", "text", *(c for c in both.columns if c not in ("doc_id", "text")))
-    return both.mapInArrow(_score(held, 1, 1), f"{fields}, {_FIELDS}")
+    shards = shards or min(256, width(spark))
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links"))]
+    digest = T.StructField("groups_sha256", T.StringType())
+    spilled = T.StructType([T.StructField("segment", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("blob", T.BinaryType()), *fields, digest])
+    made = cut(docs.mapInArrow(_spill(held, shards, 1, spilled.names, buffer), spilled))
+    runs = made.where("shard is not null").select("shard", F.col("segment").alias("block"), "blob")
+    n = runs.select("block").distinct().count()
+    answers = answered(runs, n, shards, sides, fan).select(F.col("block").alias("segment"), "shard", "blob")
+    both = made.where("shard is null").unionByName(answers, allowMissingColumns=True).repartition(max(width(spark), -(-n // 16)), "segment").sortWithinPartitions("segment", F.asc_nulls_last("shard"))
+    out = T.StructType([*fields, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType()), digest])
+    return both.mapInArrow(_added_up(out.names), out)
 
 
 def op12_alignment(spark, sf_dir: str) -> DataFrame:
