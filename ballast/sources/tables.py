@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ballast.functions import helpers
 from ballast.sources.archives import read_members
+from ballast.sources.documents import read_json_document  # noqa: F401
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -30,12 +31,6 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def read_json_document(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
-    """A list in one JSON document per file: the document itself, or one of its fields; a row per entry."""
-    df = spark.read.schema(schema).json(path, multiLine=True)
-    return df.select(F.explode(field).alias("item")).select("item.*") if field else df
-
-
 def read_labelled_lines(spark: SparkSession, path: str, member: str | None = None, kind: str | None = None) -> DataFrame:
     """``label<TAB>text`` lines with their 0-based line number in each file as ``uid``; split once, so texts may hold tabs.
 
