@@ -5,8 +5,8 @@ into the open bin that they leave the least room in; where none has room, a bin
 jointly: each permitted size is tried as the least one to open, and so is the size that costs least per token that it can still get; of these plans
 the cheapest is taken. At the end each bin shrinks to the smallest permitted size that holds its contents, and plans are compared after that.
 
-Pieces are dealt by hash into blocks of about ``block_rows``, packed independently of each other: what is lost is part of one bin of each
-size per block.
+Pieces are dealt by a hash of their row's number into blocks of about ``block_rows``, whatever ids they share or lack, packed independently of each other: what is
+lost is part of one bin of each size per block.
 
 Nulls and empties: a null or empty text has no words and is one piece that holds only the end mark. Equal lengths are placed
 by doc_id and piece, those without an id last. Repeated rows are packed as often as they occur; doc_ids come back as they were. Other columns play no part.
@@ -86,14 +86,14 @@ def pack(measured: DataFrame, permitted: tuple[int, ...] = SIZES, cost: Callable
 
     ``start`` counts tokens of the text, ``offset`` those of the bin before the piece.
     """
-    measured = cut(measured.select("doc_id", "length"))  # texts are read once
+    measured = cut(measured.select("doc_id", "length")).withColumn("__row", F.monotonically_increasing_id())  # texts are read once
     most = max(permitted)
     last = F.greatest(F.ceil(F.col("length") / most).cast("long") - 1, F.lit(0).cast("long"))
-    pieces = measured.select("doc_id", F.col("length").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.col("n") - F.col("piece") * most, F.lit(most)).alias("length"))
+    pieces = measured.select("doc_id", "__row", F.col("length").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    pieces = pieces.select("doc_id", "__row", "piece", (F.col("piece") * most).alias("start"), F.least(F.col("n") - F.col("piece") * most, F.lit(most)).alias("length"))
     total = measured.agg(F.sum(last + 1)).first()[0] or 0
     blocks = max(1, -(-total // block_rows))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("__row", "piece"), F.lit(blocks))).drop("__row")
     kind = measured.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "bin", "size", "offset"]
 

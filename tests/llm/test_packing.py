@@ -78,3 +78,13 @@ def test_ids_stay_as_they_were(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.length) for r in got) == [(False, -5, 1), (False, big, 2), (False, big, 4), (True, 0, 2)]
     strings = spark.createDataFrame([("x", "a"), (None, "b c")], "doc_id string, text string")
     assert {(r.doc_id, r.length) for r in P.pack(P.lengths(strings)).collect()} == {("x", 2), (None, 3)}
+
+
+def test_rows_without_an_id_are_dealt_over_blocks(spark):
+    measured = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN id % 2 WHEN id % 3 = 1 THEN id END AS doc_id", "id % 50 + 1 AS length")  # a third have none, a third share two
+    got = P.pack(measured, permitted=(16, 64), block_rows=400).collect()
+    blocks = {}
+    for r in got:
+        if r.doc_id is None:
+            blocks[r.bin >> 32] = blocks.get(r.bin >> 32, 0) + 1
+    assert len(got) == 4000 and len(blocks) == 10 and max(blocks.values()) < 250
