@@ -64,13 +64,13 @@ def schedule(classes: list[tuple[float, int]], shards: int) -> list[list[int]]:
     return out
 
 
-def ranked(rows: DataFrame, within: str, order: list[str], total: int) -> DataFrame:
+def ranked(rows: DataFrame, within: str, apart_by: str, order: list[str], total: int) -> DataFrame:
     """``rows`` with ``rank``, gapless from 0 within each value of ``within``; no task ranks more than its blocks.
 
-    order: its first column is hashed into blocks, so it should tell rows apart.
+    apart_by: a column that tells rows apart; it is hashed into blocks.
     """
     blocks = max(1, -(-total // BLOCK_ROWS))
-    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(order[0]), F.lit(blocks)))
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(apart_by), F.lit(blocks)))
     counts = dealt.groupBy(within, "__block").agg(F.count("*").alias("__n"))
     before = W.partitionBy(within).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(within, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -82,15 +82,15 @@ def shard(docs: DataFrame, shards: int, *, doc_id: str = "doc_id", text: str = "
     """``(doc_id, size, text_crc32, shard, slot)`` for each row, shards near equal in bytes and equal texts together."""
     spark = docs.sparkSession
     body = F.coalesce(text, F.lit(""))
-    light = cut(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.sha2(body, 256)).alias("text_key")))
+    light = cut(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.sha2(body, 256)).alias("text_key"))).withColumn("__row", F.monotonically_increasing_id())
     groups = cut(light.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).withColumn("class", size_class(F.col("bytes"))))
     histogram = groups.groupBy("class").agg(F.avg("bytes").alias("mean"), F.count("*").alias("n"), F.sum("rows").alias("rows")).orderBy(F.desc("mean"), F.desc("class")).collect()
     taken = schedule([(r["mean"], r["n"]) for r in histogram], shards)
     plan = [(r["class"], j, at - k, at) for r, ks in zip(histogram, taken) for j, (k, at) in enumerate(zip(ks, _running(ks))) if k]
     plan = spark.createDataFrame(plan, "class long, shard int, low long, high long")
-    placed = ranked(groups, "class", ["text_key"], sum(r["n"] for r in histogram)).join(plan, "class").where("rank >= low and rank < high").select("text_key", "shard")
-    rows = light.join(placed, "text_key").select("doc_id", "size", "text_crc32", "shard", "text_key")
-    return ranked(rows, "shard", ["doc_id", "text_key"], sum(r["rows"] for r in histogram)).select("doc_id", "size", "text_crc32", "shard", F.col("rank").alias("slot"))
+    placed = ranked(groups, "class", "text_key", ["text_key"], sum(r["n"] for r in histogram)).join(plan, "class").where("rank >= low and rank < high").select("text_key", "shard")
+    rows = light.join(placed, "text_key").select("doc_id", "size", "text_crc32", "shard", "text_key", "__row")
+    return ranked(rows, "shard", "__row", ["doc_id", "text_key"], sum(r["rows"] for r in histogram)).select("doc_id", "size", "text_crc32", "shard", F.col("rank").alias("slot"))
 
 
 def _running(ks: list[int]) -> list[int]:

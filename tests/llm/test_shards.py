@@ -57,3 +57,22 @@ def test_columns_of_the_same_names(spark):
     docs = documents()
     odd = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "'x' as size", "'x' as shard", "'x' as slot", "'x' as rank", "'x' as class", "'x' as text_key")
     assert S.shard(odd, 3).columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and S.shard(odd, 3).count() == len(docs)
+
+
+def test_rows_without_an_id_are_ranked_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("k"), F.col("id").alias("at"))
+    old, S.BLOCK_ROWS = S.BLOCK_ROWS, 300
+    try:
+        plan = S.ranked(rows, "k", "at", ["doc_id"], 3000)
+        blocks = rows.withColumn("b", F.pmod(F.xxhash64("at"), F.lit(10))).groupBy("b").count().agg(F.max("count")).first()[0]
+        got = sorted(r["rank"] for r in plan.collect())
+        docs = spark.range(900).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('t', id % 100) AS text")
+        made = S.shard(docs, 4).collect()
+    finally:
+        S.BLOCK_ROWS = old
+    assert got == list(range(3000)) and blocks < 400
+    for j in range(4):
+        slots = sorted(r.slot for r in made if r.shard == j)
+        assert slots == list(range(len(slots)))
