@@ -6,12 +6,14 @@ have the digest it is filed under and the length and SHA-1 that its header names
 
 Of records with equal payloads of at least ``least_revisit`` bytes, the one with the largest id is the
 response and the others are revisits that refer to it; a revisit's record has no block. Smaller ones are all
-responses. A null payload is empty; repeated ids are records of their own. A null id cannot be referred to, and is a revisit wherever a named equal exists. Control
-characters in URLs are percent-encoded, so no header can be broken up. Very large payloads are bounded by a row (2 GB). Other columns play no part. No rows make an empty archive.
+responses. A null payload is empty; repeated ids are records of their own. A null id cannot be referred to, and is a revisit wherever a named equal exists. Blanks and control
+characters in URLs are percent-encoded by their own numbers, so no header can be broken up; such a URL stands in a header of its own too, in base64, from which it is read back. A null or empty URL is read back as null. Very large payloads are bounded by a row (2 GB). Other columns play no part. No rows make an empty archive.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,14 @@ _EOL = "\r\n"
 
 def _header(kind: Column) -> Column:
     """The exact header block of a record, up to and including its empty line."""
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
+    odd = F.coalesce(F.col("url").rlike(r"[\x00-\x20\x7F]"), F.lit(False))
+    url = F.when(odd, reduce(lambda x, c: F.replace(x, F.lit(chr(c)), F.lit(f"%{c:02X}")), (*range(33), 127), F.col("url"))).otherwise(F.coalesce("url", F.lit("")))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), url),
+        F.when(odd, F.concat(F.lit("X-Target-URI-Base64: "), F.replace(F.base64(F.encode("url", "UTF-8")), F.lit(_EOL), F.lit("")))),
         F.lit("WARC-Date: 2024-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.concat(F.lit("X-Payload-Length: "), F.col("n_bytes").cast("string")),
@@ -47,7 +51,7 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
     light = rows.select("page_id", "url", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"), F.unhex(F.sha2("payload", 256)).alias("digest"))
     seen = F.struct("n_bytes", "sha1")
     owners = light.groupBy("digest").agg(F.max("page_id").alias("owner"), (F.min(seen) == F.max(seen)).alias("alike"))
-    owned = light.join(owners, "digest").where(F.when(F.col("alike"), True).otherwise(F.raise_error(F.lit("unequal payloads share a digest")).cast("boolean")))
+    owned = light.join(apart(owners, "digest"), "digest").where(F.when(F.col("alike"), True).otherwise(F.raise_error(F.lit("unequal payloads share a digest")).cast("boolean")))
     kind = F.when((F.col("n_bytes") >= least_revisit) & ~F.coalesce(F.col("page_id") == F.col("owner"), F.col("owner").isNull()), "revisit").otherwise("response")
     written(owned.select("page_id", "digest", _header(kind).alias("header")), f"{path}/headers")
     written(rows.select(F.unhex(F.sha2("payload", 256)).alias("digest"), "payload").dropDuplicates(["digest"]), f"{path}/payloads")
@@ -74,7 +78,7 @@ def field(name: str) -> Column:
 
 
 def parsed(records: DataFrame) -> DataFrame:
-    """``(page_id, record_type, refers_to, named_sha1, payload_bytes, payload_digest)`` read off the bytes of records alone.
+    """``(page_id, url, record_type, refers_to, named_sha1, payload_bytes, payload_digest)`` read off the bytes of records alone.
 
     The payload of a revisit is that of the response that it refers to.
     """
@@ -82,7 +86,8 @@ def parsed(records: DataFrame) -> DataFrame:
     page = lambda name: F.nullif(F.regexp_replace(field(name), "^urn:page:", ""), F.lit("")).cast("long")
     split = records.select("record", head.alias("header"))
     body = F.substring("record", F.octet_length("header") + 1, field("Content-Length").cast("int"))
-    each = cut(split.select(page("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest: sha1").alias("named_sha1"), body.alias("body")).select("*", F.octet_length("body").cast("long").alias("payload_bytes"), F.sha1("body").alias("payload_digest")).drop("body"))
+    url = F.coalesce(F.decode(F.unbase64(field("X-Target-URI-Base64")), "UTF-8"), field("WARC-Target-URI"))
+    each = cut(split.select(page("WARC-Record-ID").alias("page_id"), url.alias("url"), field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest: sha1").alias("named_sha1"), body.alias("body")).select("*", F.octet_length("body").cast("long").alias("payload_bytes"), F.sha1("body").alias("payload_digest")).drop("body"))
     revisit = F.col("record_type") == "revisit"
     known = each.where(~revisit).groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("named_sha1")).agg(F.first("payload_bytes").alias("payload_bytes")).withColumn("payload_digest", F.col("named_sha1"))
     again = each.where(revisit).drop("payload_bytes", "payload_digest").join(apart(known, "refers_to", "named_sha1"), ["refers_to", "named_sha1"], "left")

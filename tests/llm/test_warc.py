@@ -61,3 +61,23 @@ def test_no_rows(spark):
     path = scratch(spark, "warc")
     warc.write_archive(pages(spark).where("false"), path)
     assert warc.read_archive(spark, path).count() == 0
+
+
+def test_urls_come_back(spark):
+    urls = [None, "", "http://a/b", "http://a/%20b", "http://a/ b", "http://a/\tb", "http://a/\nb", "http://a/\r\nX-Payload-Length: 3", "\x00\x7f é 日 %", " ", "http://a/" + "long " * 300]
+    path = scratch(spark, "warc")
+    warc.write_archive(spark.createDataFrame([(i, u, f"p{i}") for i, u in enumerate(urls)], "page_id long, url string, html string"), path)
+    records = warc.read_archive(spark, path).collect()
+    assert all(r.header.count("\r\n\r\n") == 1 and "\t" not in r.header and "\n" not in r.header.replace("\r\n", "") for r in records)
+    got = {r.page_id: r.url for r in warc.parsed(warc.read_archive(spark, path).select("record")).collect()}
+    assert got == {i: u or None for i, u in enumerate(urls)}
+    heads = {r.header.split("urn:page:")[1].split(">")[0]: r.header for r in records}
+    assert "WARC-Target-URI: http://a/%09b" in heads["5"] and "WARC-Target-URI: http://a/%0Ab" in heads["6"] and "Base64" not in heads["3"]
+
+
+def test_large_payload(spark):
+    path = scratch(spark, "warc")
+    big = spark.range(3).selectExpr("id AS page_id", "'u' AS url", "repeat('0123456789abcdef', 1000000) AS html")  # 16 MB, three times
+    warc.write_archive(big, path)
+    got = sorted(warc.parsed(warc.read_archive(spark, path).select("record")).collect())
+    assert [(r.record_type, r.refers_to, r.payload_bytes) for r in got] == [("revisit", 2, 16_000_000)] * 2 + [("response", None, 16_000_000)]
