@@ -120,6 +120,20 @@ def _within(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(known[at] == h, at, -1)
 
 
+def _found(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where each ``(x, y)`` is in the sorted ``(a, b)``, -1 if it is not; those of one ``a`` are gone through one by one, being few."""
+    at = _within(a, x)
+    out, open_ = np.full(len(x), -1, np.int64), np.flatnonzero(at >= 0)
+    while len(open_):
+        right = b[at[open_]] == y[open_]
+        out[open_[right]] = at[open_[right]]
+        open_ = open_[~right]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(a)]
+        open_ = open_[a[at[open_]] == x[open_]]
+    return out
+
+
 def _ask_windows(n: int, doc_id: str, text: str):
     """Windows around shared anchors, with the least document of each in the block."""
 
@@ -169,7 +183,7 @@ def _least(a: np.ndarray, b: np.ndarray, d: np.ndarray, many: np.ndarray | None
 def _least_documents(n: int):
     """To each block, its windows that start in a smaller document than any of its own; then those that only documents of its own share.
 
-    The first need no more than a hash, as all of them go; the others come with their least document.
+    The first need no more than their hashes, as all of them go; the others come with their least document.
     """
 
     def run(asked: list[tuple[int, list[np.ndarray]]]) -> Iterator[tuple[int, int, bytes]]:
@@ -177,13 +191,12 @@ def _least_documents(n: int):
         a, b, d, many = _least(*(np.concatenate([x[1][k] for x in asked]) for k in range(4)))
         a, b, d = a[many > 0], b[many > 0], d[many > 0]
         for block, (x, y, own, several) in asked:
-            at = _within(a, x)
+            at = _found(a, b, x, y)
             hit = np.flatnonzero(at >= 0)
-            hit = hit[b[at[hit]] == y[hit]]
             least = d[at[hit]]
             elsewhere, here = hit[least < own[hit]], hit[(least == own[hit]) & (several[hit] > 0)]
             if len(elsewhere) or len(here):
-                yield shard, block, blocks.pack(x[elsewhere], x[here], own[here])
+                yield shard, block, blocks.pack(x[elsewhere], y[elsewhere], x[here], y[here], own[here])
 
     return run
 
@@ -194,10 +207,10 @@ def _judge(doc_id: str, text: str, each: Callable, assemble: Callable):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers, batches = blocks.answers_first(it)
         if answers:
-            gone, a, least = (np.concatenate([x[k] for x in answers]) for k in range(3))
-            a, least = np.concatenate((a, gone)), np.concatenate((least, np.full(len(gone), np.iinfo(np.int64).min)))
-            order = np.argsort(a)
-            a, least = a[order], least[order]
+            gone, gone2, a, b, least = (np.concatenate([x[k] for x in answers]) for k in range(5))
+            a, b, least = np.concatenate((a, gone)), np.concatenate((b, gone2)), np.concatenate((least, np.full(len(gone), np.iinfo(np.int64).min)))
+            order = np.lexsort((b, a))
+            a, b, least = a[order], b[order], least[order]
         coder, rolling = blocks.Coder(), Rolling()
         for batch in batches:
             if not len(batch):
@@ -207,8 +220,14 @@ def _judge(doc_id: str, text: str, each: Callable, assemble: Callable):
                 ws, removed = words(t), None
                 if answers and d is not None and len(ws) >= WINDOW:
                     codes = coder.codes(ws)
-                    at = _within(a, rolling.windows(codes, WINDOW))
-                    starts = np.flatnonzero((at >= 0) & (least[at] < d))
+                    one = rolling.windows(codes, WINDOW)
+                    some = np.flatnonzero(_within(a, one) >= 0)
+                    if len(some):  # the second hash tells for sure
+                        two = (rolling.windows(codes, WINDOW, 1)[some] >> np.uint64(32)).astype(np.uint32)
+                        at = _found(a, b, one[some], two)
+                        starts = some[(at >= 0) & (least[at] < d)]
+                    else:
+                        starts = some
                     if len(starts):
                         edge = np.zeros(len(ws) + 1, np.int64)
                         edge[starts] += 1
@@ -221,6 +240,8 @@ def _judge(doc_id: str, text: str, each: Callable, assemble: Callable):
 
 
 def _through(docs: DataFrame, doc_id: str, text: str, each: Callable, assemble: Callable, schema) -> DataFrame:
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise ValueError(f"{doc_id} is not of an integral type")
     n = blocks.number(docs, text)
     block = blocks.block_of(doc_id, text, n)
     light = docs.select(doc_id, text)

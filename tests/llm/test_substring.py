@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from ballast.llm import substring as S
 from tests.llm.fixtures import SCHEMA, by_id, documents, white_words
@@ -64,3 +65,14 @@ def test_rolling_hashes_tell_windows_apart():
     codes[200:260] = codes[20:80]
     h = S.Rolling().windows(codes, 50)
     assert (h[200:211] == h[20:31]).all() and len(set(h.tolist())) == len(h) - 11
+
+
+def test_windows_of_one_first_hash_are_told_apart():
+    a, b = np.array([3, 5, 5, 5, 9], np.uint64), np.array([1, 1, 4, 7, 2], np.uint32)
+    x, y = np.array([5, 5, 5, 9, 9, 4, 3], np.uint64), np.array([7, 1, 5, 2, 3, 1, 1], np.uint32)
+    assert S._found(a, b, x, y).tolist() == [3, 1, -1, 4, -1, -1, 0]
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(ValueError, match="integral"):
+        S.judge_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
