@@ -6,7 +6,7 @@ true (annotators are one more labeller, heard where they said something); the po
 hashed words, hashed form features and the votes themselves), which scores every text and also learns words that no labeller lists.
 
 Fitting takes a bounded sample of documents that annotators named, filled up with others, chosen by hash; every row is scored. The sample stays in Spark: the driver
-gets how often each vote pattern occurs, the features that tell bad texts from good ones (``MOST_FEATURES`` at most, each with two counts), and of the sample's texts the distinct
+gets how often each vote pattern occurs, the features that tell bad texts from good ones (each with two counts), and of the sample's texts the distinct
 sets of these features. Sums are of integers, so a fit does not depend on the order in which tasks end. The scorer is an array of ``2 ** bits`` weights, a fixed size for any input.
 
 Nulls and empties: a null text is an empty one, which has no fault that a labeller could see. Repeated rows get equal scores; in the sample, rows of one text are one. Very long texts are
@@ -35,7 +35,8 @@ BITS = 20
 #: A feature has a weight if that many texts of the sample have it, and if its share of bad texts
 #: is that many standard errors away from the sample's, and that many times as large or as small.
 LEAST_TEXTS, LEAST_Z, LEAST_LIFT = 4, 5.0, 1.5
-MOST_FEATURES = 4096
+#: Bytes of feature sets that the regression is solved on, at most: of more, an even share by hash is taken.
+SAMPLE_BYTES = 64_000_000
 #: Texts without an annotation count fully up to so many annotated ones, and the less the more there are.
 FEW = 200
 BAD, GOOD, NOTHING = 1, 0, 2
@@ -167,11 +168,11 @@ def _voter(bits: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, few: int = FEW, bits: int = BITS) -> tuple[np.ndarray, float]:
     """The scorer for ``docs``, from the weak labels of a sample of them.
 
     labels: ``(doc_id, quality, toxic)`` of some documents, one more labeller of each fault. The more texts they speak of (their sampled ids are broadcast, at most twice ``sample_rows``),
-    the less count others, whatever the labellers say of them: silence is no sign of a clean text in a language that the lists do not cover.
+    beyond ``few``, the less count others, whatever the labellers say of them: silence is no sign of a clean text in a language that the lists do not cover.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_
         for v in patterns:
             good[v] *= 1 - posterior[tuple(v[part])]
     annotated = sum(n for v, n in patterns.items() if v[FAULTS["abuse"].start] != NOTHING)
-    weight = {v: 1.0 if v[FAULTS["abuse"].start] != NOTHING else min(1.0, FEW / max(1, annotated)) for v in patterns}
+    weight = {v: 1.0 if v[FAULTS["abuse"].start] != NOTHING else min(1.0, few / max(1, annotated)) for v in patterns}
     #: by pattern: a text's weight and its weighted target, in millionths
     told = [(v, round(weight[v] * 1e6), round(weight[v] * (1 - good[v]) * 1e6)) for v in sorted(patterns)]
     rows = seen.join(F.broadcast(spark.createDataFrame(told, "votes binary, w long, b long")), "votes").where("w > 0")
@@ -197,11 +198,13 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_
     share = float(np.clip((total[1] or 0) / max(1, total[0] or 0), 1e-3, 0.999))
     counts = rows.select(F.explode("features").alias("f"), "w", "b").groupBy("f").agg((F.sum("w") / 1e6).alias("n"), (F.sum("b") / 1e6).alias("bad"))
     z = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    telling = counts.withColumn("z", z).where((F.col("n") >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z) & ~(F.col("bad") / F.col("n")).between(share / LEAST_LIFT, share * LEAST_LIFT)).orderBy(F.desc("z"), "f").limit(MOST_FEATURES)
+    telling = counts.withColumn("z", z).where((F.col("n") >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z) & ~(F.col("bad") / F.col("n")).between(share / LEAST_LIFT, share * LEAST_LIFT))
     used = np.sort(telling.select("f").toArrow()["f"].to_numpy())
 
     known = spark.sparkContext.broadcast(used)
-    sets = rows.select("features", "w", "b").mapInArrow(_reducer(known), "own binary, w long, b long").groupBy("own").agg(F.sum("w").alias("w"), F.sum("b").alias("b")).toArrow()
+    sets = cut(rows.select("features", "w", "b").mapInArrow(_reducer(known), "own binary, w long, b long").groupBy("own").agg(F.sum("w").alias("w"), F.sum("b").alias("b")))
+    held = sets.agg(F.sum(F.octet_length("own") + 16)).first()[0] or 0
+    sets = sets.where(F.pmod(F.xxhash64("own"), F.lit(2**31)) < int(min(1.0, sample_bytes / max(1, held)) * 2**31)).toArrow()
     made = sorted(zip(sets["own"].to_pylist(), sets["w"].to_pylist(), sets["b"].to_pylist()))
     return fit_scorer([(np.frombuffer(x, np.int32), w / 1e6, b / 1e6) for x, w, b in made], used, bits)
 

@@ -102,3 +102,14 @@ def test_em_finds_which_labeller_is_right():
     posterior = C.fit_labellers(patterns)
     assert posterior[1, 1, 0] > 0.9 and posterior[0, 0, 1] < 0.1
     assert C.fit_labellers({}) == {} and C.fit_labellers({(2, 2, 2): 5}) == {(2, 2, 2): 0.1}
+
+
+def test_few_bytes_of_feature_sets_still_fit(spark):
+    rows, truth, labels = corpus()
+    docs, said = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    weights, bias = C.fit(docs, said, sample_bytes=6_000)
+    assert weights.any()
+    gone = {r.doc_id for r in C.score(docs, (weights, bias)).where("badness > 0").collect()}
+    assert sum(truth[d] for d in gone) >= 0.5 * sum(truth.values()) and sum(not truth[d] for d in gone) <= 0.1 * len(truth)
+    few = C.fit(docs, said, few=1)
+    assert few[0].any()
