@@ -19,6 +19,11 @@ BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *r
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def _all_but_blanks(inside: str) -> str:
+    """A pattern of the runs of a class of characters but for single blanks, which stay as they are: far fewer matches than runs."""
+    return rf" [{inside}]+|[{inside}&&[^ ]][{inside}]*"
+
+
 def digest(s: Column) -> Column:
     """SHA-256 of the UTF-8 text, in hex."""
     return F.sha2(s, 256)
@@ -31,12 +36,12 @@ def casefold(s: Column) -> Column:
 
 def normalized(s: Column) -> Column:
     """Folded text with each run of white space as one blank."""
-    return F.trim(F.regexp_replace(casefold(s), WHITE, " "))
+    return F.trim(F.regexp_replace(casefold(s), _all_but_blanks(WHITE[1:-2]), " "))
 
 
 def fingerprint(s: Column) -> Column:
     """Digest of the folded words, which are runs of letters, digits and underscores."""
-    return digest(F.array_join(F.regexp_extract_all(casefold(s), F.lit(WORD), F.lit(0)), " "))
+    return digest(F.trim(F.regexp_replace(casefold(s), _all_but_blanks("^" + WORD[1:-2]), " ")))
 
 
 def hash_bucket(s: Column, n: Column | int = 100) -> Column:

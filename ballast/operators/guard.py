@@ -67,7 +67,7 @@ def benchmark_overlap(df: DataFrame, blocked: DataFrame, *, leaves: str = "state
     """
     own = long_leaves(df, "id", leaves=leaves, heads=True)
     if "key" in blocked.columns:
-        own = cut(membership.maybe(own, "key", membership.build(blocked, "key")))  # few rows
+        own = cut(membership.maybe(own, "key", membership.build(cut(blocked.select("key").distinct()), "key")))  # few rows
         blocked = printed(membership.maybe(blocked, "key", membership.build(own, "key")))
     else:
         blocked = blocked.select("fingerprint").distinct()

@@ -237,7 +237,7 @@ flagged AS (SELECT DISTINCT id FROM variants WHERE {_LEAF.format(x='leaf')} AND
 
 
 def _blocked(spark, d):
-    ex = _with_leaves(spark, d)
+    ex = cut(_with_leaves(spark, d).select("id", "dataset", "group", "split", "state_leaves"))
     c = table(spark, d, "conversations")
     turns = c.select(F.concat_ws(":", F.lit("conv"), "conv_id", "turn").alias("id"), F.col("role").alias("dataset"), F.lit("train").alias("split"), F.array("text").alias("state_leaves"))
     chosen = sample.stable_sample(turns.select("dataset", "id"), SAMPLED).select("id")  # texts are joined afterwards

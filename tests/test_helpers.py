@@ -144,3 +144,25 @@ def test_large_files(spark, tmp_path):
     good = hashlib.sha256(b"x" * 3_000_000).hexdigest()
     manifest = spark.createDataFrame([(str(tmp_path / "f"), 3_000_000, good), (str(tmp_path / "f"), 3_000_000, "00")], "path string, bytes long, sha256 string")
     assert [r.reason for r in tables.verify_large_files(manifest).collect()] == ["digest"]
+
+
+def test_normal_forms_of_odd_texts(spark):
+    import hashlib
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from ballast.functions import keys as K
+
+    draw = random.Random(8)
+    parts = ["a", "B2", "_", "é", "日", "½", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "-", "...", "!?", "ß", "\x0b", "^", "]", "&"]
+    texts = [None, "", " ", "--", " a ", "^^"] + ["".join(draw.choice(parts) for _ in range(draw.randrange(25))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", K.normalized(F.col("t")).alias("n"), K.fingerprint(F.col("t")).alias("f")).collect()
+    for r in got:
+        if r.t is None:
+            assert r.n is None and r.f is None
+            continue
+        folded = r.t.lower().replace("ß", "ss")
+        assert r.n == re.sub(f"[{re.escape(K.BLANKS)}]+", " ", folded).strip(" ")
+        assert r.f == hashlib.sha256(" ".join(re.findall(r"\w+", folded)).encode()).hexdigest(), r.t
