@@ -2,43 +2,38 @@
 
 from __future__ import annotations
 
+import base64
 import contextlib
 import email
 import hashlib
+import heapq
 import json
-from collections.abc import Iterator
+import re
+import zlib
 from email import policy
 from html.parser import HTMLParser
 
 import pandas as pd
+import regex
+from pyarrow import fs
+from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Elements whose text is hidden, and elements that start a line.
-HIDDEN, LINES = ("script", "style"), ("br", "p", "div", "tr", "li")
+# Elements whose text is hidden.
+HIDDEN = ("script", "style")
 
 
-class _Log(HTMLParser):
-    """Writes down what a page holds, in order, as ``(what, value)``."""
+class _Page(HTMLParser):
+    """Collects the text of a page outside of hidden elements, whose content the parser takes raw and so knows itself."""
 
-    def __init__(self, log: list[tuple[str, str]]):
+    def __init__(self):
         super().__init__()
-        self.handle_data = lambda data: log.append(("text", data))
-        self.handle_starttag = lambda tag, _: log.append(("open", tag))
-        self.handle_endtag = lambda tag: log.append(("close", tag))
+        self.seen: list[str] = []
 
-
-def shown(log: list[tuple[str, str]]) -> Iterator[str]:
-    """The pieces of text outside of hidden elements, and a line feed for each element that starts a line."""
-    inside = 0
-    for what, value in log:
-        if what == "text":
-            if not inside:
-                yield value
-        elif value in HIDDEN:
-            inside = inside + 1 if what == "open" else max(inside - 1, 0)
-        elif what == "open" and value in LINES:
-            yield "\n"
+    def handle_data(self, data: str) -> None:
+        if self.cdata_elem not in HIDDEN:
+            self.seen.append(data)
 
 
 def single_spaced(text: str) -> str:
@@ -47,10 +42,10 @@ def single_spaced(text: str) -> str:
 
 
 def html_text(html: str | None) -> str:
-    """What a reader of the page sees, with single blanks."""
-    log: list[tuple[str, str]] = []
-    _Log(log).feed(html or "")
-    return single_spaced(" ".join(shown(log)))
+    """What a reader of the page sees, with single blanks; every tag parts words."""
+    page = _Page()
+    page.feed(html or "")
+    return single_spaced(" ".join(page.seen))
 
 
 def decoded(payload: bytes, charset: str | None) -> str:
@@ -170,11 +165,90 @@ def region_candidates(tree: Column) -> Column:
     return run(tree)
 
 
-def file_digest(path: str) -> tuple[int, str]:
-    """Bytes and SHA-256 of a file too large for one row, read in chunks; for paths that the workers can open."""
+def file_digest(path: str) -> tuple[int | None, str | None]:
+    """Bytes and SHA-256 of a file too large for one row, read in chunks through the client of its store; nulls if there is no such file."""
+    uri = re.sub(r"^file:/+", "file:///", path) if ":/" in path else f"file://{path}"
+    store, at = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(at).type != fs.FileType.File:
+        return None, None
     h, n = hashlib.sha256(), 0
-    with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
-        while chunk := f.read(1 << 20):
+    with store.open_input_stream(at, compression=None) as f:
+        while chunk := f.read(1 << 22):
             h.update(chunk)
             n += len(chunk)
     return n, h.hexdigest()
+
+
+# Fixed value: how a byte-level vocabulary's own pre-tokenizer splits text.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORDS = regex.compile(SPLIT)
+_LONG = 2000
+
+
+class Ranks:
+    """Counts tokens of a byte-level vocabulary of ranks. A word is merged once and its number of tokens remembered."""
+
+    most = 500_000
+
+    def __init__(self, raw: bytes):
+        pairs = (line.split() for line in raw.splitlines() if line.strip())
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self._known: dict[str, int] = {}
+
+    def merged(self, word: bytes) -> list[bytes]:
+        """The word's tokens: of all neighbouring parts that make a token, those of the least rank are joined first, from the left."""
+        parts: list[bytes | None] = [word[k : k + 1] for k in range(len(word))]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(self.ranks[word[k : k + 2]], k, 2) for k in range(len(parts) - 1) if word[k : k + 2] in self.ranks]
+        heapq.heapify(heap)
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < len(parts):
+                both = parts[k] + parts[after[k]]
+                if both in self.ranks:
+                    heapq.heappush(heap, (self.ranks[both], k, len(both)))
+
+        while heap:
+            _, k, size = heapq.heappop(heap)
+            right = after[k] if parts[k] is not None else len(parts)
+            if right >= len(parts) or len(parts[k]) + len(parts[right]) != size:
+                continue  # one of both has been joined with another since
+            parts[k], parts[right], after[k] = parts[k] + parts[right], None, after[right]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            offer(k)
+            offer(before[k])
+        return [p for p in parts if p is not None]
+
+    def count(self, text: str | None) -> int:
+        """How many tokens a text has; none if it is null."""
+        if not text:
+            return 0
+        if len(self._known) > self.most:
+            self._known.clear()
+        n, known = 0, self._known
+        for w in _WORDS.findall(text):
+            c = known.get(w)
+            if c is None:
+                c = len(self.merged(w.encode()))
+                if len(w) < _LONG:
+                    known[w] = c
+            n += c
+        return n
+
+
+_RANKS: dict[int, Ranks] = {}
+
+
+def token_counts(text: Column, vocabulary: Broadcast) -> Column:
+    """How many tokens of a vocabulary each text has; ``vocabulary``: the bytes of a file of ranks, broadcast."""
+
+    @F.pandas_udf("int")
+    def run(s: pd.Series) -> pd.Series:
+        key = zlib.crc32(vocabulary.value)
+        if key not in _RANKS:
+            _RANKS.clear()
+            _RANKS[key] = Ranks(vocabulary.value)
+        return s.map(_RANKS[key].count).astype("int32")
+
+    return run(text)

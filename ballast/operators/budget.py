@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.functions import arrays as A
+from ballast.functions import helpers
 
 MAX_TOKENS = 2048
 
@@ -15,6 +18,11 @@ def count_pieces(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]"), F.lit(0)))
 
 
+def vocabulary_tokens(spark: SparkSession, text: Column, vocabulary: str) -> Column:
+    """The tokens of a byte-level vocabulary: ``vocabulary`` is a file of ranks that the driver can read, a few MB, which is broadcast."""
+    return helpers.token_counts(text, spark.sparkContext.broadcast(Path(vocabulary).read_bytes()))
+
+
 def image_token_count(width: Column, height: Column, factor: int = 32, pixels: int = 512 * 512) -> Column:
     """Visual tokens after a resize to multiples of ``factor`` that keeps the aspect near a fixed number of pixels."""
     scale = F.sqrt(F.lit(float(pixels)) / (width * height))

@@ -212,6 +212,16 @@ def _(spark, d):
     return budget.token_budget(docs(spark, d), budget.count_pieces(F.col("text"))).select("doc_id", "tokens", "reason")
 
 
+#: A public vocabulary of ranks.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("token_budget_vocabulary")
+def _(spark, d):
+    """Merges of a vocabulary are not for SQL; tests hold the counts against the vocabulary's own library."""
+    return budget.token_budget(docs(spark, d), budget.vocabulary_tokens(spark, F.col("text"), RANKS)).select("doc_id", "tokens", "reason")
+
+
 @query("image_token_count", """WITH s AS (SELECT p_partkey, CAST(p_size * 37 AS DOUBLE) AS w, CAST(100 + p_partkey % 900 AS DOUBLE) AS h FROM part)
 SELECT p_partkey, CAST(greatest(32, floor(w * sqrt(262144.0 / (w * h)) / 32) * 32) / 32 * (greatest(32, floor(h * sqrt(262144.0 / (w * h)) / 32) * 32) / 32) AS BIGINT) AS tokens FROM s""")
 def _(spark, d):

@@ -215,10 +215,12 @@ def _(spark, d):
     return log.append_scored(e, path, "event_id")
 
 
-@query("verify_files", """SELECT CASE strlen(html) % 4 WHEN 0 THEN 'length' WHEN 1 THEN 'digest' WHEN 2 THEN 'missing' END AS reason, count(*) AS n, CAST(sum(strlen(html) + 1) AS BIGINT) AS listed_bytes
-FROM pages WHERE strlen(html) % 4 < 3 GROUP BY 1""")
-def _(spark, d):
-    # a file per page; some are listed with another length, some with another digest, some under a name that is not there
+_VERIFIED = """SELECT CASE strlen(html) % 4 WHEN 0 THEN 'length' WHEN 1 THEN 'digest' WHEN 2 THEN 'missing' END AS reason, count(*) AS n, CAST(sum(strlen(html) + 1) AS BIGINT) AS listed_bytes
+FROM pages WHERE strlen(html) % 4 < 3 GROUP BY 1"""
+
+
+def _listed(spark, d):
+    """A file per page; some are listed with another length, some with another digest, some under a name that is not there. Returns ``(manifest, folder)``."""
     path = scratch(spark, "files")
     table(spark, d, "pages").select("html").write.option("maxRecordsPerFile", 1).text(path)
     files = spark.read.format("binaryFile").load(path).where("length > 0")
@@ -229,10 +231,24 @@ def _(spark, d):
         F.when(how == 0, F.col("length") + 1).otherwise(F.col("length")).alias("bytes"),
         F.when(how == 1, F.reverse(digest)).otherwise(digest).alias("sha256"),
     )
-    found = tables.verify_files(manifest, path)
+    return manifest, path
+
+
+def _by_reason(found):
     return found.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.col("bytes") - (F.col("reason") == "length").cast("int")).alias("listed_bytes"))
 
 
+@query("verify_files", _VERIFIED)
+def _(spark, d):
+    return _by_reason(tables.verify_files(*_listed(spark, d)))
+
+
+@query("verify_large_files", _VERIFIED)
+def _(spark, d):
+    manifest, path = _listed(spark, d)
+    return _by_reason(tables.verify_large_files(manifest.withColumn("path", F.concat(F.lit(f"{path}/"), "path"))))
+
+
 @query("partition_fingerprint", f"WITH {EX}, a AS ({_PRINT.format(row='struct_pack(id := id, state := state)')}), b AS ({_PRINT.format(row='struct_pack(id := id)')}) SELECT a.split, a.n, a.digest, b.digest AS ids_digest FROM a JOIN b USING (split)")
 def _(spark, d):
     ex = examples(spark, d).select("id", "split", "state")

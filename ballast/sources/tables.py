@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,16 +144,17 @@ def verify_files(manifest: DataFrame, path: str) -> DataFrame:
 
 
 def verify_large_files(manifest: DataFrame) -> DataFrame:
-    """As :func:`verify_files` for full paths of files too large for a row; each is hashed in chunks by one task."""
+    """As :func:`verify_files` for full paths of files too large for a row, in any store that the workers' Arrow has a client for; each is hashed in chunks by one task."""
 
     def run(it):
         for pdf in it:
-            found = pdf["path"].map(helpers.file_digest)
-            yield pdf.assign(found_bytes=[x[0] for x in found], found_sha256=[x[1] for x in found])
+            found = [helpers.file_digest(p) for p in pdf["path"]]
+            yield pdf.assign(found_bytes=pd.array([x[0] for x in found], "Int64"), found_sha256=[x[1] for x in found])
 
     schema = T.StructType([*manifest.schema.fields, T.StructField("found_bytes", T.LongType()), T.StructField("found_sha256", T.StringType())])
-    made = manifest.mapInPandas(run, schema)
-    return made.withColumn("reason", F.when(F.col("found_bytes") != F.col("bytes"), "length").when(F.col("found_sha256") != F.col("sha256"), "digest")).where("reason is not null")
+    made = manifest.repartition(F.xxhash64("path")).mapInPandas(run, schema)
+    reason = F.when(F.col("found_bytes").isNull(), "missing").when(F.col("found_bytes") != F.col("bytes"), "length").when(F.col("found_sha256") != F.col("sha256"), "digest")
+    return made.withColumn("reason", reason).where("reason is not null")
 
 
 def partition_state(df: DataFrame, by: str = "split") -> DataFrame:

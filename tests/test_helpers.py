@@ -166,3 +166,33 @@ def test_normal_forms_of_odd_texts(spark):
         folded = r.t.lower().replace("ß", "ss")
         assert r.n == re.sub(f"[{re.escape(K.BLANKS)}]+", " ", folded).strip(" ")
         assert r.f == hashlib.sha256(" ".join(re.findall(r"\w+", folded)).encode()).hexdigest(), r.t
+
+
+def test_token_counts_against_the_vocabularys_library(spark):
+    from pathlib import Path
+
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    from ballast.operators import budget
+    from ballast.plans.mixture import RANKS
+
+    ranks = helpers.Ranks(Path(RANKS).read_bytes())
+    own = tiktoken.Encoding("own", pat_str=helpers.SPLIT, mergeable_ranks=ranks.ranks, special_tokens={})
+    texts = [None, "", " ", "it's  naïve\n\n  straße 日本 ½ ٣ ''s \x00", "a" * 3000, "<|endoftext|>", "\u00a0\u2028 x"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for t in texts[3:60]:
+        for w in set(helpers._WORDS.findall(t)):
+            assert [ranks.ranks[p] for p in ranks.merged(w.encode())] == own.encode_ordinary(w), w
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.n for r in df.select("id", budget.vocabulary_tokens(spark, F.col("text"), RANKS).alias("n")).collect()}
+    assert got == {i: len(own.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
+
+
+def test_missing_large_files(spark, tmp_path):
+    from ballast.sources import tables
+
+    (tmp_path / "f").write_bytes(b"x" * 10)
+    manifest = spark.createDataFrame([(f"file:{tmp_path}/f", 11, "00"), (str(tmp_path / "none"), 1, "00")], "path string, bytes long, sha256 string")
+    assert sorted(r.reason for r in tables.verify_large_files(manifest).collect()) == ["length", "missing"]
+    assert tables.verify_large_files(manifest.where("false")).count() == 0

@@ -109,3 +109,14 @@ def test_quantiles_against_numpy(spark, monkeypatch):
         xs = np.concatenate([x for g, x in groups.items() if g != "odd"])
         assert whole.n == len(xs) and np.isclose(whole.q[0], np.quantile(xs, 0.5))
     assert report.quantiles(df.where("false"), "v", [0.5], "g").count() == 0
+
+
+def test_runs_over_changed_partitions_are_refused(spark):
+    from ballast.operators import compare
+
+    one = spark.createDataFrame([("test", i, "a") for i in range(9)], "split string, id long, text string")
+    prints = [tables.partition_fingerprint(x) for x in (one, one.repartition(3, "id"), one.where("id <> 4"))]
+    means = spark.createDataFrame([("d", 0.5)], "dataset string, accuracy double")
+    assert compare.run_comparison(means, means, prints[0], prints[1], ["accuracy"]).first().accuracy_change == 0
+    with pytest.raises(ValueError, match="differ"):
+        compare.run_comparison(means, means, prints[0], prints[2], ["accuracy"])
