@@ -271,9 +271,9 @@ def _(spark, d):
 
 
 # What a reader sees of the given pages, whose markup and character references are few; mail is made from documents by columns.
-_SEEN = r"regexp_replace(regexp_replace(regexp_replace(html, '(<[^>]*|&[^;\s]*)$', ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->', ' ', 'g'), '<[/!a-zA-Z][^>]*>', ' ', 'g')"
+_SEEN = r"regexp_replace(regexp_replace(regexp_replace(html, '(<[^>]*|&[^;\s<]*)$', ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->', ' ', 'g'), '<[/!a-zA-Z][^>]*>', ' ', 'g')"
 for _name, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")):
-    _SEEN = f"replace({_SEEN}, '&{_name};', '{_sign}')"
+    _SEEN = f"regexp_replace({_SEEN}, '&{_name};?', '{_sign}', 'g')"  # as in HTML, these need no semicolon, so a cut title's last one counts
 
 
 @query("visible_text", rf"SELECT page_id, trim(regexp_replace({_SEEN}, '{WHITE}', ' ', 'g')) AS text FROM pages")
