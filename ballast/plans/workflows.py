@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.functions.durable import apart, cut
+from ballast.functions.durable import apart, cut, width
 from ballast.operators import budget, calibrate, compare, guard, isolate, metrics, mixture, report
 from ballast.operators.rowmetrics import row_metrics
 from ballast.plans.fixtures import PRED, examples, predictions, sql_print, sql_rows, table
@@ -97,7 +97,7 @@ def _(spark, d):
     p = predictions(spark, d)
     made = cut(evaluate(p, fixed))
     # the second run's rows come in another order and another number of partitions
-    prints = [tables.partition_fingerprint(x.withColumn("split", F.lit("test"))) for x in (p, p.repartition(7, "logits"))]
+    prints = [tables.partition_fingerprint(x.withColumn("split", F.lit("test"))) for x in (p, p.repartition(width(spark), F.xxhash64("id")))]
     return rounded(compare.run_comparison(made.where("mode = 'uncalibrated'"), made.where("mode = 'calibrated'"), *prints, ["accuracy", "nll"]))
 
 
