@@ -34,7 +34,8 @@ def component_roots(df: DataFrame) -> DataFrame:
 
 def _keys_of(df: DataFrame) -> DataFrame:
     """Distinct ``(group, alias)``, each group among its own aliases."""
-    return alias_edges(df).unionByName(df.select("group", F.col("group").alias("alias")).where("group is not null").distinct()).distinct()
+    own = F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("group"))  # in one pass, as keys are dear to make
+    return alias_edges(df.withColumn("aliases", own))
 
 
 def extended_roots(roots: DataFrame, base: DataFrame, added: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions import helpers
 from ballast.functions import keys as K
-from ballast.functions.durable import cut
+from ballast.functions.durable import apart, cut
 from ballast.operators import budget, convert, guard, isolate, mixture, sample
 from ballast.plans.fixtures import EX, examples, sql_bucket, sql_family, sql_fold, sql_norm, sql_print, sql_train_split, table
 from ballast.plans.registry import query
@@ -148,8 +148,8 @@ def _(spark, d):
 
 @query("resolve_split_priority", f"WITH {_REC} SELECT id, root, conflict FROM judged")
 def _(spark, d):
-    ex = examples(spark, d)
-    return isolate.resolve_split_priority(ex.join(isolate.component_roots(ex), "group")).select("id", "root", "conflict")
+    ex = cut(examples(spark, d).select("id", "group", "aliases", "split"))  # keys once, and no texts
+    return isolate.resolve_split_priority(ex.join(apart(isolate.component_roots(ex), "group"), "group")).select("id", "root", "conflict")
 
 
 @query("isolate_kept", f'WITH {_REC} SELECT id, dataset, root AS "group", split FROM survive WHERE NOT duplicate')
